@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc.llm import chat_format, exact_dedup, packing, substring_dedup, url_filter
+from readqc.llm import chat_format, exact_dedup, language_id, mixing, packing, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,6 +66,18 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), max_len=2048, buckets=8, budget=32_768)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return language_id.identify(table(spark, sf_dir, "documents"), held_out)
+
+
+@query
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "mix_order")
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, default="allow")
