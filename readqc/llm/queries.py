@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc.llm import chat_format, exact_dedup, language_id, mixing, packing, substring_dedup, url_filter
+from readqc.llm import chat_format, exact_dedup, language_id, mixing, packing, substring_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,6 +78,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "mix_order")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, default="allow")

@@ -7,13 +7,14 @@
    a separator with nothing or a word break); Viterbi decoding finds the likeliest path under the model.
    Everything else is left as it is.
 3. A lexicon learned from labelled training rows (at most ``max_train``, those with the least hash of their
-   doc_id): words that occur in significantly more different contexts (left and right neighbour) of toxic
-   than of other documents. Contexts, not documents, are counted, so copies of one noisily labelled text
-   don't make its words suspicious.
-4. score: logistic in the log odds of the distinct lexicon words of the restored text, with the rate of toxic
-   rows without any such word as intercept.
-
-Defined results: null and empty texts score the intercept; without training rows the intercept is 0.01; null
+   doc_id): words and beginnings of words (inflected forms share them) that occur in significantly more
+   different contexts (left and right neighbour) of toxic than of other documents. Contexts, not documents,
+   are counted, so copies of one noisily labelled text don't make its words suspicious.
+4. score: a text's evidence adds up, over the distinct words of the restored text that are or begin with a
+   lexicon entry, the entry's log odds less two standard errors (the strongest entry of each word); a logistic
+   curve fitted to the training rows makes a probability of it.
+
+Defined results: null and empty texts have no evidence; without training rows every text scores 0.01; null
 labels are not learned; repeated rows are scored each; labels of one doc_id that disagree count as toxic; a
 null doc_id is never a training row; extra columns are ignored.
 """
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readqc.llm.store import materialize
 from readqc.llm.words import as_bytes, slices
 
 #: The letters that a character may stand for.
@@ -42,10 +44,12 @@ SEPARATORS = " .-_*~"
 MAX_TRAIN = 20_000
 #: Costs in nats of reading a sign as a letter and of dropping one; prior weight of the shorter context; evidence asked of a word.
 AS_LETTER, DROPPED, BACKOFF, EVIDENCE = 0.5, 6.0, 2.0, 15.0
+#: Lengths of the beginnings of words that are looked at, and the least log odds (two standard errors off) of an entry.
+STEMS, LEAST_ODDS = range(3, 9), 1.5
 SIZE = 27
 
-_SIGNS = re.compile(r"[0-9@$|!+€(*._~-][a-z]|[a-z][0-9@$€|]{1,2}(?![^\s.,;:!?])|([a-z])\1\1|(?<!\S)[a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*](?!\S)")
-_SPACED = re.compile(r"(?:(?<!\S)[a-z0-9@$!|+€(*] )+[a-z0-9@$!|+€(*](?!\S)")
+_SIGNS = re.compile(r"[0-9@$|!+€(*._~-][a-z]|[a-z][0-9@$€|]{1,2}(?![^\s.,;:!?])|([a-z])\1\1|(?<!\S)[a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*](?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?:(?<!\S)[a-z0-9@$!|+€(*] )+[a-z0-9@$!|+€(*](?![^\s.,;:!?])")
 _EDGES = re.compile(r"^[\"'(\[{<.,;:?…]+|[\"')\]}>.,;:!?…]+$")
 _DECORATION = re.compile(r"([^\w\s])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -109,6 +113,23 @@ def lattice(token: str) -> list:
     return out
 
 
+class Lexicon:
+    """The strongest entry of a word; remembers what it has looked up."""
+
+    def __init__(self, entries: dict) -> None:
+        self.entries = entries
+        self.known: dict = {}
+
+    def __call__(self, word: str) -> float:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            have = (self.entries.get(x, 0.0) for x in (word + " ", *(word[:n] for n in STEMS if n <= len(word))))
+            found = self.known[word] = max(have)
+        return found
+
+
 class Decoder:
     """Viterbi decoding of tokens; remembers what it has decoded."""
 
@@ -163,9 +184,11 @@ def restore(text: str, decode: Decoder) -> str:
             a -= 1
         while b < len(low) and not low[b].isspace():
             b += 1
-        token = _EDGES.sub("", _DECORATION.sub("", low[a:b])) if not low[a:b].isspace() else ""
-        if " " not in token and _SIGNS.search(token):
-            out += [low[done:a], decode(token)]
+        token = low[a:b]
+        core = _EDGES.sub("", _DECORATION.sub("", token))
+        if core and _SIGNS.search(core):
+            tail = token[len(token.rstrip(".,;:!?…")) :]
+            out += [low[done:a], decode(core), tail]
             done = b
     out.append(low[done:])
     return "".join(out)
@@ -194,13 +217,17 @@ def hash64(text: str) -> int:
 
 
 def learn(docs: DataFrame, labels: DataFrame, shared, max_train: int = MAX_TRAIN) -> dict:
-    """{"words": {word: log odds}, "intercept": logit}; labels (doc_id, toxic) are the training rows."""
+    """{"words": {entry: log odds}, "slope", "intercept"}; labels (doc_id, toxic) are the training rows."""
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     train = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic")
     met = train.mapInArrow(_contexts(shared), "word string, context long, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
-    by_word = met.groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    by_word = materialize(met.groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")))
     totals = by_word.agg(F.sum("n1"), F.sum("n0")).first()
+    # the word itself ends in a blank, so that it isn't the same as a beginning
+    entries = F.concat(F.array(F.concat("word", F.lit(" "))), F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.length("word"), F.lit(STEMS[-1]))), lambda n: F.substring(F.col("word"), F.lit(1), n)))
+    entries = F.when(F.length("word") >= STEMS[0], entries).otherwise(F.array(F.concat("word", F.lit(" "))))
+    by_word = by_word.select(F.explode(entries).alias("word"), "n1", "n0").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     all1, all0 = (totals[0] or 0), (totals[1] or 0)
     words: dict = {}
     if all1 and all0:
@@ -210,27 +237,56 @@ def learn(docs: DataFrame, labels: DataFrame, shared, max_train: int = MAX_TRAIN
         strong = by_word.where((n1 / (n1 + n0) > share) & (part(n1, share) + part(n0, 1 - share) > EVIDENCE))
         # a log likelihood ratio over EVIDENCE: as many as the bounded sample can give
         for r in strong.collect():
-            words[r.word] = min(8.0, math.log((r.n1 + 0.5) / (all1 + 1)) - math.log((r.n0 + 0.5) / (all0 + 1)))
-    words = {w: x for w, x in words.items() if x > math.log(5)}
-    flags = docs.sparkSession.sparkContext.broadcast((shared.value, {"words": words, "intercept": 0.0}))
-    hits = train.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text", "toxic").mapInArrow(_predict(flags, True), "doc_id long, held_out boolean, score double, predicted int, toxic int")
-    none = hits.where("score = 0.5").agg(F.count("*"), F.sum("toxic")).first()
-    n, t = none[0], none[1] or 0
-    rate = (t + 0.5) / (n + 1) if n else 0.01
-    rate = min(rate, 0.45)
-    return {"words": words, "intercept": math.log(rate / (1 - rate))}
+            odds = math.log((r.n1 + 0.5) / (all1 + 1)) - math.log((r.n0 + 0.5) / (all0 + 1))
+            words[r.word] = odds - 2 * math.sqrt(1 / (r.n1 + 0.5) + 1 / (r.n0 + 0.5))  # what is safe to say of it
+    words = {w: x for w, x in words.items() if x > LEAST_ODDS}
+    plain = docs.sparkSession.sparkContext.broadcast((shared.value, {"words": words, "slope": 1.0, "intercept": 0.0}))
+    rows = train.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text", "toxic")
+    scored = rows.mapInArrow(_predict(plain, True), "doc_id long, held_out boolean, evidence double, toxic int")
+    bins = scored.groupBy(F.least(F.round("evidence", 1), F.lit(50.0)).alias("x")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most 501 rows
+    slope, intercept = fit([r.x for r in bins], [r.n for r in bins], [r.t for r in bins])
+    return {"words": words, "slope": slope, "intercept": intercept}
+
+
+def fit(x, n, t) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of t successes in n trials on x, by damped Newton steps."""
+    if not sum(n):
+        return 1.0, math.log(0.01 / 0.99)
+    x, n, t = (np.array(a, float) for a in (x, n, t))
+    rate = (t.sum() + 0.5) / (n.sum() + 1)
+    w = np.array([0.0, math.log(rate / (1 - rate))])
+    rows = np.stack([x, np.ones(len(x))])
+    ridge = np.array([0.05, 0.0])
+
+    def loss(w):
+        z = w @ rows
+        return (n * np.logaddexp(0, z) - t * z).sum() + 0.5 * (ridge * w * w).sum()
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(w @ rows)))
+        gradient = rows @ (n * p - t) + ridge * w
+        step = np.linalg.solve((rows * (n * p * (1 - p))) @ rows.T + np.diag(ridge + 1e-6), gradient)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.0)), float(min(w[1], -0.2))
 
 
 def _predict(shared, labelled: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, learned = shared.value
-        decode, lexicon = Decoder(model), learned["words"]
+        decode, lexicon = Decoder(model), Lexicon(learned["words"])
         for part in slices(batches):
-            scores = np.array([learned["intercept"] + sum(lexicon[w] for w in set(_WORD.findall(restore(t, decode))) & lexicon.keys()) for t in _texts(part)], float)
-            scores = 1 / (1 + np.exp(-scores))
-            columns = [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-            columns += [part.column("toxic")] if labelled else []
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", "toxic"][: len(columns)])
+            evidence = np.array([sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) for t in _texts(part)], float)
+            columns = [part.column("doc_id"), part.column("held_out")]
+            if labelled:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(evidence), part.column("toxic")], names=["doc_id", "held_out", "evidence", "toxic"])
+                continue
+            scores = 1 / (1 + np.exp(-(learned["slope"] * evidence + learned["intercept"])))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
