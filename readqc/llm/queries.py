@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc.llm import chat_format, exact_dedup, language_id, mixing, packing, substring_dedup, toxicity, url_filter
+from readqc.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, packing, substring_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,6 +37,11 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
