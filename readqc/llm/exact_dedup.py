@@ -71,8 +71,9 @@ def mark(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with all their columns; whole copies of a kept row leave only one."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = mark(docs, counters).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(True).alias("_kept"))
-    joined = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_id"]) & (digest == kept["_sha"]), "left_semi")
-    repeated = Window.partitionBy("doc_id", F.col("_digest"))
-    return joined.withColumn("_digest", F.xxhash64("text")).withColumn("_n", F.row_number().over(repeated.orderBy(F.lit(1)))).where("_n = 1").drop("_n", "_digest")
+    id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    kept = mark(docs, counters).where("kept").select(id_("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumns({"_id": id_("doc_id"), "_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
+    joined = keyed.join(kept.hint("shuffle_hash"), ["_id", "_sha"], "left_semi")
+    again = Window.partitionBy("_id", "_sha").orderBy("_id")  # dealt like the join: rows that repeat the winner
+    return joined.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n", "_id", "_sha")

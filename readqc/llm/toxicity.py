@@ -291,12 +291,32 @@ def _predict(shared, labelled: bool = False):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id, toxic; those held out are not learned."""
+def _reject(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, learned = shared.value
+        decode, lexicon = Decoder(model), Lexicon(learned["words"])
+        for part in slices(batches):
+            logit = np.array([learned["slope"] * sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) + learned["intercept"] for t in _texts(part)], float)
+            yield part.filter(pa.array(logit < 0))
+
+    return run
+
+
+def _learned(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int):
     context = docs.sparkSession.sparkContext
     model = context.broadcast(character_model(docs))
     learned = learn(docs, labels.select("doc_id", "toxic").where(~held_out), model, max_train)
-    shared = context.broadcast((model.value, learned))
+    return context.broadcast((model.value, learned))
+
+
+def reject(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns; no shuffle of texts."""
+    return docs.mapInArrow(_reject(_learned(docs, labels, held_out, max_train)), docs.schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id, toxic; those held out are not learned."""
+    shared = _learned(docs, labels, held_out, max_train)
     rows = docs.select(F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")
