@@ -7,11 +7,15 @@ from tests.llm.test_ngram_join import brute, corpus
 BAD = ["idiot", "scum", "moron"]
 
 
+def letters(n):
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
 def test_stages(spark, tmp_path):
-    rows = corpus(5, n=150)
+    rows = [(d, t.translate(str.maketrans("0123456789", "bcdfghjklm"))) for d, t in corpus(5, n=150)]
     rows += [(d + 1000, t) for d, t in rows[:20]]
     toxic = {2000 + i for i in range(60)}
-    texts = [(d, t, 0) for d, t in rows] + [(d, " ".join(f"q{d}.{j} {BAD[(d + j) % 3]}" for j in range(8)), 1) for d in sorted(toxic)]
+    texts = [(d, t, 0) for d, t in rows] + [(d, " ".join(f"{letters(d * 100 + j)} {BAD[(d + j) % 3]}" for j in range(8)), 1) for d in sorted(toxic)]
     texts += [(3000, None, 0), (3001, "", 0)]
     spark.createDataFrame([(d, t, "en", f"s{min(d % 7, 3)}", len(t or "")) for d, t, _ in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(d, 1, x) for d, _, x in texts if d % 10 != 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
