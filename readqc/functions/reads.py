@@ -99,7 +99,8 @@ def human_count(n: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """One decimal; null where there is no whole."""
-    return F.format_string("%.1f", F.round(F.try_divide(part * F.lit(100.0), whole.cast("double")), 1))
+    share = F.round(F.try_divide(part * F.lit(100.0), whole.cast("double")), 1)
+    return F.when(share.isNotNull(), F.format_string("%.1f", share))
 
 
 def plot_id(*parts: Column) -> Column:
