@@ -59,17 +59,21 @@ def _numpy(batches):
 
 def components(edges: DataFrame) -> DataFrame:
     """v, r for every node of edges (two columns of longs, none null): r is the least node of v's component."""
-    now = materialize(edges.toDF("v", "r").mapInArrow(_contract, "v long, r long"))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forest = lambda rows: materialize(rows.repartition(n, "v").mapInArrow(_contract, "v long, r long"))
+    now = forest(edges.toDF("v", "r").mapInArrow(_contract, "v long, r long"))
     said = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "r").cast("decimal(38,0)"))).first())
         if state == said:
             break
         said = state
+        # the least neighbours are tables of their own, so that Spark can split a join's hot node
         both = now.unionByName(now.select(F.col("r").alias("v"), F.col("v").alias("r")))
-        least = both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m"))
+        least = materialize(both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m")))
         large = both.join(least, "v").where(F.col("r") > F.col("v")).select(F.col("r").alias("v"), F.col("m").alias("r"))
-        low = large.groupBy("v").agg(F.min("r").alias("m"))
+        large = materialize(large)
+        low = materialize(large.groupBy("v").agg(F.min("r").alias("m")))
         small = large.join(low, "v").where(F.col("r") > F.col("m")).select(F.col("r").alias("v"), F.col("m").alias("r")).unionByName(low.select("v", F.col("m").alias("r")))
-        now = materialize(small.where(F.col("v") != F.col("r")).distinct())
+        now = forest(small.where(F.col("v") != F.col("r")))
     return now.unionByName(now.select(F.col("r").alias("v"), F.col("r")).distinct())
