@@ -47,7 +47,7 @@ from readqc.llm.words import as_bytes, inside, mix, ngrams, slices, word_hashes
 SHINGLE, MOST, SURE, FLOOR = 5, 256, 192, 128
 LOWEST = -(2**63)
 #: Tokens of a packed batch, of a partition, and of a chunk; documents up to which a list of ids is broadcast.
-BATCH_TOKENS, PART_TOKENS, CHUNK_TOKENS, BROADCAST_IDS = 500_000, 1_000_000, 1_500_000, 1_000_000
+BATCH_TOKENS, PART_TOKENS, CHUNK_TOKENS, BROADCAST_IDS = 250_000, 400_000, 750_000, 1_000_000
 NODES = "doc_id long, n int, s1 long, s2 long, first long, tokens binary"
 
 

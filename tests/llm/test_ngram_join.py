@@ -54,7 +54,7 @@ def corpus(seed, n=160, long=False):
     return rows
 
 
-@pytest.mark.parametrize("chunk_tokens", [1_500_000, 400])
+@pytest.mark.parametrize("chunk_tokens", [750_000, 400])
 def test_against_brute_force(spark, chunk_tokens):
     for seed in (1, 2):
         rows = corpus(seed, long=seed == 2)
