@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readqc.llm.store import bounded
 from readqc.llm.words import mix, ngrams, inside, slices, word_hashes
 
 SHINGLE, BINS, BITS = 5, 512, 4
@@ -83,7 +84,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row, without a shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(_fingerprint, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -123,7 +124,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ids = keyed.select("doc_id").repartitionByRange(n, "doc_id")

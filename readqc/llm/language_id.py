@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readqc.llm.store import bounded
 from readqc.llm.words import slices
 
 #: Size of the vectors, and the sharpness of the scores.
@@ -159,7 +160,7 @@ def _predict(shared):
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs; learns from the rows that are not held out."""
-    prototypes = learn(docs, ~held_out)
+    prototypes = learn(bounded(docs), ~held_out)
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
     rows = docs.select(F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     kind = dict(rows.dtypes)["doc_id"]

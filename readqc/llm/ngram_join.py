@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.llm.components import components
-from readqc.llm.store import materialize
+from readqc.llm.store import bounded, materialize
 from readqc.llm.words import as_bytes, inside, mix, ngrams, slices, word_hashes
 
 SHINGLE, MOST, SURE, FLOOR = 5, 256, 192, 128
@@ -326,7 +326,7 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 def link(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
-    conf = docs.sparkSession.conf
+    conf = bounded(docs).sparkSession.conf
     n = int(conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     nodes = keyed.mapInArrow(_nodes, NODES).repartition(n, "s1").sortWithinPartitions("s1", "s2", "n", "doc_id")

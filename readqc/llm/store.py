@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +14,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is set (tests, one machine), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="readqc-")
+        local = tempfile.mkdtemp(prefix="readqc-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs; where the session has the default of 64 MB for an Arrow batch, it gets 4 MB, so that long texts reach
+    Python in small pieces."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    if conf.get(key, None) in ("67108864b", "64MB", "64m"):
+        conf.set(key, "4m")
+    return docs
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages start from
     replicated files, so a lost executor never makes them recompute what came before."""

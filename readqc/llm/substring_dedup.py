@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.store import materialize
+from readqc.llm.store import bounded, materialize
 from readqc.llm.words import BASE_B, as_bytes, hashed, inside, mix, ngrams, signed, slices, word_hashes
 
 ANCHOR = 8
@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, tag (CRC of the text), start, n: at word ``start`` begin n consecutive windows that all start earlier elsewhere."""
     if window <= ANCHOR:
         raise ValueError(f"a window needs more than {ANCHOR} words")
-    keyed = _keyed(docs)
+    keyed = _keyed(bounded(docs))
     found = materialize(_resolved(keyed.select("doc_id", "text").mapInArrow(_pieces(window), PIECES)))
     branching = _by_document(found.where(F.col("kind") == BRANCHING))
     texts = keyed.join(branching.hint("shuffle_hash"), ["doc_id", "tag"])
