@@ -2,12 +2,16 @@
 
 Each returns sparse long counts keyed by ``by`` (mate and mapping-quality class, and the file where there are
 several): no zero is stored, and a shuffle carries at most keys x positions x series rows from a task.
-Bases are counted without a row for each read and base where that is possible: equal (key, position, base) cells
-of one read block meet in the partial aggregate, inside one generated stage.
+Bases are counted in blocks of reads (tally); per_base is the same as a plain plan, for streams and as a check.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,39 +43,130 @@ def lengths(reads: DataFrame, by=KEY) -> DataFrame:
     return reads.groupBy(*by, F.col("n_clipped").alias("len")).agg(F.count("*").alias("n"))
 
 
-def _per_base(reads: DataFrame, text: Column, by, pos) -> DataFrame:
-    """One row for each character of text: by, i (from 0), ch and the column t (length of text)."""
-    rows = reads.select(*by, text.alias("_s")).where(F.length("_s") > 0)
-    rows = rows.select(*by, F.length("_s").alias("t"), F.posexplode(F.split("_s", "")).alias("i", "ch"))
-    return rows.select(*by, pos(F.col("i"), F.col("t")).alias("pos"), "ch")
+def spread(rows: DataFrame) -> DataFrame:
+    """rows; where the scan gives fewer tasks than there are cores, dealt out anew before the costly part."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def per_base(reads: DataFrame, text: Column, by, series, place: str = "start") -> DataFrame:
+    """The declarative form of tally(): one row for each character, counted by an ordinary aggregate."""
+    rows = reads.select(*by, text.alias("_s"))
+    rows = rows.select(*by, F.length("_s").alias("t"), F.posexplode(F.split("_s", "")).alias("i", "ch")).where("ch <> ''")
+    pos = {"start": F.col("i"), "end": F.col("t") - 1 - F.col("i"), "norm": R.norm_bin(F.col("i"), F.col("t"))}[place]
+    return rows.select(*by, pos.alias("pos"), series(F.col("ch")).alias("series")).groupBy(*by, "pos", "series").agg(F.count("*").alias("n"))
+
+
+#: Cells that a task counts in one array before it hands them on, and characters it takes at once.
+CELLS, CHARACTERS = 4_000_000, 4_000_000
+
+
+def _codes(kind: str) -> np.ndarray:
+    """Series of each character code; the last entry stands for all higher codes."""
+    table = np.full(257, 4 if kind == "base" else R.QUALITIES - 1, np.int64)
+    if kind == "base":
+        for i, letter in enumerate(R.BASES[:4]):
+            table[[ord(letter), ord(letter.lower())]] = i
+    else:
+        table[:256] = np.clip(np.arange(256) - 33, 0, R.QUALITIES - 1)
+    return table
+
+
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Character codes (at most 256) of all texts in a row, and each text's length."""
+    raw = texts.cast(pa.binary())
+    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
+    data = np.frombuffer(raw.buffers()[2], np.uint8, int(first[-1] - first[0]), int(first[0])) if sizes.sum() else np.empty(0, np.uint8)
+    if not len(data) or data.max() < 128:
+        return data, sizes
+    starts = (data & 0xC0) != 0x80  # one byte of each character; any above 127 counts as 256
+    owner = np.repeat(np.arange(len(sizes)), sizes)[starts]
+    return np.where(data[starts] < 128, data[starts].astype(np.int64), 256), np.bincount(owner, minlength=len(sizes))
+
+
+def _groups(columns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's combination of values, and the first row of each combination."""
+    group = np.zeros(n, np.int64)
+    for c in columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        group = group * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+    _, firsts, group = np.unique(group, return_index=True, return_inverse=True)
+    return group, firsts
+
+
+def _counting(by: list, kind: str, place: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _codes(kind)
+        n_series = int(codes.max()) + 1
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.fill_null(pc.binary_length(batch.column("_s")), 0), 0))
+            sizes = pc.binary_length(batch.column("_s")).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(sizes) // CHARACTERS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield count(batch.slice(a, b - a), codes, n_series)
+
+    def count(rows: pa.RecordBatch, codes: np.ndarray, n_series: int) -> pa.RecordBatch:
+        group, firsts = _groups([rows.column(c) for c in by], len(rows))
+        data, sizes = _characters(rows.column("_s"))
+        start = np.cumsum(sizes) - sizes
+        i = np.arange(len(data)) - np.repeat(start, sizes)
+        if place == "end":
+            i = np.repeat(sizes, sizes) - 1 - i
+        elif place == "norm":
+            i = np.floor(i / np.repeat(sizes, sizes) * float(R.NORM_BINS)).astype(np.int64)
+        width = int(i.max()) + 1 if len(i) else 1
+        cell = (np.repeat(group, sizes) * width + i) * n_series + codes[data]
+        if len(firsts) * width * n_series <= CELLS:
+            n = np.bincount(cell)
+            cell = np.flatnonzero(n)
+            n = n[cell]
+        else:
+            cell, n = np.unique(cell, return_counts=True)
+        at = cell // (width * n_series)
+        columns = [rows.column(c).take(pa.array(firsts[at])) for c in by]
+        columns += [pa.array((cell // n_series % width).astype(np.int32)), pa.array((cell % n_series).astype(np.int32)), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=[*by, "pos", "series", "n"])
+
+    return run
+
+
+def tally(reads: DataFrame, text: Column, by, kind: str, place: str = "start") -> DataFrame:
+    """Characters by position and series (kind: base or quality), counted in blocks of reads.
+
+    The same as per_base(), without a row for each character: a task counts whole Arrow batches with NumPy and
+    hands on one row for each cell, which the aggregate adds up. place: start, end or norm.
+    """
+    by = list(by)
+    # no filter on the text: pushed down, it would be worked out from the raw columns a second time
+    rows = reads.select(*by, text.alias("_s"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "pos int, series int, n long"])
+    return spread(rows).mapInArrow(_counting(by, kind, place), schema).groupBy(*by, "pos", "series").agg(F.sum("n").alias("n"))
 
 
 def _forward(text: str) -> Column:
     return F.substring(F.col(text), F.col("clip5") + 1, F.col("n_clipped"))
 
 
+def _first(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
 def bases(reads: DataFrame, by=KEY, most: int | None = None) -> DataFrame:
     """Bases by position after the 5' clip; most: only so many first positions."""
-    text = _forward("seq_o") if most is None else F.substring(_forward("seq_o"), 1, most)
-    # characters meet before they are classed: the class is worked out once for each cell
-    cells = _per_base(reads, text, by, lambda i, t: i).groupBy(*by, "pos", "ch").agg(F.count("*").alias("n"))
-    return cells.groupBy(*by, "pos", R.base_code(F.col("ch")).alias("series")).agg(F.sum("n").alias("n"))
+    return tally(reads, _first(_forward("seq_o"), most), by, "base")
 
 
 def qualities(reads: DataFrame, by=KEY, most: int | None = None) -> DataFrame:
-    text = _forward("qual_o") if most is None else F.substring(_forward("qual_o"), 1, most)
-    return _classed(_per_base(reads, text, by, lambda i, t: i), by)
-
-
-def _classed(rows: DataFrame, by) -> DataFrame:
-    cells = rows.groupBy(*by, "pos", "ch").agg(F.count("*").alias("n"))
-    return cells.groupBy(*by, "pos", R.phred(F.col("ch")).alias("series")).agg(F.sum("n").alias("n"))
+    return tally(reads, _first(_forward("qual_o"), most), by, "quality")
 
 
 def bases_from_end(reads: DataFrame, by=KEY) -> DataFrame:
     """Bases by position from the read's end; clips are not looked at."""
-    cells = _per_base(reads, F.reverse("seq_o"), by, lambda i, t: i).groupBy(*by, "pos", "ch").agg(F.count("*").alias("n"))
-    return cells.groupBy(*by, "pos", R.base_code(F.col("ch")).alias("series")).agg(F.sum("n").alias("n"))
+    return tally(reads, F.col("seq_o"), by, "base", "end")
 
 
 def _quality_or_highest(compat: bool) -> Column:
@@ -81,17 +176,16 @@ def _quality_or_highest(compat: bool) -> Column:
 
 def qualities_from_end(reads: DataFrame, by=KEY, compat: bool = False) -> DataFrame:
     """compat: a missing quality counts as the highest."""
-    return _classed(_per_base(reads, F.reverse(_quality_or_highest(compat)), by, lambda i, t: i), by)
+    return tally(reads, _quality_or_highest(compat), by, "quality", "end")
 
 
 def bases_normalised(reads: DataFrame, by=KEY) -> DataFrame:
-    cells = _per_base(reads, _forward("seq_o"), by, R.norm_bin).groupBy(*by, "pos", "ch").agg(F.count("*").alias("n"))
-    return cells.groupBy(*by, "pos", R.base_code(F.col("ch")).alias("series")).agg(F.sum("n").alias("n"))
+    return tally(reads, _forward("seq_o"), by, "base", "norm")
 
 
 def qualities_normalised(reads: DataFrame, by=KEY, compat: bool = False) -> DataFrame:
     quality = reads.withColumn("qual_o", _quality_or_highest(compat))
-    return _classed(_per_base(quality, _forward("qual_o"), by, R.norm_bin), by)
+    return tally(quality, _forward("qual_o"), by, "quality", "norm")
 
 
 def insertions(reads: DataFrame, by=KEY) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readqc.operators.profiles import spread
+
 #: Records in the canonical schema from a lineitem table.
 READS_SQL = """
 SELECT 'lineitem' AS file, rid AS read_id, flag, mapq,
@@ -24,7 +26,7 @@ FROM (
 
 
 def reads_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"))
     return spark.sql(READS_SQL.replace("{table}", "{lines}"), lines=lines)
 
 
