@@ -251,3 +251,24 @@ def test_stream_counts_like_a_batch(spark, sam, tmp_path):
         q.stop()
         got = sorted(map(tuple, spark.table(f"s_{name}").collect()))
         assert got == sorted(map(tuple, getattr(P, name)(derive(raw)).collect()))
+
+
+@pytest.mark.parametrize("place", ["start", "end", "norm"])
+def test_block_counts_equal_the_plain_plan(spark, place):
+    from readqc.functions import reads as R
+
+    rows = [(1, 0, "ACGTNacgt"), (1, 0, "é🙂A" * 40), (2, None, "A"), (2, 3, ""), (1, 0, None), (2, None, "!~I#" * 100)] * 3
+    frame = spark.createDataFrame(rows, "read_no int, mapq_bin int, s string").repartition(3)
+    for kind, series in (("base", R.base_code), ("quality", R.phred)):
+        if kind == "quality":
+            frame = frame.where("s is null or s not like '%é%'")
+        fast = P.tally(frame, F.col("s"), P.KEY, kind, place)
+        plain = P.per_base(frame, F.col("s"), P.KEY, series, place)
+        show = lambda x: sorted(map(str, x.select("read_no", "mapq_bin", "pos", "series", "n").collect()))
+        assert show(fast) == show(plain) and fast.count()
+
+
+def test_wide_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELLS", 10)
+    got = list(P._counting(["k"], "base", "start")(iter([__import__("pyarrow").RecordBatch.from_pydict({"k": [1, 2, 1], "_s": ["ACG", "A", "AA"]})])))
+    assert sorted(zip(*(got[0].column(i).to_pylist() for i in range(4)))) == [(1, 0, 0, 2), (1, 1, 0, 1), (1, 1, 1, 1), (1, 2, 2, 1), (2, 0, 0, 1)]
