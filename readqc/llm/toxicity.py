@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.store import materialize
+from readqc.llm.store import bounded, materialize
 from readqc.llm.words import as_bytes, slices
 
 #: The letters that a character may stand for.
@@ -54,13 +54,13 @@ _EDGES = re.compile(r"^[\"'(\[{<.,;:?…]+|[\"')\]}>.,;:!?…]+$")
 _DECORATION = re.compile(r"([^\w\s])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 
-_TO_SMALL = np.zeros(256, np.int64)
+_TO_SMALL = np.zeros(256, np.int32)
 _TO_SMALL[97:123] = np.arange(1, 27)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**4, np.int64)
-    for part in slices(batches):
+    for part in slices(batches, most=300_000):
         x = _TO_SMALL[np.frombuffer(b"\0" + b"\0".join(t.lower() for t in as_bytes(part.column("text"))) + b"\0", np.uint8)]
         keep = np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))
         x = np.concatenate(([0, 0], x[keep]))  # what stands before a word break is not looked at
@@ -123,7 +123,7 @@ class Lexicon:
     def __call__(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 60_000:
                 self.known.clear()
             have = (self.entries.get(x, 0.0) for x in (word + " ", *(word[:n] for n in STEMS if n <= len(word))))
             found = self.known[word] = max(have)
@@ -200,14 +200,21 @@ def _texts(part: pa.RecordBatch) -> list:
 
 def _contexts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(shared.value)
+        decode, seen = Decoder(shared.value), set()
+
+        def batch():
+            words, contexts, toxic = zip(*seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "context", "toxic"])
+
         for part in slices(batches):
-            seen = set()
             for text, toxic in zip(_texts(part), part.column("toxic").to_pylist()):
                 words = ["", *_WORD.findall(restore(text, decode)), ""]
                 seen.update((w, hash64(left + " " + right), toxic) for left, w, right in zip(words, words[1:], words[2:]))
-            words, contexts, toxic = zip(*seen) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "context", "toxic"])
+                if len(seen) >= 50_000:
+                    yield batch()
+        if seen:
+            yield batch()
 
     return run
 
@@ -304,7 +311,7 @@ def _reject(shared):
 
 def _learned(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int):
     context = docs.sparkSession.sparkContext
-    model = context.broadcast(character_model(docs))
+    model = context.broadcast(character_model(bounded(docs)))
     learned = learn(docs, labels.select("doc_id", "toxic").where(~held_out), model, max_train)
     return context.broadcast((model.value, learned))
 

@@ -29,11 +29,11 @@ class _Memo(dict):
 _memo = _Memo()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about SLICE_BYTES of text; one longer text is one piece."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes of text; one longer text is one piece."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(sizes, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
