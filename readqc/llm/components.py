@@ -61,7 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
     """v, r for every node of edges (two columns of longs, none null): r is the least node of v's component."""
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     forest = lambda rows: materialize(rows.repartition(n, "v").mapInArrow(_contract, "v long, r long"))
-    now = forest(edges.toDF("v", "r").mapInArrow(_contract, "v long, r long"))
+    # no contraction before the shuffle: edges often come out of Python, and two Python steps in a task take two workers
+    now = forest(edges.toDF("v", "r"))
     said = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "r").cast("decimal(38,0)"))).first())
