@@ -9,8 +9,8 @@ from readqc.operators.profiles import spread
 #: Records in the canonical schema from a lineitem table.
 READS_SQL = """
 SELECT 'lineitem' AS file, rid AS read_id, flag, mapq,
-  substring(translate(concat(md5(concat(rid, 'a')), md5(concat(rid, 'b')), md5(concat(rid, 'c'))), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, n) AS seq,
-  substring(translate(concat(md5(concat(rid, 'd')), md5(concat(rid, 'e')), md5(concat(rid, 'f'))), '0123456789abcdef', '#%(+.147:=@BDFHK'), 1, n) AS qual,
+  translate(substring(concat(md5(concat(rid, 'a')), md5(concat(rid, 'b')), md5(concat(rid, 'c'))), 1, n), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq,
+  translate(substring(concat(md5(concat(rid, 'd')), md5(concat(rid, 'e')), md5(concat(rid, 'f'))), 1, n), '0123456789abcdef', '#%(+.147:=@BDFHK') AS qual,
   CASE k WHEN 0 THEN concat(n, 'M') WHEN 1 THEN concat('5S', n - 5, 'M') WHEN 2 THEN concat('20M2I', n - 22, 'M')
     WHEN 3 THEN concat('15M3D', n - 15, 'M') WHEN 4 THEN concat('3S10M1I4D', n - 17, 'M3S') ELSE concat('2H', n, 'M') END AS cigar,
   CASE k WHEN 0 THEN concat('10A', n - 11) WHEN 1 THEN concat('', n - 5) WHEN 2 THEN concat('7C', n - 10)
