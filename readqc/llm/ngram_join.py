@@ -46,7 +46,7 @@ from readqc.llm.words import as_bytes, inside, mix, ngrams, slices, word_hashes
 
 SHINGLE, MOST, SURE, FLOOR = 5, 256, 192, 128
 LOWEST = -(2**63)
-#: Tokens of a packed batch, of a partition, and of a chunk; documents up to which a list of ids is broadcast.
+#: Tokens of a packed batch, of a partition, and of a chunk; rows up to which a list of ids is broadcast.
 BATCH_TOKENS, PART_TOKENS, CHUNK_TOKENS, BROADCAST_IDS = 250_000, 400_000, 750_000, 1_000_000
 NODES = "doc_id long, n int, s1 long, s2 long, first long, tokens binary"
 
@@ -315,7 +315,7 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, rows: int) -> DataFrame:
-    """docs joined with members on doc_id: by broadcast while the list is small, else by a shuffle."""
+    """docs joined with members, a list of so many rows, on doc_id: by broadcast while it is small, else by a shuffle."""
     return docs.join(F.broadcast(members) if rows <= BROADCAST_IDS else members.hint("shuffle_hash"), "doc_id")
 
 
@@ -373,7 +373,8 @@ def _across(keyed: DataFrame, found: DataFrame, members: DataFrame, chunk_tokens
     own = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
     asked = rows.where("outlier").select("doc_id", "root", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own.alias("block"), F.lit(True).alias("outlier"))
     tasks = all_.unionByName(asked)
-    texts = _dealt(_texts_of(keyed, tasks, rows.count()), "g", "chunk", "block")
+    size = rows.agg(F.sum(F.col("blocks").cast("long") + F.when(F.col("outlier"), F.col("chunks")).otherwise(0))).first()[0] or 0  # rows of tasks
+    texts = _dealt(_texts_of(keyed, tasks, size), "g", "chunk", "block")
     more = texts.mapInArrow(_outside, "a long, b long")
     final = components(edges.toDF("a", "b").unionByName(more))
     return found.join(final.toDF("doc_id", "label"), "doc_id", "left").select("doc_id", F.coalesce("label", "root").alias("root"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from readqc.llm import ngram_join
 from readqc.llm.components import components, roots
 from readqc.llm.ngram_join import dedup, link
 
@@ -76,6 +77,31 @@ def test_one_group_in_many_chunks(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_broadcast_bound_counts_the_broadcast_rows(spark, monkeypatch):
+    """The list that holds the chunks against each other has a row for each block and chunk, not for each document."""
+    r = random.Random(9)
+    rows = []
+    for d in range(120):
+        words = [f"b{i}" for i in range(100)]
+        words[r.randrange(100)] = f"x{d}"
+        if d % 10 == 0:
+            words[40:52] = [f"y{d // 20}.{i}" for i in range(12)]
+        rows.append((d, " ".join(words)))
+    seen, texts_of = [], ngram_join._texts_of
+
+    def watched(docs, members, n):
+        out = texts_of(docs, members, n)
+        seen.append((members.count(), n, "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_texts_of", watched)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 200)
+    got = link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 900)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert [(n, broadcast) for _, n, broadcast in seen] == [(m, m <= 200) for m, *_ in seen]
+    assert seen[0][0] <= 200 < seen[1][0]
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}é" for i in range(20_000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "A B"), (6, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (8, long), (9, long + " end"), (10, "a " * 500), (11, "a " * 900), (None, "lone one")]
