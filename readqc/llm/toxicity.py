@@ -1,11 +1,14 @@
 """Operator 8: toxicity of texts whose spelling may be disguised.
 
-1. A character language model: 4-gram counts over the words of all documents, added up in one shuffle of at
-   most 27**4 keys, interpolated down to single letters (2 MB, broadcast).
-2. Deobfuscation: tokens with signs of leetspeak, inner punctuation, stretched letters or spaced-out letters
-   become lattices (each character with the letters it may stand for, a run of three or more with one or two,
-   a separator with nothing or a word break); Viterbi decoding finds the likeliest path under the model.
-   Everything else is left as it is.
+1. A character language model: 4-gram counts over the words of all documents, interpolated down to single
+   letters. Its alphabet is a-z and the other letters that the documents hold most often, up to OWN in all; the
+   rest share one number there, but stay themselves in the text. One shuffle of at most (OWN + 2)**4 keys; with
+   the 37 letters of four languages the model has 39**4 numbers (9 MB, broadcast).
+2. Deobfuscation: tokens with signs of leetspeak, inner punctuation, doubled or stretched letters or spaced-out
+   letters become lattices (each letter as itself, each other character with the letters it may stand for, a run
+   of three or more with one or two, a double letter also as one, a separator with nothing or a word break, each
+   '*' with any letter); Viterbi decoding finds the likeliest path under the model. Everything else is left as
+   it is. In tokens of over MASKED characters, which are no words, '*' stays one vowel or separator.
 3. A lexicon learned from labelled training rows (at most ``max_train``, those with the least hash of their
    doc_id): words and beginnings of words (inflected forms share them) that occur in significantly more
    different contexts (left and right neighbour) of toxic than of other documents. Contexts, not documents,
@@ -23,16 +26,19 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readqc.llm.store import bounded, materialize
-from readqc.llm.words import as_bytes, slices
+from readqc.llm.words import slices
 
 #: The letters that a character may stand for.
 LEET = {
@@ -44,53 +50,106 @@ SEPARATORS = " .-_*~"
 MAX_TRAIN = 20_000
 #: Costs in nats of reading a sign as a letter and of dropping one; prior weight of the shorter context; evidence asked of a word.
 AS_LETTER, DROPPED, BACKOFF, EVIDENCE = 0.5, 6.0, 2.0, 15.0
+#: Costs in nats of reading a double letter as one, '*' as a consonant, and one of several '*' between letters as no letter.
+DOUBLED, CONSONANT, UNMASKED = 4.0, 1.0, 3.0
 #: Lengths of the beginnings of words that are looked at, and the least log odds (two standard errors off) of an entry.
 STEMS, LEAST_ODDS = range(3, 9), 1.5
-SIZE = 27
-
-_SIGNS = re.compile(r"[0-9@$|!+€(*._~-][a-z]|[a-z][0-9@$€|]{1,2}(?![^\s.,;:!?])|([a-z])\1\1|(?<!\S)[a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*] [a-z0-9@$!|+€(*](?![^\s.,;:!?])")
-_SPACED = re.compile(r"(?:(?<!\S)[a-z0-9@$!|+€(*] )+[a-z0-9@$!|+€(*](?![^\s.,;:!?])")
+#: Letters with a number of their own (English, French, German and Spanish have fewer); characters of a token with '*' for any letter.
+OWN, MASKED = 52, 64
+ASCII = "abcdefghijklmnopqrstuvwxyz"
+#: From here on a number is a letter without one of its own, plus this.
+REST = 1 << 24
+
+_L, _C, _B = r"[^\W\d_]", r"(?:[^\W_]|[@$!|+€(*])", r"[^\S\r\n]+"
+_SIGNS = re.compile(rf"[0-9@$|!+€(*._~-]{_L}|{_L}[0-9@$€|]{{1,2}}(?![^\s.,;:!?])|({_L})\1|(?<!\S){_C}{_B}{_C}{_B}{_C}(?![^\s.,;:!?])")
+_SPACED = re.compile(rf"(?:(?<!\S){_C}{_B})+{_C}(?![^\s.,;:!?])")
 _EDGES = re.compile(r"^[\"'(\[{<.,;:?…]+|[\"')\]}>.,;:!?…]+$")
-_DECORATION = re.compile(r"([^\w\s])\1\1+")
+_DECORATION = re.compile(rf"([^\w\s*])\1\1+|(?<!{_L})(?<!\*)\*{{3,}}|\*{{3,}}(?!{_L}|\*)")  # '*' between letters stays
 _WORD = re.compile(r"[^\W\d_]+")
 
-_TO_SMALL = np.zeros(256, np.int32)
-_TO_SMALL[97:123] = np.arange(1, 27)
+
+def _points(part: pa.RecordBatch) -> np.ndarray:
+    """Code points of the texts in lower case, each between zeros."""
+    return np.frombuffer(("\0" + "\0".join(_texts(part)).lower() + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE**4, np.int64)
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
     for part in slices(batches, most=300_000):
-        x = _TO_SMALL[np.frombuffer(b"\0" + b"\0".join(t.lower() for t in as_bytes(part.column("text"))) + b"\0", np.uint8)]
-        keep = np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))
-        x = np.concatenate(([0, 0], x[keep]))  # what stands before a word break is not looked at
-        a = x[2:-1]
-        b = np.where(a != 0, x[1:-2], 0)
-        c = np.where(b != 0, x[:-3], 0)
-        at = ((c * SIZE + b) * SIZE + a) * SIZE + x[3:]
-        total += np.bincount(at[(a != 0) | (x[3:] != 0)], minlength=SIZE**4)
-    used = np.flatnonzero(total)
-    for i in range(0, len(used), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 50_000].astype(np.int32)), pa.array(total[used[i : i + 50_000]])], names=["gram", "n"])
-
-
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Log probability of a letter (0: word break) after three; [a, b, c, d] is d after a, b, c."""
-    counts = np.zeros(SIZE**4)
-    # at most 27**4 rows reach the driver
-    for batch in docs.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        part = part.filter(pc.invert(pc.fill_null(pc.string_is_ascii(part.column("text")), True)))
+        if len(part):
+            x = _points(part)
+            found.update(dict(zip(*(a.tolist() for a in np.unique(x[x > 127], return_counts=True)))))
+    have = [x for x in found if chr(x).isalpha()]
+    yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array([found[x] for x in have], pa.int64())], names=["letter", "n"])
+
+
+def alphabet(docs: DataFrame) -> str:
+    """a-z and the commonest other letters of docs, OWN in all."""
+    counts = docs.select("text").mapInArrow(_letters, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+    return ASCII + "".join(sorted(chr(r.letter) for r in counts.orderBy(F.desc("n"), "letter").limit(OWN - len(ASCII)).collect()))
+
+
+def _count(letters: str):
+    size = len(letters) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.zeros(0x110000, np.int32)
+        number[[ord(c) for c in letters]] = np.arange(1, size - 1)
+        total = np.zeros(size**4, np.int64)
+        for part in slices(batches, most=300_000):
+            points = _points(part)
+            x = number[points]
+            other = points[(x == 0) & (points > 127)]
+            if len(other):
+                number[[p for p in np.unique(other).tolist() if chr(p).isalpha()]] = size - 1
+                x = number[points]
+            keep = np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))
+            x = np.concatenate(([0, 0], x[keep]))  # what stands before a word break is not looked at
+            a = x[2:-1]
+            b = np.where(a != 0, x[1:-2], 0)
+            c = np.where(b != 0, x[:-3], 0)
+            at = ((c * size + b) * size + a) * size + x[3:]
+            total += np.bincount(at[(a != 0) | (x[3:] != 0)], minlength=size**4)
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 50_000].astype(np.int32)), pa.array(total[used[i : i + 50_000]])], names=["gram", "n"])
+
+    return run
+
+
+def character_model(docs: DataFrame, letters: str = ASCII) -> np.ndarray:
+    """Log probability of a letter (0: word break, the last number: any not in letters) after three; [a, b, c, d] is d after a, b, c."""
+    size = len(letters) + 2
+    counts = np.zeros(size**4)
+    # at most size**4 rows reach the driver
+    for batch in docs.select("text").mapInArrow(_count(letters), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[batch.column("gram").to_numpy()] = batch.column("n").to_numpy()
-    four = counts.reshape((SIZE,) * 4)
+    four = counts.reshape((size,) * 4)
     three = four.sum(axis=0)
     two = three.sum(axis=0)
     one = two.sum(axis=0)
-    p = (one + 1) / (one.sum() + SIZE)
+    p = (one + 1) / (one.sum() + size)
     for table in (two, three, four):
         p = (table + BACKOFF * p) / (table.sum(axis=-1, keepdims=True) + BACKOFF)
     return np.log(p).astype(np.float32)
 
 
-def lattice(token: str) -> list:
+class Letters(dict):
+    """The numbers of letters; one that is not in the alphabet has REST and its code point."""
+
+    def __init__(self, letters: str = ASCII) -> None:
+        super().__init__((c, i + 1) for i, c in enumerate(letters))
+        base = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+        #: What a sign may stand for: its letters with or without accents.
+        self.signs = {c: [self[x] for x in letters if base[x] in plain] for c, plain in LEET.items()}
+        self.mask = [((i,), AS_LETTER if base[c] in LEET["*"] else CONSONANT) for c, i in self.items()]
+
+    def __missing__(self, letter: str) -> int:
+        return REST + ord(letter)
+
+
+def lattice(token: str, letters: Letters = Letters()) -> list:  # noqa: B008
     """Positions of alternatives (letters as numbers, 0: word break; cost)."""
     out: list = []
     i = 0
@@ -99,12 +158,18 @@ def lattice(token: str) -> list:
         j = i
         while j < len(token) and token[j] == c:
             j += 1
-        if "a" <= c <= "z":
-            x = ord(c) - 96
-            out += [[((x,), 0.0), ((x, x), 0.0)]] if j - i > 2 else [[((x,), 0.0)]] * (j - i)
+        if c.isalpha():
+            x = letters[c]
+            if j - i > 1:
+                out.append([((x,), 0.0), ((x, x), 0.0)] if j - i > 2 else [((x, x), 0.0), ((x,), DOUBLED)])
+            else:
+                out.append([((x,), 0.0)])
+        elif c == "*" and len(token) <= MASKED:
+            several = UNMASKED if j - i > 1 and token[i - 1 : i].isalpha() and token[j : j + 1].isalpha() else 0.0
+            out += [[*letters.mask, ((), several), ((0,), several)]] * (j - i)
         else:
             for _ in range(1 if c in SEPARATORS else j - i):
-                options = [((ord(x) - 96,), AS_LETTER) for x in LEET.get(c, "")]
+                options = [((x,), AS_LETTER) for x in letters.signs.get(c, ())]
                 options += [((), 0.0 if c in SEPARATORS else DROPPED)]
                 if c in SEPARATORS or not options[:-1]:
                     options += [((0,), 0.0)]
@@ -133,8 +198,9 @@ class Lexicon:
 class Decoder:
     """Viterbi decoding of tokens; remembers what it has decoded."""
 
-    def __init__(self, model: np.ndarray) -> None:
-        self.model = model.reshape(-1)
+    def __init__(self, model: np.ndarray, letters: str = ASCII) -> None:
+        self.model, self.size = model.reshape(-1), len(letters) + 2
+        self.letters, self.names = Letters(letters), " " + letters
         self.known: dict = {}
 
     def __call__(self, token: str) -> str:
@@ -146,27 +212,65 @@ class Decoder:
         return found
 
     def _decode(self, token: str) -> str:
-        model = self.model
+        options = [*lattice(token, self.letters), [((0,), 0.0)]]
+        path = self._wide(options) if token.count("*") > 1 and len(token) <= MASKED else self._narrow(options)
+        return "".join(chr(x - REST) if x >= REST else self.names[x] for x in path).strip()
+
+    def _narrow(self, positions: list) -> list:
+        model, size = self.model, self.size
         states = {0: (0.0, None)}  # the last three letters: cost, path
-        for options in [*lattice(token), [((0,), 0.0)]]:
+        for options in positions:
             after: dict = {}
             for state, (cost, path) in states.items():
                 for letters, extra in options:
                     s, total, way = state, cost + extra, path
                     for x in letters:
+                        number = x if x < REST else size - 1
                         if x or s:
-                            total -= float(model[s * SIZE + x])
+                            total -= float(model[s * size + number])
                             way = (x, way)
-                        s = (s % SIZE**2) * SIZE + x if x else 0
+                        s = (s % size**2) * size + number if x else 0
                     if s not in after or total < after[s][0]:
                         after[s] = (total, way)
             states = after
         _, path = min(states.values(), key=lambda v: v[0])
         out = []
         while path:
-            out.append(chr(96 + path[0]) if path[0] else " ")
+            out.append(path[0])
             path = path[1]
-        return "".join(reversed(out)).strip()
+        return out[::-1]
+
+    def _wide(self, positions: list) -> list:
+        """The same with all states at once, for tokens where most can be reached."""
+        size = self.size
+        model, pairs = self.model.reshape(size**3, size), np.arange(size**2)
+        cost, came = np.full(size**3, np.inf), []
+        cost[0] = 0.0
+        for options in positions:
+            best, chosen, origin = np.full(size**3, np.inf), np.zeros(size**3, np.int16), np.zeros(size**3, np.int32)
+            for k, (letters, extra) in enumerate(options):
+                now, source = cost + extra, np.arange(size**3, dtype=np.int32)
+                for x in letters:
+                    number = x if x < REST else size - 1
+                    total = now - model[:, number]
+                    to, start = np.full(size**3, np.inf), np.zeros(size**3, np.int32)
+                    if x:
+                        at = total.reshape(size, size**2).argmin(axis=0) * size**2 + pairs
+                        to[number::size], start[number::size] = total[at], source[at]
+                    else:
+                        total[0] = now[0]
+                        at = total.argmin()
+                        to[0], start[0] = total[at], source[at]
+                    now, source = to, start
+                less = now < best
+                best[less], chosen[less], origin[less] = now[less], k, source[less]
+            came.append((options, chosen, origin))
+            cost = best
+        s, out = int(cost.argmin()), []
+        for options, chosen, origin in reversed(came):
+            letters, s = options[chosen[s]][0], int(origin[s])
+            out += [x for x in reversed(letters) if x or s]
+        return out[::-1]
 
 
 def restore(text: str, decode: Decoder) -> str:
@@ -174,7 +278,7 @@ def restore(text: str, decode: Decoder) -> str:
     low = text.lower()
     if not _SIGNS.search(low):
         return low
-    low = _SPACED.sub(lambda m: decode(m[0]) if m[0].count(" ") > 1 else m[0], low)
+    low = _SPACED.sub(lambda m: decode(" ".join(m[0].split())) if len(m[0].split()) > 2 else m[0], low)
     out, done = [], 0
     for hit in _SIGNS.finditer(low):
         a, b = hit.span()
@@ -200,7 +304,7 @@ def _texts(part: pa.RecordBatch) -> list:
 
 def _contexts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode, seen = Decoder(shared.value), set()
+        decode, seen = Decoder(*shared.value), set()
 
         def batch():
             words, contexts, toxic = zip(*seen)
@@ -284,8 +388,8 @@ def fit(x, n, t) -> tuple[float, float]:
 
 def _predict(shared, labelled: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, learned = shared.value
-        decode, lexicon = Decoder(model), Lexicon(learned["words"])
+        language, learned = shared.value
+        decode, lexicon = Decoder(*language), Lexicon(learned["words"])
         for part in slices(batches):
             evidence = np.array([sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) for t in _texts(part)], float)
             columns = [part.column("doc_id"), part.column("held_out")]
@@ -300,8 +404,8 @@ def _predict(shared, labelled: bool = False):
 
 def _reject(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, learned = shared.value
-        decode, lexicon = Decoder(model), Lexicon(learned["words"])
+        language, learned = shared.value
+        decode, lexicon = Decoder(*language), Lexicon(learned["words"])
         for part in slices(batches):
             logit = np.array([learned["slope"] * sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) + learned["intercept"] for t in _texts(part)], float)
             yield part.filter(pa.array(logit < 0))
@@ -311,9 +415,10 @@ def _reject(shared):
 
 def _learned(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int):
     context = docs.sparkSession.sparkContext
-    model = context.broadcast(character_model(bounded(docs)))
-    learned = learn(docs, labels.select("doc_id", "toxic").where(~held_out), model, max_train)
-    return context.broadcast((model.value, learned))
+    letters = alphabet(bounded(docs))
+    language = context.broadcast((character_model(docs, letters), letters))
+    learned = learn(docs, labels.select("doc_id", "toxic").where(~held_out), language, max_train)
+    return context.broadcast((language.value, learned))
 
 
 def reject(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -65,6 +65,27 @@ def test_held_out_and_disguised(spark):
     assert by[1000].predicted == 1 and not any(by[i].predicted for i in (1001, 1002, 1003, 1004, None))
 
 
+def test_disguises_in_four_languages(spark):
+    plain = {"en": "idiot scum worthless letter", "fr": "débile crétin façade", "de": "dämlich blödmann größe", "es": "estúpido cabrón niño"}
+    docs = spark.createDataFrame([(i, f"{t} {g}") for i, (t, g) in enumerate((t, g) for t in plain.values() for g in GOOD)] + [(999, "жук")], "doc_id long, text string")
+    letters = T.alphabet(docs)
+    assert letters == T.ASCII + "".join(sorted("éçäößúóñжук"))
+    model = T.character_model(docs, letters)
+    decode = T.Decoder(model, letters)
+    cases = {
+        "estúp1do": "estúpido", "cabr0n": "cabrón", "d.é.b.i.l.e": "débile", "cré7in": "crétin", "däml1ch": "dämlich", "gröööße": "größe", "e s t ú p i d o": "estúpido",
+        "iidiot": "idiot", "sccum": "scum", "estúúpido": "estúpido", "blödmmann": "blödmann", "letter": "letter", "worthless": "worthless",
+        "s**m": "scum", "est**ido": "estúpido", "d*b*le": "débile", "id***t": "idiot", "**scum**": "scum", "letter***": "letter",
+        "i  d \t i\u00a0o   t": "idiot", "d  é  b  i  l  e": "débile", "idi0t": "idiot",
+    }
+    assert {x: T.restore(x, decode) for x in cases} == cases
+    for token in ["s**m", "d*b*le", "i*d*i*o*t", "*x*", "a**"]:  # both ways of searching
+        positions = [*T.lattice(token, decode.letters), [((0,), 0.0)]]
+        assert decode._wide(positions) == decode._narrow(positions)
+    rare = T.Decoder(T.character_model(docs), T.ASCII)  # letters without a number of their own stay as they are
+    assert T.restore("estúp1do déébile ж.у.к", rare).split()[0] == "estúpido"
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.score(spark.createDataFrame([], "doc_id long, text string"), none, F.lit(False)).count() == 0
