@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Everything that separates words.
-SPACE = " \t\n\x0b\f\r"
-
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and \\t to \\r; null text: 0."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

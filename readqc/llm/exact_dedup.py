@@ -10,7 +10,7 @@
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, a null
 doc_id is smaller than any other; of rows that repeat the winner's doc_id and text exactly one stays;
-extra columns of the input are ignored by ``mark`` and carried by ``dedup``.
+extra columns of the input are ignored by ``mark`` and carried unchanged by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readqc.llm.store import materialize
+from readqc.llm.store import materialize, spare
 
 #: Misra-Gries counters of one summary; the broadcast never has more rows.
 COUNTERS = 1024
@@ -72,8 +72,9 @@ def mark(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with all their columns; whole copies of a kept row leave only one."""
     id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    kept = mark(docs, counters).where("kept").select(id_("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumns({"_id": id_("doc_id"), "_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
-    joined = keyed.join(kept.hint("shuffle_hash"), ["_id", "_sha"], "left_semi")
-    again = Window.partitionBy("_id", "_sha").orderBy("_id")  # dealt like the join: rows that repeat the winner
-    return joined.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n", "_id", "_sha")
+    own, sha, n = spare(docs, "_id", "_sha", "_n")
+    kept = mark(docs, counters).where("kept").select(id_("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumns({own: id_("doc_id"), sha: F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
+    joined = keyed.join(kept.hint("shuffle_hash"), [own, sha], "left_semi")
+    again = Window.partitionBy(own, sha).orderBy(own)  # dealt like the join: rows that repeat the winner
+    return joined.withColumn(n, F.row_number().over(again)).where(F.col(n) == 1).drop(n, own, sha)

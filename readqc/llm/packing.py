@@ -3,7 +3,7 @@
 Documents longer than ``max_len`` tokens are cut into pieces of max_len (the last one shorter), so nothing
 is dropped. The global histogram of piece lengths (at most max_len + 1 rows, whatever the input) goes to
 the driver, where dynamic programming chooses the ``buckets`` boundaries that minimise the padding of all
-pieces together. Inside a bucket, pieces in order of (doc_id, piece) fill batches of
+pieces together. Inside a bucket, pieces in order of (doc_id, piece, length) fill batches of
 ``budget // boundary`` slots, each padded to the boundary.
 
 A bucket may hold most rows, so a piece's rank in its bucket is not counted in one task: the (text-free)
@@ -11,7 +11,7 @@ rows are range-partitioned and sorted, each task numbers its own, and one offset
 bucket (at most partitions + buckets rows, broadcast) turns that into ranks.
 
 Defined results: null and empty texts have 0 tokens and one piece that is in no bucket or batch (nulls
-there, padding 0); a null doc_id comes first; repeated rows are packed each; extra columns are ignored.
+there, padding 0); a null doc_id comes first; repeated rows are packed each (rows that tie in the order are alike in every column of the result); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ def ranked(rows: DataFrame, group: str, order: list) -> DataFrame:
     sizes = dealt.groupBy(group, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # broadcast: at most partitions + groups rows, as the rows are sorted by group
     joined = dealt.join(F.broadcast(offsets), dealt[group].eqNullSafe(F.col("_g")) & (part == F.col("_p")))
     return joined.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_g", "_p", "_first", "_before")
 
@@ -79,7 +80,7 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 3
     bucket = F.lit(None).cast("int")
     for end in reversed(ends):
         bucket = F.when(F.col("n_tokens") <= end, end).otherwise(bucket)
-    placed = ranked(pieces.withColumn("bucket_len", F.when(F.col("n_tokens") > 0, bucket)), "bucket_len", ["doc_id", "piece"])
+    placed = ranked(pieces.withColumn("bucket_len", F.when(F.col("n_tokens") > 0, bucket)), "bucket_len", ["doc_id", "piece", "n_tokens"])
     slots = F.floor(F.lit(budget) / F.col("bucket_len"))
     return placed.select(
         "doc_id",
@@ -90,3 +91,27 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 3
         F.when(F.col("bucket_len").isNotNull(), F.col("rank") % slots).alias("slot"),
         F.coalesce(F.col("bucket_len") - F.col("n_tokens"), F.lit(0)).alias("padding"),
     )
+
+
+def oracle(max_len: int, buckets: int, budget: int) -> str:
+    """pack() over the table documents as DuckDB SQL: one step of the dynamic programming for each bucket."""
+    steps = "".join(
+        f"""b{k} AS MATERIALIZED (SELECT j, x.cost AS cost, x.came AS came FROM (SELECT j, min({{'cost': cost, 'new': came < j, 'came': came}}) AS x FROM (
+  SELECT l.j, b.cost + l.n * (l.pieces - q.pieces) - (l.tokens - q.tokens) AS cost, b.j AS came FROM l JOIN b{k - 1} b ON b.j < l.j JOIN l q ON q.j = b.j
+  UNION ALL SELECT j, cost, j FROM b{k - 1}) GROUP BY j)),
+"""
+        for k in range(1, buckets + 1)
+    )
+    back = "".join(f"s{k - 1} AS (SELECT b.j, b.came FROM b{k - 1} b JOIN s{k} ON b.j = s{k}.came),\n" for k in range(buckets, 1, -1))
+    found = " UNION ".join(f"SELECT j FROM s{k} WHERE came < j" for k in range(1, buckets + 1))
+    return f"""WITH t AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::INT AS t FROM documents),
+p AS MATERIALIZED (SELECT doc_id, piece, least({max_len}, t - piece * {max_len})::INT AS n FROM (SELECT doc_id, t, unnest(range(0, greatest((t + {max_len - 1}) // {max_len}, 1)))::INT AS piece FROM t)),
+l AS MATERIALIZED (SELECT row_number() OVER w AS j, n::BIGINT AS n, (sum(c) OVER w)::BIGINT AS pieces, (sum(c * n) OVER w)::BIGINT AS tokens FROM (SELECT n, count(*) AS c FROM p WHERE n > 0 GROUP BY n) WINDOW w AS (ORDER BY n)
+  UNION ALL SELECT 0, 0, 0, 0),
+b0 AS (SELECT 0::BIGINT AS j, 0::BIGINT AS cost, 0::BIGINT AS came),
+{steps}s{buckets} AS (SELECT j, came FROM b{buckets} WHERE j = (SELECT max(j) FROM l)),
+{back}ends AS (SELECT n::INT AS e FROM l WHERE j IN ({found})),
+q AS (SELECT doc_id, piece, n, CASE WHEN n > 0 THEN (SELECT min(e) FROM ends WHERE e >= n) END AS e FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY doc_id NULLS FIRST, piece, n) - 1 AS k, {budget} // e AS slots FROM q)
+SELECT doc_id, piece, n AS n_tokens, e AS bucket_len, CASE WHEN e IS NOT NULL THEN concat(e, '-', k // slots) END AS batch_id,
+  CASE WHEN e IS NOT NULL THEN (k % slots)::BIGINT END AS slot, coalesce(e - n, 0)::INT AS padding FROM r"""

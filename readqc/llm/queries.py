@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, url_filter
+from readqc.llm.store import small_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(f):
@@ -71,6 +72,9 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), max_len=2048, buckets=8, budget=32_768)
 
 
+ORACLES["op5_pack"] = packing.oracle(max_len=2048, buckets=8, budget=32_768)
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -80,7 +84,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "mix_order")
+    return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", F.round("mix_order", 9).alias("mix_order"))
+
+
+ORACLES["op7_mix"] = mixing.oracle(repetition=2.0)
 
 
 @query

@@ -9,11 +9,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_folders: dict = {}  # (application, shared folder) -> the folder of all its tables
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests, one machine), a new local one."""
+    """The cluster's checkpoint folder. Where none is set, a new local one, but only for a local master: on a cluster
+    each executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="readqc-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
@@ -21,19 +28,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """docs; where the session has the default of 64 MB for an Arrow batch, it gets 4 MB, so that long texts reach
-    Python in small pieces."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
-    if conf.get(key, None) in ("67108864b", "64MB", "64m"):
-        conf.set(key, "4m")
-    return docs
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For applications that read long texts (the registered queries do): where the session has the default of 64 MB for
+    an Arrow batch, it gets 4 MB. The operators themselves leave the session as it is."""
+    if spark.conf.get(_BATCH, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, "4m")
+    return spark
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages start from
     replicated files, so a lost executor never makes them recompute what came before."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/readqc-{uuid.uuid4().hex}"
+    shared = shared_folder(spark)
+    own = _folders.setdefault((spark.sparkContext.applicationId, shared), f"{shared}/readqc-{uuid.uuid4().hex}")
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has materialized; results not yet written can't be read after that."""
+    context = spark.sparkContext
+    for key in [k for k in _folders if k[0] == context.applicationId]:
+        path = context._jvm.org.apache.hadoop.fs.Path(_folders.pop(key))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be one of df's columns."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out

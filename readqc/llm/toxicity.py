@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.store import bounded, materialize
+from readqc.llm.store import materialize
 from readqc.llm.words import slices
 
 #: The letters that a character may stand for.
@@ -415,7 +415,7 @@ def _reject(shared):
 
 def _learned(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int):
     context = docs.sparkSession.sparkContext
-    letters = alphabet(bounded(docs))
+    letters = alphabet(docs)
     language = context.broadcast((character_model(docs, letters), letters))
     learned = learn(docs, labels.select("doc_id", "toxic").where(~held_out), language, max_train)
     return context.broadcast((language.value, learned))

@@ -33,6 +33,15 @@ def test_against_brute_force(spark):
         assert len(kept) == len(want)
 
 
+def test_clashing_columns_are_carried(spark):
+    names = ["_id", "_sha", "_n", "__id", "n", "kept", "keep_id", "digest", "text_sha256"]
+    rows = [(i, f"t{i // 3}", *(f"{c}{i}" for c in names)) for i in range(30)] + [(29, "t9", *(f"{c}29" for c in names))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+    got = dedup(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in set(rows) if x[0] % 3 == 2)
+
+
 def test_summary_has_every_frequent_digest(spark):
     r = random.Random(1)
     values = [r.choice([b"a", b"b", *(str(r.random()).encode() for _ in range(4))]) for _ in range(3000)]
