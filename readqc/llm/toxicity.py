@@ -7,15 +7,17 @@
 2. Deobfuscation: tokens with signs of leetspeak, inner punctuation, doubled or stretched letters or spaced-out
    letters become lattices (each letter as itself, each other character with the letters it may stand for, a run
    of three or more with one or two, a double letter also as one, a separator with nothing or a word break, each
-   '*' with any letter); Viterbi decoding finds the likeliest path under the model. Everything else is left as
-   it is. In tokens of over MASKED characters, which are no words, '*' stays one vowel or separator.
+   '*' with any letter); Viterbi decoding finds the likeliest path under the model. A token changes only if that
+   is likelier by GAIN than the token as it stands (its letters, KEPT for each sign) and not the same words. In
+   tokens of over MASKED characters, which are no words, '*' stays one vowel or separator.
 3. A lexicon learned from labelled training rows (at most ``max_train``, those with the least hash of their
    doc_id): words and beginnings of words (inflected forms share them) that occur in significantly more
    different contexts (left and right neighbour) of toxic than of other documents. Contexts, not documents,
    are counted, so copies of one noisily labelled text don't make its words suspicious.
 4. score: a text's evidence adds up, over the distinct words of the restored text that are or begin with a
    lexicon entry, the entry's log odds less two standard errors (the strongest entry of each word); a logistic
-   curve fitted to the training rows makes a probability of it.
+   curve makes a probability of it. The curve is fitted to evidence of words that come from other rows: each half
+   of the training rows is scored with the lexicon of the other half.
 
 Defined results: null and empty texts have no evidence; without training rows every text scores 0.01; null
 labels are not learned; repeated rows are scored each; labels of one doc_id that disagree count as toxic; a
@@ -51,7 +53,12 @@ MAX_TRAIN = 20_000
 #: Costs in nats of reading a sign as a letter and of dropping one; prior weight of the shorter context; evidence asked of a word.
 AS_LETTER, DROPPED, BACKOFF, EVIDENCE = 0.5, 6.0, 2.0, 15.0
 #: Costs in nats of reading a double letter as one, '*' as a consonant, and one of several '*' between letters as no letter.
-DOUBLED, CONSONANT, UNMASKED = 4.0, 1.0, 3.0
+DOUBLED, CONSONANT, UNMASKED = 8.0, 1.0, 3.0
+#: Cost in nats of joining what a separator parts, for each side of it that has several characters.
+JOINED = 2.0
+#: Cost in nats of each sign of a token that is left as it is, and what a decoded token must gain; tokens that a worker
+#: remembers, and the longest of these.
+KEPT, GAIN, TOKENS, TOKEN = 1.0, 4.0, 100_000, 100
 #: Lengths of the beginnings of words that are looked at, and the least log odds (two standard errors off) of an entry.
 STEMS, LEAST_ODDS = range(3, 9), 1.5
 #: Letters with a number of their own (English, French, German and Spanish have fewer); characters of a token with '*' for any letter.
@@ -63,9 +70,11 @@ REST = 1 << 24
 _L, _C, _B = r"[^\W\d_]", r"(?:[^\W_]|[@$!|+€(*])", r"[^\S\r\n]+"
 _SIGNS = re.compile(rf"[0-9@$|!+€(*._~-]{_L}|{_L}[0-9@$€|]{{1,2}}(?![^\s.,;:!?])|({_L})\1|(?<!\S){_C}{_B}{_C}{_B}{_C}(?![^\s.,;:!?])")
 _SPACED = re.compile(rf"(?:(?<!\S){_C}{_B})+{_C}(?![^\s.,;:!?])")
+_MARKS = "\"'()[]{}<>.,;:?…"
 _EDGES = re.compile(r"^[\"'(\[{<.,;:?…]+|[\"')\]}>.,;:!?…]+$")
 _DECORATION = re.compile(rf"([^\w\s*])\1\1+|(?<!{_L})(?<!\*)\*{{3,}}|\*{{3,}}(?!{_L}|\*)")  # '*' between letters stays
-_WORD = re.compile(r"[^\W\d_]+")
+_DOUBLE, _TRIPLE = re.compile(rf"({_L})\1"), re.compile(rf"({_L})\1\1")
+_WORD, _TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
 
 
 def _points(part: pa.RecordBatch) -> np.ndarray:
@@ -97,7 +106,7 @@ def _count(letters: str):
         number = np.zeros(0x110000, np.int32)
         number[[ord(c) for c in letters]] = np.arange(1, size - 1)
         total = np.zeros(size**4, np.int64)
-        for part in slices(batches, most=300_000):
+        for part in slices(batches, most=500_000):
             points = _points(part)
             x = number[points]
             other = points[(x == 0) & (points > 127)]
@@ -110,7 +119,7 @@ def _count(letters: str):
             b = np.where(a != 0, x[1:-2], 0)
             c = np.where(b != 0, x[:-3], 0)
             at = ((c * size + b) * size + a) * size + x[3:]
-            total += np.bincount(at[(a != 0) | (x[3:] != 0)], minlength=size**4)
+            np.add.at(total, at[(a != 0) | (x[3:] != 0)], 1)
         used = np.flatnonzero(total)
         for i in range(0, len(used), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 50_000].astype(np.int32)), pa.array(total[used[i : i + 50_000]])], names=["gram", "n"])
@@ -170,7 +179,7 @@ def lattice(token: str, letters: Letters = Letters()) -> list:  # noqa: B008
         else:
             for _ in range(1 if c in SEPARATORS else j - i):
                 options = [((x,), AS_LETTER) for x in letters.signs.get(c, ())]
-                options += [((), 0.0 if c in SEPARATORS else DROPPED)]
+                options += [((), _parted(token, i, j) if c in SEPARATORS else DROPPED)]
                 if c in SEPARATORS or not options[:-1]:
                     options += [((0,), 0.0)]
                 out.append(options)
@@ -178,46 +187,100 @@ def lattice(token: str, letters: Letters = Letters()) -> list:  # noqa: B008
     return out
 
 
-class Lexicon:
-    """The strongest entry of a word; remembers what it has looked up."""
+def _parted(token: str, i: int, j: int) -> float:
+    """Cost of reading the separator token[i:j] as nothing: none between single characters."""
+    before, after = token[max(i - 2, 0) : i], token[j : j + 2]
+    return JOINED * sum(len(x) > 1 and not any(c in SEPARATORS for c in x) for x in (before, after))
 
-    def __init__(self, entries: dict) -> None:
-        self.entries = entries
-        self.known: dict = {}
 
-    def __call__(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 60_000:
-                self.known.clear()
-            have = (self.entries.get(x, 0.0) for x in (word + " ", *(word[:n] for n in STEMS if n <= len(word))))
-            found = self.known[word] = max(have)
+class Memo(dict):
+    """What a function gave for tokens or words of ordinary length; forgets all when it has TOKENS of them."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, token: str):
+        found = self.make(token)
+        if len(token) <= TOKEN:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[token] = found
         return found
 
 
+def lexicon_of(entries: dict) -> Memo:
+    """The strongest entry of a word: the word itself (its entry ends in a blank) or a beginning of it."""
+    return Memo(lambda word: max(entries.get(x, 0.0) for x in (word + " ", *(word[:n] for n in STEMS if n <= len(word)))))
+
+
 class Decoder:
     """Viterbi decoding of tokens; remembers what it has decoded."""
 
     def __init__(self, model: np.ndarray, letters: str = ASCII) -> None:
         self.model, self.size = model.reshape(-1), len(letters) + 2
+        self.cost = memoryview(np.ascontiguousarray(-self.model))  # single numbers come faster out of this
         self.letters, self.names = Letters(letters), " " + letters
-        self.known: dict = {}
+        self.known = Memo(self._decode)
+        self.words = Memo(self.words_of)
 
     def __call__(self, token: str) -> str:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            found = self.known[token] = self._decode(token)
-        return found
+        return self.known[token]
+
+    def token(self, token: str) -> str:
+        """A token between blanks, in lower case, as it is or decoded."""
+        if not _SIGNS.search(token):
+            return token
+        core = _EDGES.sub("", _DECORATION.sub("", token))
+        if not core or not _SIGNS.search(core):
+            return token
+        found = self.known[core]
+        return token if found == core else found + token[len(token.rstrip(".,;:!?…")) :]
+
+    def words_of(self, token: str) -> tuple:
+        """The words of a token, as it is or decoded."""
+        core = token.strip(_MARKS)
+        if core.isalpha() and not _DOUBLE.search(core):
+            return (core,)  # nothing to decode
+        return tuple(_WORD.findall(self.token(token)))
+
+    def _number(self, letter: str) -> int:
+        return min(self.letters[letter], self.size - 1)
 
     def _decode(self, token: str) -> str:
+        known = [c in self.letters for c in token if c.isalpha()]
+        if 2 * sum(known) < len(known) or self._only_doubles_that_stay(token):  # in the first case the model can't tell
+            return token
         options = [*lattice(token, self.letters), [((0,), 0.0)]]
-        path = self._wide(options) if token.count("*") > 1 and len(token) <= MASKED else self._narrow(options)
-        return "".join(chr(x - REST) if x >= REST else self.names[x] for x in path).strip()
-
-    def _narrow(self, positions: list) -> list:
-        model, size = self.model, self.size
+        cost, path = self._wide(options) if token.count("*") > 1 and len(token) <= MASKED else self._narrow(options)
+        found = "".join(chr(x - REST) if x >= REST else self.names[x] for x in path).strip()
+        same = found.split() == _WORD.findall(token)
+        return token if same or cost + GAIN >= self._as_it_is(token) else found
+
+    def _only_doubles_that_stay(self, token: str) -> bool:
+        """True where nothing but double letters could change and none can gain enough: what reading one as a single
+        letter may save is at most the cost of its second letter and the three after it."""
+        if not token.isalpha() or _TRIPLE.search(token):
+            return False
+        doubles = [m.start() + 1 for m in _DOUBLE.finditer(token)]
+        most = DOUBLED + (GAIN if len(doubles) == 1 else 0.0)
+        x, cost, size = [0, 0, 0, *map(self._number, token), 0], self.cost, self.size
+        four = lambda k: cost[((x[k] * size + x[k + 1]) * size + x[k + 2]) * size + x[k + 3]]
+        return all(sum(map(four, range(i, min(i + 4, len(token) + 1)))) <= most for i in doubles)
+
+    def _as_it_is(self, token: str) -> float:
+        """Cost of the token's letters, of its signs and of its end; a word may end at any sign."""
+        cost, state = 0.0, 0
+        for c in token:
+            number = self._number(c) if c.isalpha() else 0
+            if number:
+                cost += self.cost[state * self.size + number]
+            elif not c.isspace():
+                cost += KEPT
+            state = (state % self.size**2) * self.size + number if number else 0
+        return cost + (self.cost[state * self.size] if state else 0.0)
+
+    def _narrow(self, positions: list) -> tuple[float, list]:
+        model, size = self.cost, self.size
         states = {0: (0.0, None)}  # the last three letters: cost, path
         for options in positions:
             after: dict = {}
@@ -227,20 +290,20 @@ class Decoder:
                     for x in letters:
                         number = x if x < REST else size - 1
                         if x or s:
-                            total -= float(model[s * size + number])
+                            total += model[s * size + number]
                             way = (x, way)
                         s = (s % size**2) * size + number if x else 0
                     if s not in after or total < after[s][0]:
                         after[s] = (total, way)
             states = after
-        _, path = min(states.values(), key=lambda v: v[0])
+        cost, path = min(states.values(), key=lambda v: v[0])
         out = []
         while path:
             out.append(path[0])
             path = path[1]
-        return out[::-1]
+        return cost, out[::-1]
 
-    def _wide(self, positions: list) -> list:
+    def _wide(self, positions: list) -> tuple[float, list]:
         """The same with all states at once, for tokens where most can be reached."""
         size = self.size
         model, pairs = self.model.reshape(size**3, size), np.arange(size**2)
@@ -267,35 +330,55 @@ class Decoder:
             came.append((options, chosen, origin))
             cost = best
         s, out = int(cost.argmin()), []
+        least = float(cost[s])
         for options, chosen, origin in reversed(came):
             letters, s = options[chosen[s]][0], int(origin[s])
             out += [x for x in reversed(letters) if x or s]
-        return out[::-1]
+        return least, out[::-1]
+
+
+def _joined(low: str, decode: Decoder) -> tuple[str, list]:
+    """The text with letters that stand apart decoded, and its tokens."""
+    tokens = low.split()
+    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    if any(b - a == 1 for a, b in zip(single, single[1:])):
+        low = _SPACED.sub(lambda m: _apart(m[0], decode), low)
+        tokens = low.split()
+    return low, tokens
+
+
+def _apart(run: str, decode: Decoder) -> str:
+    """Single characters with blanks between, decoded where there are three or more and half of them are letters."""
+    parts = run.split()
+    if len(parts) < 3 or 2 * sum(map(str.isalpha, parts)) < len(parts):
+        return run
+    found = decode(" ".join(parts))
+    return run if found == " ".join(parts) else found
 
 
 def restore(text: str, decode: Decoder) -> str:
-    """The text in lower case, its disguised tokens decoded."""
-    low = text.lower()
-    if not _SIGNS.search(low):
-        return low
-    low = _SPACED.sub(lambda m: decode(" ".join(m[0].split())) if len(m[0].split()) > 2 else m[0], low)
-    out, done = [], 0
-    for hit in _SIGNS.finditer(low):
-        a, b = hit.span()
-        if a < done:
-            continue
-        while a > done and not low[a - 1].isspace():
-            a -= 1
-        while b < len(low) and not low[b].isspace():
-            b += 1
-        token = low[a:b]
-        core = _EDGES.sub("", _DECORATION.sub("", token))
-        if core and _SIGNS.search(core):
-            tail = token[len(token.rstrip(".,;:!?…")) :]
-            out += [low[done:a], decode(core), tail]
-            done = b
-    out.append(low[done:])
-    return "".join(out)
+    """The text in lower case, its disguised tokens decoded; all else stays, blanks included."""
+    return _TOKEN.sub(lambda m: decode.token(m[0]), _joined(text.lower(), decode)[0])
+
+
+def restored_words(text: str, decode: Decoder) -> list:
+    """The words of the restored text in order."""
+    return [w for t in map(decode.words.__getitem__, _joined(text.lower(), decode)[1]) for w in t]
+
+
+class Evidence:
+    """The evidence of a text by the entries of a lexicon."""
+
+    def __init__(self, decode: Decoder, entries: dict) -> None:
+        self.decode, self.weight = decode, lexicon_of(entries)
+        heads = {e[: STEMS[0]] for e in entries}
+        self.hits = Memo(lambda token: tuple(w for w in decode.words_of(token) if (w + " ")[: STEMS[0]] in heads and self.weight[w]))
+
+    def __call__(self, text: str) -> float:
+        tokens = set(_joined(text.lower(), self.decode)[1])
+        found: set = set()
+        found.update(*filter(None, map(self.hits.__getitem__, tokens)))
+        return sum(map(self.weight.__getitem__, sorted(found)))
 
 
 def _texts(part: pa.RecordBatch) -> list:
@@ -307,14 +390,15 @@ def _contexts(shared):
         decode, seen = Decoder(*shared.value), set()
 
         def batch():
-            words, contexts, toxic = zip(*seen)
+            columns = zip(("word", "context", "toxic", "half"), zip(*seen), (pa.string(), pa.int64(), pa.int32(), pa.int32()))
+            out = pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in columns})
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "context", "toxic"])
+            return out
 
         for part in slices(batches):
-            for text, toxic in zip(_texts(part), part.column("toxic").to_pylist()):
-                words = ["", *_WORD.findall(restore(text, decode)), ""]
-                seen.update((w, hash64(left + " " + right), toxic) for left, w, right in zip(words, words[1:], words[2:]))
+            for text, toxic, half in zip(_texts(part), part.column("toxic").to_pylist(), part.column("half").to_pylist()):
+                words = ["", *restored_words(text, decode), ""]
+                seen.update((w, hash64(left + " " + right), toxic, half) for left, w, right in zip(words, words[1:], words[2:]))
                 if len(seen) >= 50_000:
                     yield batch()
         if seen:
@@ -330,33 +414,62 @@ def hash64(text: str) -> int:
 def learn(docs: DataFrame, labels: DataFrame, shared, max_train: int = MAX_TRAIN) -> dict:
     """{"words": {entry: log odds}, "slope", "intercept"}; labels (doc_id, toxic) are the training rows."""
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
-    train = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic")
-    met = train.mapInArrow(_contexts(shared), "word string, context long, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
-    by_word = materialize(met.groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")))
-    totals = by_word.agg(F.sum("n1"), F.sum("n0")).first()
+    order = F.xxhash64("doc_id")
+    sample = F.broadcast(rows.orderBy(order, "doc_id").limit(max_train).withColumn("half", F.pmod(order, F.lit(2)).cast("int")))
+    train = materialize(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic", "half"))
+    met = train.mapInArrow(_contexts(shared), "word string, context long, toxic int, half int")
+    in_half = lambda h: F.max(F.when(F.col("half") == h, F.col("toxic")))
+    met = met.groupBy("word", "context").agg(F.max("toxic").alias("t"), in_half(0).alias("t0"), in_half(1).alias("t1"))
+    parts = ("t", "t0", "t1")  # all rows, either half
+    sums = lambda *c: [F.sum(x).alias(n) for n, x in c]
+    by_word = materialize(met.groupBy("word").agg(*sums(*((f"n1_{p}", F.col(p)) for p in parts), *((f"n0_{p}", 1 - F.col(p)) for p in parts))))
+    counts = [c for c in by_word.columns if c != "word"]
+    totals = by_word.agg(*sums(*((c, F.col(c)) for c in counts))).first()
     # the word itself ends in a blank, so that it isn't the same as a beginning
     entries = F.concat(F.array(F.concat("word", F.lit(" "))), F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.length("word"), F.lit(STEMS[-1]))), lambda n: F.substring(F.col("word"), F.lit(1), n)))
     entries = F.when(F.length("word") >= STEMS[0], entries).otherwise(F.array(F.concat("word", F.lit(" "))))
-    by_word = by_word.select(F.explode(entries).alias("word"), "n1", "n0").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    all1, all0 = (totals[0] or 0), (totals[1] or 0)
-    words: dict = {}
-    if all1 and all0:
-        share = all1 / (all1 + all0)
-        n1, n0 = F.col("n1"), F.col("n0")
-        part = lambda n, p: F.when(n > 0, n * F.log(n / (n1 + n0) / p)).otherwise(0.0)
-        strong = by_word.where((n1 / (n1 + n0) > share) & (part(n1, share) + part(n0, 1 - share) > EVIDENCE))
-        # a log likelihood ratio over EVIDENCE: as many as the bounded sample can give
-        for r in strong.collect():
-            odds = math.log((r.n1 + 0.5) / (all1 + 1)) - math.log((r.n0 + 0.5) / (all0 + 1))
-            words[r.word] = odds - 2 * math.sqrt(1 / (r.n1 + 0.5) + 1 / (r.n0 + 0.5))  # what is safe to say of it
-    words = {w: x for w, x in words.items() if x > LEAST_ODDS}
-    plain = docs.sparkSession.sparkContext.broadcast((shared.value, {"words": words, "slope": 1.0, "intercept": 0.0}))
-    rows = train.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text", "toxic")
-    scored = rows.mapInArrow(_predict(plain, True), "doc_id long, held_out boolean, evidence double, toxic int")
-    bins = scored.groupBy(F.least(F.round("evidence", 1), F.lit(50.0)).alias("x")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most 501 rows
+    by_entry = by_word.select(F.explode(entries).alias("word"), *counts).groupBy("word").agg(*sums(*((c, F.coalesce(c, F.lit(0))) for c in counts)))
+    whole, *halves = (_entries(by_entry, p, totals[f"n1_{p}"] or 0, totals[f"n0_{p}"] or 0) for p in parts)
+    other = docs.sparkSession.sparkContext.broadcast((shared.value, halves))
+    bins = train.mapInArrow(_evidence(other), "x double, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most 501 rows
     slope, intercept = fit([r.x for r in bins], [r.n for r in bins], [r.t for r in bins])
-    return {"words": words, "slope": slope, "intercept": intercept}
+    return {"words": whole, "slope": slope, "intercept": intercept}
+
+
+def _entries(by_entry: DataFrame, part: str, all1: int, all0: int) -> dict:
+    """Entry -> log odds less two standard errors, of the entries with a log likelihood ratio over EVIDENCE: as many as the
+    bounded sample can give."""
+    if not all1 or not all0:
+        return {}
+    share = all1 / (all1 + all0)
+    n1, n0 = F.col(f"n1_{part}"), F.col(f"n0_{part}")
+    ratio = lambda n, p: F.when(n > 0, n * F.log(n / (n1 + n0) / p)).otherwise(0.0)
+    strong = by_entry.where((n1 + n0 > 0) & (n1 > share * (n1 + n0)) & (ratio(n1, share) + ratio(n0, 1 - share) > EVIDENCE))
+    return entry_odds([(r.word, r.n1, r.n0) for r in strong.select("word", n1.alias("n1"), n0.alias("n0")).collect()], all1, all0)
+
+
+def entry_odds(counts: list, all1: int, all0: int) -> dict:
+    out = {}
+    for word, n1, n0 in counts:
+        odds = math.log((n1 + 0.5) / (all1 + 1)) - math.log((n0 + 0.5) / (all0 + 1))
+        odds -= 2 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))  # what is safe to say of it
+        if odds > LEAST_ODDS:
+            out[word] = odds
+    return out
+
+
+def _evidence(shared):
+    """Evidence of training rows by the lexicon of the half that they are not in, to one decimal, 50 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language, halves = shared.value
+        decode = Decoder(*language)
+        evidence = [Evidence(decode, x) for x in halves]
+        for part in slices(batches):
+            found = [evidence[1 - half](t) for t, half in zip(_texts(part), part.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([min(round(x, 1), 50.0) for x in found], pa.float64()), part.column("toxic")], names=["x", "toxic"])
+
+    return run
 
 
 def fit(x, n, t) -> tuple[float, float]:
@@ -386,29 +499,29 @@ def fit(x, n, t) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(min(w[1], -0.2))
 
 
-def _predict(shared, labelled: bool = False):
+def _logits(shared):
+    """A function from texts to their logits."""
+    language, learned = shared.value
+    evidence = Evidence(Decoder(*language), learned["words"])
+    return lambda texts: learned["slope"] * np.array(list(map(evidence, texts)), float) + learned["intercept"]
+
+
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language, learned = shared.value
-        decode, lexicon = Decoder(*language), Lexicon(learned["words"])
+        logits = _logits(shared)
         for part in slices(batches):
-            evidence = np.array([sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) for t in _texts(part)], float)
-            columns = [part.column("doc_id"), part.column("held_out")]
-            if labelled:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(evidence), part.column("toxic")], names=["doc_id", "held_out", "evidence", "toxic"])
-                continue
-            scores = 1 / (1 + np.exp(-(learned["slope"] * evidence + learned["intercept"])))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            scores = 1 / (1 + np.exp(-logits(_texts(part))))
+            columns = [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
 def _reject(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language, learned = shared.value
-        decode, lexicon = Decoder(*language), Lexicon(learned["words"])
+        logits = _logits(shared)
         for part in slices(batches):
-            logit = np.array([learned["slope"] * sum(map(lexicon, set(_WORD.findall(restore(t, decode))))) + learned["intercept"] for t in _texts(part)], float)
-            yield part.filter(pa.array(logit < 0))
+            yield part.filter(pa.array(logits(_texts(part)) < 0))
 
     return run
 

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -45,10 +47,79 @@ def test_viterbi_finds_the_best_path(spark):
     model = T.character_model(docs)
     assert np.allclose(np.exp(model.astype(float)).sum(axis=-1), 1, atol=1e-4)
     decode = T.Decoder(model)
-    for token in ["1d10t", "i.d.i.o.t", "$cum", "iiidiot", "w0rthle55", "s c u m", "r3n_do", "12", "x"]:
+    for token in ["1d10t", "i.d.i.o.t", "$cum", "iiidiot", "w0rthle55", "s c u m", "r3n_do", "12", "x", "id-iot", "tado-renes"]:
         cost, want = brute_decode(token, model)
-        assert decode(token) == want
-    assert T.restore("Ta 1D10T and $cum! i d i o t, w0rthless iiiidiot 12.", decode) == "ta idiot and scum! idiot, worthless idiot 12."
+        same = want.split() == T._WORD.findall(token)
+        assert decode(token) == (token if same or cost + T.GAIN >= decode._as_it_is(token) else want)
+    text = "Ta 1D10T and $cum! i d i o t, w0rthless iiiidiot 12."
+    assert T.restore(text, decode) == "ta idiot and scum! idiot, worthless idiot 12."
+    assert T.restored_words(text, decode) == "ta idiot and scum idiot worthless idiot".split()
+
+
+PLAIN = {
+    "en": "A well-known state-of-the-art letter (e.g. the U.S.A. of 1990) costs $5 at 12:30; see john.doe@example.com, covid19 or http://example.org/a_b?c=1 !!",
+    "fr": "C'est l'après-midi, à l'arrière-plan : « la porte-monnaie » coûte 3,50 € — n'est-ce pas ?",
+    "de": "Die Straßen-Bahn fährt z.B. um 8:15 Uhr; Müller & Söhne (GmbH) zahlen 10% mehr, d.h. 3 x 4 = 12 Euro.",
+    "es": "El niño-feliz cuesta 20€, ¿no? Sí: años 1990-95, p.ej. ciudad-real y ¡qué más da!",
+    "ru": "Жук-носорог по-русски, т.е. 5-й этаж: «какой-то» ёлка... 12:30",
+}
+
+
+def test_plain_text_comes_back_unchanged(spark):
+    """Texts of four languages, and Cyrillic, which the model has not seen, keep every character."""
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(list(PLAIN.values())[:4] * 3 + BAD + GOOD)], "doc_id long, text string")
+    letters = T.alphabet(docs)
+    decode = T.Decoder(T.character_model(docs, letters), letters)
+    for text in [*PLAIN.values(), "  blanks \t stay\n\n as they are ", "日本語 テキスト-です", "🙂 3 x 4 = 12", "İstanbul'da"]:
+        assert T.restore(text, decode) == text.lower()
+
+
+def test_lexicon_and_score_against_a_plain_version(spark):
+    data = rows(5, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, x) for i, _, x in data], "doc_id long, toxic int")
+    model = T.character_model(docs)
+    shared = spark.sparkContext.broadcast((model, T.ASCII))
+    learned = T.learn(docs, labels, shared)
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    decode = T.Decoder(model)
+
+    def lexicon(part):
+        met = {}
+        for i, t, x in data:
+            if part in (None, half[i]):
+                words = ["", *T._WORD.findall(T.restore(t, decode)), ""]
+                for a, w, b in zip(words, words[1:], words[2:]):
+                    met[w, a, b] = max(x, met.get((w, a, b), 0))
+        counts = {}
+        for (w, *_), x in met.items():
+            for entry in {w + " ", *(w[:n] for n in T.STEMS if n <= len(w))}:
+                n = counts.setdefault(entry, [0, 0])
+                n[x] += 1
+        all0, all1 = (sum(x == y for x in met.values()) for y in (0, 1))
+        share, out = all1 / (all0 + all1), {}
+        for entry, (n0, n1) in counts.items():
+            ratio = sum(n * math.log(n / (n0 + n1) / p) for n, p in ((n1, share), (n0, 1 - share)) if n)
+            odds = math.log((n1 + 0.5) / (all1 + 1) / ((n0 + 0.5) / (all0 + 1))) - 2 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+            if n1 / (n0 + n1) > share and ratio > T.EVIDENCE and odds > T.LEAST_ODDS:
+                out[entry] = odds
+        return out
+
+    def evidence(text, entries):
+        return sum(max([0.0] + [x for e, x in entries.items() if e == w + " " or (e[-1] != " " and w.startswith(e))]) for w in set(T._WORD.findall(T.restore(text, decode))))
+
+    whole, halves = lexicon(None), [lexicon(0), lexicon(1)]
+    assert set(learned["words"]) == set(whole) and {b + " " for b in BAD} <= set(whole)
+    assert all(math.isclose(learned["words"][w], whole[w], rel_tol=1e-9) for w in whole)
+    found = Counter()
+    for i, t, x in data:
+        found[min(round(evidence(t, halves[1 - half[i]]), 1), 50.0), x] += 1
+    at = sorted({x for x, _ in found})
+    slope, intercept = T.fit(at, [found[x, 0] + found[x, 1] for x in at], [found[x, 1] for x in at])
+    assert math.isclose(slope, learned["slope"], rel_tol=1e-6) and math.isclose(intercept, learned["intercept"], rel_tol=1e-6)
+    got = {r.doc_id: r.score for r in T.score(docs, labels, F.lit(False)).collect()}
+    for i, t, _ in data:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(slope * evidence(t, whole) + intercept))), rel_tol=1e-6)
 
 
 def test_held_out_and_disguised(spark):
@@ -75,7 +146,7 @@ def test_disguises_in_four_languages(spark):
     cases = {
         "estúp1do": "estúpido", "cabr0n": "cabrón", "d.é.b.i.l.e": "débile", "cré7in": "crétin", "däml1ch": "dämlich", "gröööße": "größe", "e s t ú p i d o": "estúpido",
         "iidiot": "idiot", "sccum": "scum", "estúúpido": "estúpido", "blödmmann": "blödmann", "letter": "letter", "worthless": "worthless",
-        "s**m": "scum", "est**ido": "estúpido", "d*b*le": "débile", "id***t": "idiot", "**scum**": "scum", "letter***": "letter",
+        "s**m": "scum", "est**ido": "estúpido", "d*b*le": "débile", "id***t": "idiot", "**scum**": "**scum**", "letter***": "letter***",
         "i  d \t i\u00a0o   t": "idiot", "d  é  b  i  l  e": "débile", "idi0t": "idiot",
     }
     assert {x: T.restore(x, decode) for x in cases} == cases
