@@ -1,16 +1,84 @@
-"""Insertions, deletions and mismatches of an alignment in closed form: array expressions on CIGAR and MD.
+"""Insertions, deletions and mismatches of an alignment in closed form: array expressions on CIGAR and MD, and the
+same as small helpers for one read (mismatches_of, gaps_of), which the profiles call on Arrow batches.
 
-Positions count the read's aligned bases (M = X I) in sequencing direction, from 0. No gapped string is built
-and no Python runs: an event's place follows from running sums over the operations.
+Positions count the read's aligned bases (M = X I) in sequencing direction, from 0. No gapped string is
+built: an event's place follows from running sums over the operations.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from readqc.functions.reads import sum_ops
 
+# Patterns of the public SAM format.
+_MD, _CIGAR = re.compile(r"([0-9]+)|(\^[A-Za-z]+)|([A-Za-z])"), re.compile(r"([0-9]+)([MIDNSHP=X])")
+_FLIP = str.maketrans("ACGTacgt", "TGCAtgca")
+
+
+def gaps_of(cigar: str) -> tuple[int, list, list]:
+    """Aligned read bases in all, (read bases before it, length) of each run of I, (read bases before it, 0) of each run of D."""
+    total, last, ins, dels = 0, "", [], []
+    for length, op in _CIGAR.findall(cigar):
+        n = int(length)
+        kind = "M" if op in "=X" else op
+        if not n or kind not in "MID":
+            continue  # shows nothing: equal neighbours on either side are one run
+        if kind == "I":
+            if last == "I":
+                ins[-1] = (ins[-1][0], ins[-1][1] + n)
+            else:
+                ins.append((total, n))
+        elif kind == "D" and last != "D":
+            dels.append((total, 0))
+        total += n if kind != "D" else 0
+        last = kind
+    return total, ins, dels
+
+
+def mismatches_of(cigar: str, md: str, seq: str, reverse: bool, literal: bool = False) -> list:
+    """(position, base) of the aligned bases that differ from MD's letters, like mismatches()."""
+    letters, col = [], 0
+    for number, gap, letter in _MD.findall(md):
+        if letter:
+            letters.append((col, letter))
+        col += int(number) if number else len(gap) - 1 if gap else 1
+    out, col, rp, q, i = [], 0, 0, 0, 0
+    for length, op in _CIGAR.findall(cigar):
+        n = int(length)
+        if op in "M=X":
+            while i < len(letters) and letters[i][0] < col + n:
+                at, letter = letters[i]
+                base = seq[q + at - col : q + at - col + 1] if at >= col else ""
+                if base and base != letter:
+                    out.append((rp + at - col, base))
+                i += 1
+        col += n if op in "M=XD" else 0
+        rp += n if op in "M=XI" else 0
+        q += n if op in "M=XI" else 0 if op != "S" else 1 if literal else n
+    return [(rp - 1 - pos, base.translate(_FLIP)) for pos, base in out] if reverse else out
+
+def alignment_of(cigar: str, md: str | None, seq: str) -> tuple[str, str, str]:
+    """Genome, marks (| where both agree) and read of one alignment, as three rows of equal length for a look at it."""
+    genome, read, q = [], [], 0
+    for length, op in _CIGAR.findall(cigar):
+        n = int(length)
+        bases = list(seq[q : q + n]) if op in "M=XI" else []
+        if op in "M=XID":
+            read += bases or ["-"] * n
+            genome += ["-"] * n if op == "I" else ["N"] * n if op == "D" else bases
+        q += n if op in "M=XIS" else 0
+    shown, at = [i for i, c in enumerate(genome) if c != "-"], 0
+    for number, gap, letter in _MD.findall(md or ""):
+        for c in gap[1:] or letter:
+            if at < len(shown):
+                genome[shown[at]] = c
+            at += 1
+        at += int(number or 0)
+    return "".join(genome), "".join("|" if a == b else " " for a, b in zip(genome, read)), "".join(read)
 
 
 def runs(ops: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.functions import errors as E
@@ -36,7 +36,18 @@ def pair_counts(reads: DataFrame, by=()) -> DataFrame:
         F.count_if(paired).alias("n_paired"),
         F.count_if(paired & R.has(flag, R.PROPER)).alias("n_proper"),
     )
-    return out.withColumns({"pct_paired": R.percent(F.col("n_paired"), F.col("total")), "pct_proper": R.percent(F.col("n_proper"), F.col("n_paired"))})
+    return _percentages(out)
+
+
+def _percentages(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({"pct_paired": R.percent(F.col("n_paired"), F.col("total")), "pct_proper": R.percent(F.col("n_proper"), F.col("n_paired"))})
+
+
+def pairs_of(cells: DataFrame) -> DataFrame:
+    """pair_counts() of all reads, from everything()."""
+    of = lambda what, *more: F.coalesce(F.sum(F.when(F.col("what") == what, F.when(more[0], F.col("n")) if more else F.col("n"))), F.lit(0))
+    mate = lambda i: F.col("read_no") == i
+    return _percentages(cells.agg(of("reads").alias("total"), of("reads", mate(1)).alias("n_read1"), of("reads", mate(2)).alias("n_read2"), of("paired").alias("n_paired"), of("proper").alias("n_proper")))
 
 
 def lengths(reads: DataFrame, by=KEY) -> DataFrame:
@@ -95,44 +106,52 @@ def _groups(columns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     return group, firsts
 
 
-def _counting(by: list, kind: str, place: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes(kind)
-        n_series = int(codes.max()) + 1
-        for batch in batches:
-            batch = batch.filter(pc.greater(pc.fill_null(pc.binary_length(batch.column("_s")), 0), 0))
-            sizes = pc.binary_length(batch.column("_s")).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = np.cumsum(sizes) // CHARACTERS
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    yield count(batch.slice(a, b - a), codes, n_series)
-
-    def count(rows: pa.RecordBatch, codes: np.ndarray, n_series: int) -> pa.RecordBatch:
-        group, firsts = _groups([rows.column(c) for c in by], len(rows))
-        data, sizes = _characters(rows.column("_s"))
-        start = np.cumsum(sizes) - sizes
-        i = np.arange(len(data)) - np.repeat(start, sizes)
+def _cells(group: np.ndarray, n_groups: int, pos: np.ndarray, series: np.ndarray | int, n_series: int) -> tuple:
+    """(group, pos, series, n) of what is there."""
+    width = int(pos.max()) + 1 if len(pos) else 1
+    cell = (group * width + pos) * n_series + series
+    if n_groups * width * n_series <= CELLS:
+        n = np.bincount(cell)
+        cell = np.flatnonzero(n)
+        n = n[cell]
+    else:
+        cell, n = np.unique(cell, return_counts=True)
+    return cell // (width * n_series), (cell // n_series % width).astype(np.int32), (cell % n_series).astype(np.int32), n
+
+
+def _of_texts(texts: pa.Array, group: np.ndarray, n_groups: int, codes: np.ndarray, place: str) -> Iterator[tuple]:
+    """Cells of the characters of texts, in blocks of CHARACTERS."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(total // CHARACTERS)) + 1), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        data, sizes = _characters(pc.fill_null(texts.slice(a, b - a), ""))
+        if not len(data):
+            continue
+        i = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         if place == "end":
             i = np.repeat(sizes, sizes) - 1 - i
         elif place == "norm":
             i = np.floor(i / np.repeat(sizes, sizes) * float(R.NORM_BINS)).astype(np.int64)
-        width = int(i.max()) + 1 if len(i) else 1
-        cell = (np.repeat(group, sizes) * width + i) * n_series + codes[data]
-        if len(firsts) * width * n_series <= CELLS:
-            n = np.bincount(cell)
-            cell = np.flatnonzero(n)
-            n = n[cell]
-        else:
-            cell, n = np.unique(cell, return_counts=True)
-        at = cell // (width * n_series)
-        columns = [rows.column(c).take(pa.array(firsts[at])) for c in by]
-        columns += [pa.array((cell // n_series % width).astype(np.int32)), pa.array((cell % n_series).astype(np.int32)), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=[*by, "pos", "series", "n"])
+        yield _cells(np.repeat(group[a:b], sizes), n_groups, i, codes[data], int(codes.max()) + 1)
+
+
+def _counting(by: list, kind: str, place: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _codes(kind)
+        for batch in batches:
+            group, firsts = _groups([batch.column(c) for c in by], len(batch))
+            for found in _of_texts(batch.column("_s"), group, len(firsts), codes, place):
+                yield _batch(batch, by, firsts, *found)
 
     return run
 
 
+def _batch(rows: pa.RecordBatch, by: list, firsts: np.ndarray, group, pos, series, n, what: str | None = None) -> pa.RecordBatch:
+    keys = [rows.column(c).take(pa.array(firsts[group])) for c in by]
+    name = [pa.repeat(what, len(n))] if what else []
+    return pa.RecordBatch.from_arrays([*name, *keys, pa.array(pos, pa.int32()), pa.array(series, pa.int32()), pa.array(n, pa.int64())], names=[*(["what"] if what else []), *by, "pos", "series", "n"])
+
+
 def tally(reads: DataFrame, text: Column, by, kind: str, place: str = "start") -> DataFrame:
     """Characters by position and series (kind: base or quality), counted in blocks of reads.
 
@@ -198,22 +217,104 @@ def deletions(reads: DataFrame, by=KEY) -> DataFrame:
     return rows.groupBy(*by, "pos").agg(F.count("*").alias("n"))
 
 
+def _error_columns(reads: DataFrame) -> list[Column]:
+    """What errors are found from: CIGAR of mapped reads; MD and SEQ only where MD has a letter outside a deletion."""
+    lettered = F.col("md").rlike("(^|[0-9])[A-Za-z]")
+    cigar = F.when(F.size("ops") > 0, F.col("cigar"))
+    return [cigar.alias("_cigar"), *(F.when(lettered & cigar.isNotNull(), F.col(c)).alias(f"_{c}") for c in ("md", "seq")), F.col("reverse").alias("_reverse")]
+
+
+def _mismatching(rows: pa.RecordBatch, literal: bool) -> tuple[list, list, list]:
+    """Row, position and base of each mismatch."""
+    found = [
+        (i, pos, base)
+        for i, md, cigar, seq, reverse in zip(range(len(rows)), *(rows.column(c).to_pylist() for c in ("_md", "_cigar", "_seq", "_reverse")))
+        if md is not None and cigar is not None
+        for pos, base in E.mismatches_of(cigar, md, seq, reverse, literal)
+    ]
+    return tuple(zip(*found)) if found else ([], [], [])
+
+
+def _counted_mismatches(rows: pa.RecordBatch, group: np.ndarray, n_groups: int, literal: bool) -> tuple:
+    at, pos, base = _mismatching(rows, literal)
+    codes = _codes("base")
+    series = codes[np.minimum(np.fromiter(map(ord, base), np.int64, len(base)), 256)]
+    return _cells(group[np.array(at, np.int64)], n_groups, np.array(pos, np.int64), series, len(R.BASES))
+
+
 def mismatches(reads: DataFrame, by=KEY, compat: bool = False) -> DataFrame:
-    """Mismatching read bases by position; without MD there are none."""
-    found = E.mismatches(F.col("ops"), F.col("md"), F.col("seq"), F.col("reverse"), compat)
-    rows = reads.where(F.col("md").isNotNull() & (F.size("ops") > 0)).select(*by, F.explode(found).alias("x"))
-    return rows.groupBy(*by, F.col("x.pos").alias("pos"), R.base_code(F.col("x.base")).alias("series")).agg(F.count("*").alias("n"))
+    """Mismatching read bases by position; without MD there are none. Reads are looked at in Arrow batches: the same in
+    array expressions (errors.mismatches) is interpreted and many times slower."""
+    by = list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, firsts = _groups([batch.column(c) for c in by], len(batch))
+            yield _batch(batch, by, firsts, *_counted_mismatches(batch, group, len(firsts), compat))
+
+    rows = reads.where(F.col("md").rlike("(^|[0-9])[A-Za-z]")).select(*by, *_error_columns(reads))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "pos int, series int, n long"])
+    return spread(rows).mapInArrow(run, schema).groupBy(*by, "pos", "series").agg(F.sum("n").alias("n"))
+
+
+#: Names of what everything() counts beside the texts: whole reads, paired and properly paired ones, and lengths.
+NUMBERS = ("reads", "paired", "proper", "lengths", "raw_lengths")
+
+
+def everything(reads: DataFrame, by=KEY, plot_end: bool = False, norm: bool = False, most: int | None = None, compat: bool = False) -> DataFrame:
+    """what, by, pos, series, n: all counts of a profile in one pass over the reads, one task's batches at a time."""
+    by = list(by)
+    texts = {"bases": (_first(_forward("seq_o"), most), "base", "start"), "qualities": (_first(_forward("qual_o"), most), "quality", "start")}
+    qual = _quality_or_highest(compat)
+    if plot_end:
+        texts |= {"bases_from_end": (F.col("seq_o"), "base", "end"), "qualities_from_end": (qual, "quality", "end")}
+    if norm:
+        clipped = F.substring(qual, F.col("clip5") + 1, F.col("n_clipped"))
+        texts |= {"bases_normalised": (_forward("seq_o"), "base", "norm"), "qualities_normalised": (clipped, "quality", "norm")}
+    paired = F.coalesce(F.col("is_aligned"), F.lit(False)) & R.has(F.col("flag"), R.PAIRED)
+    numbers = (F.lit(0), F.when(paired, 0), F.when(paired & R.has(F.col("flag"), R.PROPER), 0), F.col("n_clipped"), F.col("n"))
+    rows = reads.select(*by, *(x.alias(f"_{n}") for n, (x, *_) in texts.items()), *(x.cast("int").alias(f"_{n}") for n, x in zip(NUMBERS, numbers)), *_error_columns(reads))
+    counted = {n: (_codes(kind), place) for n, (_, kind, place) in texts.items()}
+
+    def cells(batch: pa.RecordBatch, group: np.ndarray, n: int) -> Iterator[tuple]:
+        for what, (codes, place) in counted.items():
+            for found in _of_texts(batch.column(f"_{what}"), group, n, codes, place):
+                yield what, found
+        for what in NUMBERS:
+            x = batch.column(f"_{what}")
+            have = pc.is_valid(x).to_numpy(zero_copy_only=False)
+            yield what, _cells(group[have], n, x.drop_null().to_numpy().astype(np.int64), 0, 1)
+        reverse = batch.column("_reverse").to_pylist()
+        known: dict = {}
+        for what, i in (("insertions", 1), ("deletions", 2)):
+            at, pos = [], []
+            for row, cigar in enumerate(batch.column("_cigar").to_pylist()):
+                if cigar is not None and ("I" in cigar or "D" in cigar):
+                    gaps = known[cigar] if cigar in known else known.setdefault(cigar, E.gaps_of(cigar))
+                    for c, length in gaps[i]:
+                        at.append(row)
+                        pos.append(gaps[0] - c - length if reverse[row] else c)
+            yield what, _cells(group[np.array(at, np.int64)], n, np.array(pos, np.int64), 0, 1)
+        yield "mismatches", _counted_mismatches(batch, group, n, compat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, firsts = _groups([batch.column(c) for c in by], len(batch))
+            for what, found in cells(batch, group, len(firsts)):
+                if len(found[-1]):
+                    yield _batch(batch, by, firsts, *found, what=what)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(["what string", *(f"{c} {kinds[c]}" for c in by), "pos int, series int, n long"])
+    return spread(rows).mapInArrow(run, schema).groupBy("what", *by, "pos", "series").agg(F.sum("n").alias("n"))
 
 
 def error_totals(reads: DataFrame, by=KEY) -> DataFrame:
     """Mismatches, insertions and deletions of each class."""
-    e = reads.select(
-        *by,
-        F.size(E.mismatches(F.col("ops"), F.col("md"), F.col("seq"), F.col("reverse"))).alias("m"),
-        F.size(E.insertions(F.col("ops"), F.col("reverse"))).alias("i"),
-        F.size(E.deletions(F.col("ops"), F.col("reverse"))).alias("d"),
-    )
-    return e.groupBy(*by).agg(F.sum("m").alias("n_mis"), F.sum("i").alias("n_ins"), F.sum("d").alias("n_del"))
+    counts = everything(reads, by)
+    of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    return counts.groupBy(*by).agg(of("mismatches").alias("n_mis"), of("insertions").alias("n_ins"), of("deletions").alias("n_del"))
 
 
 def length_range(reads: DataFrame, by=("read_no",)) -> DataFrame:
@@ -230,6 +331,33 @@ def raw_and_mapped_lengths(reads: DataFrame, by=KEY) -> DataFrame:
     return rows.groupBy(*by, "x.kind", "x.len").agg(F.count("*").alias("n"))
 
 
-def subsample(reads: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """About this share of the reads (each by its own draw); 0 keeps all."""
-    return reads if not fraction else reads.sample(False, fraction, seed)
+def subsample(reads: DataFrame, fraction: float, seed: int = 0, by=("file",)) -> DataFrame:
+    """round(n * fraction) of the n reads of each file, those with the least hash of their name and seed; 0 keeps all, and
+    so does a file where that number is 0.
+
+    Exact without a sort of all reads: sums over 65,536 ranges of the hash say up to which range whole ranges are taken
+    (one number a file), and only reads of the range where the count ends are ranked. Reads that tie go by their columns.
+    """
+    if not fraction:
+        return reads
+    by, h = list(by), "_hash"
+    digest = F.md5(F.concat(F.coalesce("read_id", F.lit("")), F.lit(f":{seed}")))
+    keyed = reads.withColumn(h, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    width = 1 << 44  # of a range
+    ranges = keyed.groupBy(*by, F.floor(F.col(h) / width).alias("_range")).agg(F.count("*").alias("_n"))
+    place = Window.partitionBy(*by).orderBy("_range")  # at most 65,536 rows
+    ranges = ranges.withColumns({"_upto": F.sum("_n").over(place), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    wanted = F.round(F.col("_all") * F.lit(fraction))
+    wanted = F.when(wanted > 0, wanted).otherwise(F.col("_all"))
+    ends = ranges.where(F.col("_upto") >= wanted).groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)))
+    ends = ends.agg(F.min(F.struct("_range", (wanted - F.col("_upto") + F.col("_n")).alias("left"))).alias("_end"))  # a row a file
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    own = F.floor(F.col(h) / width)
+    joined = keyed.join(ends, same)
+    whole = joined.where(own < F.col("_end._range"))
+    last = joined.where(own == F.col("_end._range"))
+    order = Window.partitionBy(*by).orderBy(h, *(c for c in ("read_id", "flag", "seq", "qual") if c in reads.columns))
+    last = last.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_end.left"))
+    return whole.select(*reads.columns).unionByName(last.select(*reads.columns))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readqc.functions import reads as R
+from readqc.functions.errors import alignment_of
 
 #: Columns of a source: every other column is pruned.
 RAW = "file string, read_id string, flag int, mapq int, cigar string, seq string, qual string, md string, is_aligned boolean"
@@ -39,3 +41,18 @@ def derive(raw: DataFrame, compat: bool = False) -> DataFrame:
         }
     )
     return out.withColumn("n_clipped", F.greatest(F.col("n") - F.col("clip5") - F.col("clip3"), F.lit(0))).drop("_c5", "_c3")
+
+
+def alignments(reads: DataFrame) -> DataFrame:
+    """read_id and alignment: name, SEQ, CIGAR, MD and the two gapped rows of each mapped read, as text to look at."""
+
+    @F.pandas_udf("string")
+    def shown(name: pd.Series, seq: pd.Series, cigar: pd.Series, md: pd.Series) -> pd.Series:
+        def one(n, s, c, m):
+            genome, marks, read = alignment_of(c, m, s)
+            return f"{n}\n{s}\nCIGAR: {c}\n   MD: {m or ''}\n{genome} (genome)\n{marks}\n{read} (read)\n"
+
+        return pd.Series([one(*x) for x in zip(name, seq, cigar, md)])
+
+    mapped = reads.where((F.size("ops") > 0) & F.col("seq").isNotNull())
+    return mapped.select("read_id", shown(F.coalesce("read_id", F.lit("")), "seq", "cigar", "md").alias("alignment"))

@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from readqc.operators import derive as D
 from readqc.operators import profiles as P
 from readqc.operators.reads import derive
-from readqc.sources.files import chosen, file_type, output_path, peek, read
+from readqc.sources.files import chosen, file_type, in_order, output_path, peek, read
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,15 @@ class Options:
 
 @dataclass
 class Profile:
-    """The counts of one file; every value is a lazy DataFrame over the same persisted reads."""
+    """The counts of one file: cells holds all of them, from one pass over the reads, and is persisted when it is first
+    used; tables are views of it. partial: how many records were read, if there are more."""
 
     path: str
     options: Options
     reads: DataFrame
     aligned: bool
     partial: int | None
+    cells: DataFrame
     tables: dict = field(default_factory=dict)
 
     def write(self, folder: str) -> None:
@@ -64,44 +66,45 @@ class Profile:
             table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
     def release(self) -> None:
-        self.reads.unpersist()
+        self.cells.unpersist()
 
 
-def tables(reads: DataFrame, o: Options) -> dict:
-    """Name -> DataFrame of all counts that the options ask for."""
-    counts = P.read_counts(reads)
-    out = {
+def tables(cells: DataFrame, o: Options) -> dict:
+    """Name -> DataFrame of all counts that the options ask for, out of everything()."""
+
+    def of(what: str, *columns) -> DataFrame:
+        return cells.where(F.col("what") == what).select(*P.KEY, *columns, "n")
+
+    counts = of("reads")
+    texts = ["bases", "qualities"] + ["bases_from_end", "qualities_from_end"] * o.plot_end + ["bases_normalised", "qualities_normalised"] * o.norm + ["mismatches"]
+    return {
         "read_counts": counts,
         "mapping": D.mapping_table(counts),
-        "pairs": P.pair_counts(reads),
-        "lengths": P.lengths(reads),
-        "bases": P.bases(reads, most=o.report_max_len),
-        "qualities": P.qualities(reads, most=o.report_max_len),
+        "pairs": P.pairs_of(cells),
+        "lengths": of("lengths", F.col("pos").alias("len")),
+        **{what: of(what, "pos", "series") for what in texts},
+        "insertions": of("insertions", "pos"),
+        "deletions": of("deletions", "pos"),
     }
-    if o.plot_end:
-        out |= {"bases_from_end": P.bases_from_end(reads), "qualities_from_end": P.qualities_from_end(reads, compat=o.compat)}
-    if o.norm:
-        out |= {"bases_normalised": P.bases_normalised(reads), "qualities_normalised": P.qualities_normalised(reads, compat=o.compat)}
-    return out | {"mismatches": P.mismatches(reads, compat=o.compat), "insertions": P.insertions(reads), "deletions": P.deletions(reads)}
 
 
 def profile_reads(raw: DataFrame, path: str, options: Options | None = None, aligned: bool = True) -> Profile:
-    """Profile of records in the canonical schema, wherever they come from."""
+    """Profile of records in the canonical schema, wherever they come from; for a peek they must come in order."""
     o = options or Options()
     partial = None
     if o.peek:
-        more = raw.limit(o.peek + 1).count() > o.peek
-        raw, most = peek(raw, o.peek, o.peek_mode)
-        partial = most if more else None
-    reads = derive(P.subsample(raw, o.subsample, o.seed), o.compat).persist(StorageLevel.MEMORY_AND_DISK)
-    return Profile(path, o, reads, aligned, partial, tables(reads, o))
+        raw, partial = peek(raw, o.peek, o.peek_mode, aligned=aligned)
+    reads = derive(P.subsample(raw, o.subsample, o.seed), o.compat)
+    cells = P.everything(reads, plot_end=o.plot_end, norm=o.norm, most=o.report_max_len, compat=o.compat).persist(StorageLevel.MEMORY_AND_DISK)
+    return Profile(path, o, reads, aligned, partial, cells, tables(cells, o))
 
 
 def profile(spark: SparkSession, paths: list[str] | str, **options) -> dict[str, Profile]:
     """Path -> Profile of each file of a known type. The type is told by the name."""
     o = Options(**options)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return {p: profile_reads(read(spark, p, kind, o.mode), p, o, kind in ("sam", "bam")) for p, kind in chosen(paths)}
+    session = in_order(spark) if o.peek else spark
+    return {p: profile_reads(read(session, p, kind, o.mode, alone=o.peek is not None), p, o, kind in ("sam", "bam")) for p, kind in chosen(paths)}
 
 
 def report(spark: SparkSession, paths: list[str] | str, **options) -> list[str]:
@@ -118,8 +121,9 @@ def report(spark: SparkSession, paths: list[str] | str, **options) -> list[str]:
     return out
 
 
-def longest(reads: DataFrame) -> int:
-    return reads.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+def longest(cells: DataFrame) -> int:
+    """Length of the longest read."""
+    return cells.where("what = 'raw_lengths'").agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
 
 
 __all__ = ["Options", "Profile", "file_type", "longest", "profile", "profile_reads", "report", "tables"]

@@ -298,11 +298,32 @@ def long_reads(spark, sf_dir):
     return P.length_range(_reads(spark, sf_dir)).select("read_no", "max_len", (F.col("max_len") > 2 * 40).alias("is_long"))
 
 
-@query()
+_DENSITY = f""",
+c AS (SELECT read_no, mapq_bin, n_clipped::INT AS len, count(*) AS n FROM reads GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER g AS total, n / sum(n) OVER g AS share, count(*) OVER g AS k FROM c WINDOW g AS (PARTITION BY read_no, mapq_bin)),
+q AS (SELECT *, sum(share) OVER (PARTITION BY read_no, mapq_bin ORDER BY len) AS upto FROM w),
+q2 AS (SELECT *, lead(upto) OVER g AS upto2, lead(len) OVER g AS len2 FROM q WINDOW g AS (PARTITION BY read_no, mapq_bin ORDER BY len)),
+quarters AS (SELECT read_no, mapq_bin, any_value(total) AS total, sum(share * len) AS mean, sum(share * len * len) AS square,
+  {", ".join(f"coalesce(max(CASE WHEN upto <= {p} AND upto2 > {p} THEN (len2 - len) / (upto2 - upto) * ({p} - upto) + len END), CASE WHEN min(upto) > {p} THEN min(len) ELSE max(len) END) AS {name}" for p, name in ((0.25, "low"), (0.75, "high")))}
+  FROM q2 GROUP BY read_no, mapq_bin),
+scaled AS (SELECT *, sqrt(greatest(square - mean * mean, 0)) AS spread FROM quarters),
+width AS (SELECT read_no, mapq_bin, 0.9 * CASE WHEN high > low THEN least(spread, (high - low) / 1.349) ELSE spread END * pow(total, -0.2) AS h FROM scaled)
+SELECT a.read_no, a.mapq_bin, a.len, round(CASE WHEN any_value(a.k) = 1 THEN 1.0 ELSE sum(exp(-0.5 * pow((a.len - b.len) / h, 2)) * b.share) / any_value(h * sqrt(2 * pi())) END, 9) AS density
+FROM w a JOIN w b USING (read_no, mapq_bin) JOIN width USING (read_no, mapq_bin) GROUP BY a.read_no, a.mapq_bin, a.len"""
+
+
+@query(_READS + _DENSITY)
 def length_density(spark, sf_dir):
-    return D.length_density(P.lengths(_reads(spark, sf_dir)))
+    found = D.length_density(P.lengths(_reads(spark, sf_dir)))
+    return found.withColumn("density", F.round("density", 9))
 
 
-@query()
+@query(
+    _READS
+    + """SELECT read_no, mapq_bin, count(*) AS n FROM (
+  SELECT read_no, mapq_bin, round(0.25 * count(*) OVER ()) AS wanted, row_number() OVER (ORDER BY ('0x' || substring(md5(concat(read_id, ':11')), 1, 15))::BIGINT, read_id, flag, seq, qual) AS k FROM reads)
+WHERE k <= wanted GROUP BY ALL"""
+)
 def subsample_counts(spark, sf_dir):
+    """Counts of a quarter of the reads, taken exactly."""
     return P.read_counts(P.subsample(_reads(spark, sf_dir), 0.25, seed=11))

@@ -9,11 +9,14 @@ from __future__ import annotations
 import html
 import json
 import os
-import time
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from readqc import __version__
 from readqc.functions import reads as R
 from readqc.operators import derive as D
+from readqc.operators import profiles as P
 from readqc.plans.profile import Profile, longest
 
 PAGE = """<!DOCTYPE html>
@@ -25,17 +28,21 @@ PAGE = """<!DOCTYPE html>
 <footer>readqc {version}</footer>
 <script>
 const colours=["#3366cc","#dc3912","#ff9900","#109618","#990099"];
-function draw(plot,group){{
-  const box=document.getElementById(plot.id),g=plot.groups[group],w=900,h=260,n=plot.labels.length;
+const view=250;
+function draw(plot,group,from){{
+  const box=document.getElementById(plot.id),full=plot.groups[group],w=900,h=260,all=plot.labels.length,slides=!plot.density&&all>view+1;
+  from=from||0;const to=slides?Math.min(from+view+1,all):all,labels=plot.labels.slice(from,to),n=labels.length;
+  const g={{traces:full.traces.map(t=>({{name:t.name,y:t.y.slice(from,to),error:t.error&&t.error.slice(from,to)}}))}};
   let low=0,high=0;const sums=Array(n).fill(0);
   g.traces.forEach(t=>t.y.forEach((v,i)=>{{sums[i]+=v;high=Math.max(high,plot.kind=="bar"?sums[i]:v+(t.error?t.error[i]:0))}}));
   const x=i=>40+(w-50)*i/Math.max(n,1),y=v=>h-20-(h-30)*(v-low)/((high-low)||1);let s="";const base=Array(n).fill(0);
   g.traces.forEach((t,k)=>{{const c=colours[k%5];
-    if(plot.kind=="bar")t.y.forEach((v,i)=>{{if(v){{s+=`<rect x="${{x(i)}}" width="${{Math.max((w-50)/n-.5,.5)}}" y="${{y(base[i]+v)}}" height="${{y(base[i])-y(base[i]+v)}}" fill="${{c}}"><title>${{plot.labels[i]}} ${{t.name}} ${{v}}</title></rect>`;base[i]+=v}}}});
+    if(plot.kind=="bar")t.y.forEach((v,i)=>{{if(v){{s+=`<rect x="${{x(i)}}" width="${{Math.max((w-50)/n-.5,.5)}}" y="${{y(base[i]+v)}}" height="${{y(base[i])-y(base[i]+v)}}" fill="${{c}}"><title>${{labels[i]}} ${{t.name}} ${{v}}</title></rect>`;base[i]+=v}}}});
     else{{s+=`<polyline fill="none" stroke="${{c}}" points="${{t.y.map((v,i)=>x(i+.5)+","+y(v)).join(" ")}}"/>`;
       if(t.error)t.y.forEach((v,i)=>s+=`<line x1="${{x(i+.5)}}" x2="${{x(i+.5)}}" y1="${{y(v-t.error[i])}}" y2="${{y(v+t.error[i])}}" stroke="${{c}}"/>`)}}}});
-  s+=`<text x="0" y="12" font-size="10">${{high.toPrecision(4)}}</text><text x="40" y="${{h-5}}" font-size="10">${{plot.labels[0]||""}}</text><text x="${{w-80}}" y="${{h-5}}" font-size="10">${{plot.labels[n-1]||""}}</text>`;
-  box.innerHTML=plot.groups.map((q,i)=>plot.groups.length>1?`<button class="${{i==group?"on":""}}" data-g="${{i}}">${{q.name}}</button>`:"").join("")+`<svg width="${{w}}" height="${{h}}">${{s}}</svg><div>${{g.traces.map((t,k)=>`<span style="color:${{colours[k%5]}}">${{t.name}}</span>`).join(" ")}}</div>`;
+  s+=`<text x="0" y="12" font-size="10">${{high.toPrecision(4)}}</text><text x="40" y="${{h-5}}" font-size="10">${{labels[0]||""}}</text><text x="${{w-80}}" y="${{h-5}}" font-size="10">${{labels[n-1]||""}}</text>`;
+  box.innerHTML=plot.groups.map((q,i)=>plot.groups.length>1?`<button class="${{i==group?"on":""}}" data-g="${{i}}">${{q.name}}</button>`:"").join("")+`<svg width="${{w}}" height="${{h}}">${{s}}</svg><div>${{g.traces.map((t,k)=>`<span style="color:${{colours[k%5]}}">${{t.name}}</span>`).join(" ")}}</div>`+(slides?`<input type="range" min="0" max="${{all-view-1}}" value="${{from}}" style="width:${{w}}px" title="first position shown">`:"");
+  const slider=box.querySelector("input");if(slider)slider.oninput=()=>{{draw(plot,group,+slider.value);box.querySelector("input").focus()}};
   box.querySelectorAll("button").forEach(b=>b.onclick=()=>draw(plot,+b.dataset.g));
 }}
 const plots={plots};plots.forEach(p=>draw(p,0));
@@ -43,13 +50,10 @@ const plots={plots};plots.forEach(p=>draw(p,0));
 """
 
 
-def file_line(path: str) -> str:
-    """Size and time of change, where the file is one of this machine's."""
-    local = path.removeprefix("file://")
-    if not os.path.exists(local):
-        return html.escape(path)
-    found = os.stat(local)
-    return f"{html.escape(path)}: {found.st_size} bytes, {time.strftime('%Y-%m-%d %H:%M:%S', time.localtime(found.st_mtime))}"
+def file_line(spark: SparkSession, path: str) -> str:
+    """Size and time of change, wherever the file is; its content is not read."""
+    found = spark.read.format("binaryFile").load(path).select(F.sum("length").alias("n"), F.max("modificationTime").alias("t")).first()
+    return html.escape(path) if found.n is None else f"{html.escape(path)}: {found.n} bytes, {found.t:%Y-%m-%d %H:%M:%S}"
 
 
 def identifier(*parts) -> str:
@@ -60,64 +64,71 @@ def _labels(extent: int, clusters: dict) -> list[str]:
     return [clusters.get(i, str(i)) for i in range(extent)]
 
 
-def _groups(rows: list, value, names) -> tuple[list, int]:
-    """Classes with data in order, each with a dense trace for each series with data."""
+def _plot(name: str, mate: int, kind: str, rows: list, traces) -> dict | None:
+    """Classes with data in order; traces makes those of one class from its rows and the number of positions."""
     extent = 1 + max((r["cluster"] for r in rows), default=-1)
-    groups = []
-    for c in sorted({r["mapq_bin"] for r in rows}):
-        traces = []
-        for s in sorted({r["series"] for r in rows if r["mapq_bin"] == c}):
-            y = [0] * extent
-            for r in rows:
-                if r["mapq_bin"] == c and r["series"] == s:
-                    y[r["cluster"]] = value(r)
-            if any(y):
-                traces.append({"name": names(s), "y": y})
-        if traces:
-            groups.append({"name": R.MAPQ_LABELS[c], "traces": traces})
-    return groups, extent
-
-
-def count_plot(name: str, mate: int, table, length: int, kind: str, names) -> dict | None:
-    """Stacked bars or lines of clustered counts; None where there is no data."""
-    rows = [r.asDict() for r in D.clustered(table.where(f"read_no = {mate}"), length - 1).collect()]
-    groups, extent = _groups([r for r in rows if r["n"]], lambda r: r["n"], names)
+    classes: dict = {}
+    for r in rows:
+        classes.setdefault(r["mapq_bin"], []).append(r)
+    groups = [{"name": R.MAPQ_LABELS[c], "traces": t} for c in sorted(classes) if (t := traces(classes[c], extent))]
     if not groups:
         return None
-    labels = _labels(extent, {r["cluster"]: r["label"] for r in rows})
-    return {"id": identifier(name, mate), "kind": kind, "labels": labels, "groups": groups}
-
-
-def quality_plot(name: str, mate: int, table, length: int) -> dict | None:
-    """Mean quality with standard errors, of the clustered counts."""
-    cells = D.clustered(table.where(f"read_no = {mate}"), length - 1)
-    labels = {r.cluster: r.label for r in cells.select("cluster", "label").distinct().collect()}
-    rows = D.mean_quality(cells.select("read_no", "mapq_bin", "series", cells["cluster"].alias("pos"), "n").where("n > 0")).collect()
-    extent = 1 + max((r.pos for r in rows), default=-1)
-    groups = []
-    for c in sorted({r.mapq_bin for r in rows}):
-        y, error = [0.0] * extent, [0.0] * extent
-        for r in rows:
-            if r.mapq_bin == c:
-                y[r.pos], error[r.pos] = r["mean"], r.std_err
-        groups.append({"name": R.MAPQ_LABELS[c], "traces": [{"name": "mean quality", "y": y, "error": error}]})
-    return {"id": identifier(name, mate), "kind": "line", "labels": _labels(extent, labels), "groups": groups} if groups else None
+    labels = {r["cluster"]: r["label"] for r in rows}
+    return {"id": identifier(name, mate), "kind": kind, "labels": [labels.get(i, str(i)) for i in range(extent)], "groups": groups}
 
 
-def density_plot(mate: int, lengths) -> dict | None:
-    rows = D.length_density(lengths.where(f"read_no = {mate}")).orderBy("mapq_bin", "len").collect()
-    if not rows:
-        return None
-    at = sorted({r.len for r in rows})
-    place = {n: i for i, n in enumerate(at)}
-    groups = []
-    for c in sorted({r.mapq_bin for r in rows}):
-        y = [0.0] * len(at)
+def count_traces(names):
+    """A dense trace for each series with data."""
+
+    def traces(rows: list, extent: int) -> list:
+        found: dict = {}
         for r in rows:
-            if r.mapq_bin == c:
-                y[place[r.len]] = r.density
-        groups.append({"name": R.MAPQ_LABELS[c], "traces": [{"name": "density", "y": y}]})
-    return {"id": identifier("lengths", mate), "kind": "line", "labels": list(map(str, at)), "groups": groups}
+            if r["n"]:
+                found.setdefault(r["series"], [0] * extent)[r["cluster"]] = r["n"]
+        return [{"name": names(s), "y": found[s]} for s in sorted(found)]
+
+    return traces
+
+
+def mean_traces(rows: list, extent: int) -> list:
+    y, error = [0.0] * extent, [0.0] * extent
+    for r in rows:
+        y[r["cluster"]], error[r["cluster"]] = r["mean"], r["std_err"]
+    return [{"name": "mean quality", "y": y, "error": error}]
+
+
+def clustered_rows(p: Profile, length: int) -> dict:
+    """(what, mate) -> rows of all plots by position: clustered counts, and means of clustered qualities. Two collects of
+    at most clusters x series x classes rows, whatever the file's size."""
+    by = ["what", *D.KEY]
+    shown = p.cells.where(~F.col("what").isin(*P.NUMBERS))
+    matrix = F.when(F.col("what").endswith("normalised"), R.NORM_BINS).otherwise(length)
+    cells = D.clustered_by_file(shown.withColumn("l", R.matrix_length(matrix - 1)), by).where("n > 0")
+    of_qualities = F.col("what").startswith("qualities")
+    plain = cells.where(~of_qualities).collect()
+    means = D.mean_quality(cells.where(of_qualities).withColumnRenamed("cluster", "pos"), [*by, "label"]).withColumnRenamed("pos", "cluster").collect()
+    out: dict = {}
+    for r in [*plain, *means]:
+        out.setdefault((r.what, r.read_no), []).append(r.asDict())
+    return out
+
+
+def density_plots(lengths) -> dict:
+    """mate -> plot."""
+    out: dict = {}
+    rows = D.length_density(lengths).orderBy("mapq_bin", "len").collect()
+    for mate in sorted({r.read_no for r in rows}):
+        own = [r for r in rows if r.read_no == mate]
+        at = {n: i for i, n in enumerate(sorted({r.len for r in own}))}
+        groups = []
+        for c in sorted({r.mapq_bin for r in own}):
+            y = [0.0] * len(at)
+            for r in own:
+                if r.mapq_bin == c:
+                    y[at[r.len]] = r.density
+            groups.append({"name": R.MAPQ_LABELS[c], "traces": [{"name": "density", "y": y}]})
+        out[mate] = {"id": identifier("lengths", mate), "kind": "line", "labels": list(map(str, at)), "groups": groups, "density": True}
+    return out
 
 
 def _human(n: int) -> str:
@@ -127,52 +138,53 @@ def _human(n: int) -> str:
     return str(n)
 
 
-def mapping_section(p: Profile) -> tuple[str, bool]:
-    """The counts of reads, as a table for aligned files; and whether second mates are shown."""
-    pairs = p.tables["pairs"].first()
+def mapping_section(p: Profile, pairs) -> str:
+    """The counts of reads, as a table for aligned files."""
     if not p.aligned:
-        return f"<h2>Reads</h2><p>{_human(pairs.total)} reads</p>", False
+        return f"<h2>Reads</h2><p>{_human(pairs.total)} reads</p>"
     rows = p.tables["mapping"].collect()
     order = {name: i for i, name in enumerate((*R.MAPQ_LABELS, "Total"))}
     out = ["<h2>Mapping statistics</h2><p>", f"{_human(pairs.total)} reads", f", {pairs.pct_paired}% paired" if pairs.n_paired else "", f", {pairs.pct_proper}% of these properly" if pairs.n_paired else "", "</p><table><tr><th>Mate</th><th>Class</th><th>Reads</th><th>Fraction</th></tr>"]
     for r in sorted(rows, key=lambda r: (r.read_no, order[r["class"]])):
         out.append(f"<tr><td>{r.read_no}</td><td>{r['class']}</td><td>{_human(r.n)}</td><td>{'' if r.fraction is None else f'{r.fraction:.5f}'}</td></tr>")
-    return "".join(out) + "</table>", pairs.n_paired > 0
+    return "".join(out) + "</table>"
 
 
 def render(p: Profile) -> str:
-    """The page of one profile: what has no data is left out."""
-    table, paired = mapping_section(p)
-    body = [table]
+    """The page of one profile: what has no data is left out. Second mates are shown where any read is paired; titles
+    name the mate where there are second mates."""
+    pairs = p.tables["pairs"].first()
+    body = [mapping_section(p, pairs)]
     if p.partial:
-        body.append(f'<p class="banner">First {p.partial} reads only.</p>')
-    length = max(R.EXACT, longest(p.reads) + 1)
-    base = lambda s: R.BASES[s]
+        body.append(f'<p class="banner">This report is partial: it shows the first {pairs.total} reads only.</p>')
+    rows = clustered_rows(p, max(R.EXACT, longest(p.cells) + 1))
+    base = count_traces(lambda s: R.BASES[s])
     plots: list = []
+    mates = (1, 2) if p.aligned and pairs.n_paired else (1,)
 
     def add(title: str, make) -> None:
-        for mate in (1, 2) if paired else (1,):
+        for mate in mates:
             if plot := make(mate):
                 plots.append(plot)
-                body.append(f'<h2>{title}{f" Read {mate}" if paired else ""}</h2><div id="{plot["id"]}"></div>')
+                body.append(f'<h2>{title}{f" Read {mate}" if pairs.n_read2 else ""}</h2><div id="{plot["id"]}"></div>')
 
-    t = p.tables
-    add("Length distribution", lambda m: density_plot(m, t["lengths"]))
-    add("Base composition", lambda m: count_plot("bases", m, t["bases"], length, "bar", base))
-    add("Base quality", lambda m: quality_plot("qualities", m, t["qualities"], length))
+    def by_position(title: str, name: str, what: str, kind: str, traces) -> None:
+        add(title, lambda m: _plot(name, m, kind, rows.get((what, m), []), traces))
+
+    densities = density_plots(p.tables["lengths"])
+    add("Length distribution", densities.get)
+    by_position("Base composition", "bases", "bases", "bar", base)
+    by_position("Base quality", "qualities", "qualities", "line", mean_traces)
     if p.options.plot_end:
-        add("Base composition from the read's end", lambda m: count_plot("end bases", m, t["bases_from_end"], length, "bar", base))
-        add("Base quality from the read's end", lambda m: quality_plot("end qualities", m, t["qualities_from_end"], length))
+        by_position("Base composition from the read's end", "end bases", "bases_from_end", "bar", base)
+        by_position("Base quality from the read's end", "end qualities", "qualities_from_end", "line", mean_traces)
     if p.options.norm:
-        add("Base composition by hundredths of the read", lambda m: count_plot("norm bases", m, t["bases_normalised"], R.NORM_BINS, "bar", base))
-        add("Base quality by hundredths of the read", lambda m: quality_plot("norm qualities", m, t["qualities_normalised"], R.NORM_BINS))
+        by_position("Base composition by hundredths of the read", "norm bases", "bases_normalised", "bar", base)
+        by_position("Base quality by hundredths of the read", "norm qualities", "qualities_normalised", "line", mean_traces)
     if p.aligned:
-        from pyspark.sql import functions as F
-
-        one = lambda x: x.withColumn("series", F.lit(0))
-        add("Mismatches", lambda m: count_plot("mismatches", m, t["mismatches"], length, "bar", base))
-        add("Insertions", lambda m: count_plot("insertions", m, one(t["insertions"]), length, "line", lambda s: "insertions"))
-        add("Deletions", lambda m: count_plot("deletions", m, one(t["deletions"]), length, "line", lambda s: "deletions"))
+        by_position("Mismatches", "mismatches", "mismatches", "bar", base)
+        by_position("Insertions", "insertions", "insertions", "line", count_traces(lambda s: "insertions"))
+        by_position("Deletions", "deletions", "deletions", "line", count_traces(lambda s: "deletions"))
     title = html.escape(os.path.basename(p.path))
     data = json.dumps(plots).replace("</", "<\\/")
-    return PAGE.format(title=title, file_line=file_line(p.path), version=__version__, body="\n".join(body), plots=data)
+    return PAGE.format(title=title, file_line=file_line(p.cells.sparkSession, p.path), version=__version__, body="\n".join(body), plots=data)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.operators.reads import RAW
-from readqc.sources.records import BamSource, FastqSource
+from readqc.sources.records import read_bam, read_fastq
 
 # Name endings and what they hold. The second list is accepted beyond the usual names.
 ENDINGS = {
@@ -35,17 +35,16 @@ def chosen(paths: list[str]) -> list[tuple[str, str]]:
     return known
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None, mode: str = "FAILFAST") -> DataFrame:
-    """One file as records; kind overrides what the name says. mode: PERMISSIVE leaves broken records out."""
+def read(spark: SparkSession, path: str, kind: str | None = None, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
+    """One file as records; kind overrides what the name says. mode: PERMISSIVE leaves broken records out. alone: the
+    session reads a file as one split (in_order), so records come in one pass in file order."""
     kind = kind or file_type(path)
-    if kind == "sam":
-        return read_sam(spark, path, mode)
     if kind == "fasta":
         return read_fasta(spark, path)
+    if kind == "sam":
+        return read_sam(spark, path, mode)
     if kind in ("bam", "fastq"):
-        source = BamSource if kind == "bam" else FastqSource
-        spark.dataSource.register(source)
-        return spark.read.format(source.name()).option("path", path).option("mode", mode).load()
+        return (read_bam if kind == "bam" else read_fastq)(spark, path, mode, alone)
     raise ValueError(f"unknown file type: {path}")
 
 
@@ -85,19 +84,46 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*_named(path, F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), F.lit(False)))
 
 
-def peek(reads: DataFrame, n: int, mode: str = "exact", block: int = 10_000) -> tuple[DataFrame, int]:
-    """The first records of one file in file order, and how many are asked for: n, or in mode chunk whole blocks past n."""
+def asked(n: int, mode: str = "exact", block: int = 10_000) -> int:
+    """How many records a peek of n reads at most: n, or in mode chunk whole blocks past n."""
     if n < 10:
         raise ValueError("peek needs at least 10 records")
     if mode not in ("exact", "chunk"):
         raise ValueError(f"unknown peek mode {mode!r}")
-    most = n if mode == "exact" else block * (n // block + 1)
-    at = F.monotonically_increasing_id()  # tasks of one file are in its order
-    return reads.withColumn("_at", at).orderBy("_at").limit(most).drop("_at"), most
+    return n if mode == "exact" else block * (n // block + 1)
+
+
+def in_order(spark: SparkSession) -> SparkSession:
+    """A session (settings of its own, the same cluster) in which a file is one split: its records come in file order,
+    and a limit stops reading."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
+    own.conf.set("spark.sql.files.openCostInBytes", str(1 << 50))
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
+def peek(reads: DataFrame, n: int, mode: str = "exact", block: int = 10_000, aligned: bool = False) -> tuple[DataFrame, int | None]:
+    """The first records of one file (read in order, see in_order), and their number if there are more.
+
+    exact: n records. chunk: whole blocks past n, and there count as more: for aligned files a last block that is full,
+    for others more than n records.
+    """
+    most = asked(n, mode, block)
+    first = reads.limit(most)
+    found = reads.limit(most + (mode == "exact")).count()
+    more = found > n if mode == "exact" or not aligned else found == most
+    return first, min(found, most) if more else None
 
 
 def output_path(path: str, outdir: str | None = None, suffix: str = "readqc.html") -> str:
-    """Beside the input, or in outdir, which must exist."""
+    """Beside the input, or in outdir, which must exist and is needed for files elsewhere than on this machine."""
+    if outdir is None and "://" in path and not path.startswith("file://"):
+        raise ValueError(f"name an outdir for the report of {path}")
+    path = path.removeprefix("file://")
     if outdir is None:
         return f"{path}.{suffix}"
     if not os.path.isdir(outdir):

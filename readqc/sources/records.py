@@ -1,282 +1,475 @@
-"""Python data sources for formats that Spark's text reader can't take apart: BAM and FASTQ.
+"""FASTQ and BAM records out of Spark's own text reader, so that any path Spark opens can be read, in splits.
 
-Both read in tasks: FASTQ by byte ranges of a plain file (a range starts at the first whole record after its
-first byte), BAM by runs of compressed blocks found through the file's own block lengths, each task starting
-at the first record that begins in its run. Gzipped FASTQ is one task a file.
+FASTQ is read line by line. BAM's compressed blocks all begin with the same four bytes: with these as line
+separator every row of the text reader is one block. A split holds the lines or blocks that begin in it; a record
+may begin in one split and end in another. Each split therefore finds its own first record, gives the whole records,
+and hands on what stands before the first and after the last one. These fragments, at most two for each split, meet
+in one task for each file, where they must make whole records again: a wrong start or a lost piece can't go unseen.
+
+mode FAILFAST raises for damaged blocks (length, checksum), broken records, records that don't end, and a BAM file
+without its closing empty block (a file that was cut). PERMISSIVE leaves out what is damaged and goes on with the
+next whole record.
 """
 
 from __future__ import annotations
 
-import gzip
-import os
+import itertools
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readqc.operators.reads import RAW
 
-#: Bytes of a file that one task reads.
-SPLIT = 32_000_000
-
-# Fixed values of the public BAM format: letters of base codes and operations, and sizes of tag values.
+# Fixed values of the public BAM format: first bytes of a block, letters of base codes and operations, sizes of tag values.
+MAGIC = b"\x1f\x8b\x08\x04"
 LETTERS = "=ACMGRSVTWYHKDBN"
 OPERATIONS = "MIDNSHP=X"
 TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
+_SHOWN = bytes(min(q + 33, 126) for q in range(256))
 _PAIRS = [a + b for a in LETTERS for b in LETTERS]
+#: Records of an Arrow batch; lines in which a split's first record must begin to be found; bytes searched at once for one.
+BATCH, LINES, SEARCHED = 5_000, 400, 1 << 18
+FRAGMENT = "f string, start long, place int, data binary"
+#: Places of a split's fragments: what belongs to the split before; what is open at the end; how the split ends.
+HEAD, WHOLE, TAIL, END = 0, 1, 2, 3
+_FINAL = object()
+
+_NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
+_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+
+
+def _pieces(spark: SparkSession, path: str, separator: bytes | None = None) -> DataFrame:
+    """f, start (of the split) and x (bytes) of every line."""
+    reader = spark.read
+    if separator:
+        reader = reader.option("lineSep", separator.decode("latin-1")).option("encoding", "ISO-8859-1")
+    return reader.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("x"))
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.path, self.start, self.end = path, start, end
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((f, start), its batches of x) of one split after another; each must be read before the next."""
 
+    def parts():
+        for batch in batches:
+            starts = batch.column("start").to_numpy()
+            cuts = [0, *(np.flatnonzero(starts[1:] != starts[:-1]) + 1), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield (batch.column("f")[a].as_py(), int(starts[a])), batch.column("x").slice(a, b - a)
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
+    for key, group in itertools.groupby(parts(), key=lambda p: p[0]):
+        yield key, (x for _, x in group)
 
 
-def ranges(path: str, whole: bool = False) -> list[Range]:
-    size = os.path.getsize(local(path))
-    if whole or size <= SPLIT:
-        return [Range(path, 0, size)]
-    return [Range(path, a, min(a + SPLIT, size)) for a in range(0, size, SPLIT)]
+def _reading(found, path: str, fragments: bool):
+    """A function for mapInArrow: found gives (place, bytes) for fragments and record batches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (f, start), pieces in _splits(batches):
+            own = []
+            for x in found(pieces, start == 0, path):
+                if isinstance(x, tuple):
+                    own.append((f, start, *x))
+                elif not fragments:
+                    yield x
+            if fragments and own:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["f", "start", "place", "data"])
 
-class _Source(DataSource):
-    def schema(self) -> str:
-        return RAW
+    return run
 
-    def paths(self) -> list[str]:
-        return [p for p in self.options["path"].split(",") if p]
 
+def _stitching(whole, closed, path: str):
+    """Fragments come by file, split and place: the records that they make together."""
 
-class FastqSource(_Source):
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("f", "start", "place", "data"))))
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            held, end = [], b""
+            for _, _, place, data in group:
+                if place == END:
+                    end = data
+                    continue
+                held.append(data)
+                if place == HEAD:
+                    yield from whole(held, path)
+                    held = []
+            if held:
+                yield from whole(held, path)
+            closed(end, path)
 
-    def reader(self, schema):
-        return FastqReader(self.paths(), self.options.get("mode", "FAILFAST"))
+    return run
 
 
-class FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str], mode: str) -> None:
-        self.names, self.mode = paths, mode
+def _alone(found, whole, closed, path: str):
+    """For files of one split each: records and what is open at the end, in one pass."""
 
-    def partitions(self):
-        return [r for p in self.names for r in ranges(p, p.endswith(".gz"))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in _splits(batches):
+            for x in found(pieces, True, path):
+                if not isinstance(x, tuple):
+                    yield x
+                elif x[0] == END:
+                    closed(x[1], path)
+                else:
+                    yield from whole([x[1]], path)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        for name, seq, qual in fastq_records(partition, self.mode):
-            yield (partition.path, name, None, None, None, seq, qual, None, False)
+    return run
 
 
-def _is_record(lines: list[bytes]) -> bool:
+def _read(spark: SparkSession, path: str, separator: bytes | None, found, whole, closed, alone: bool) -> DataFrame:
+    pieces = _pieces(spark, path, separator)
+    if alone:
+        return pieces.mapInArrow(_alone(found, whole, closed, path), RAW)
+    n = max(1, min(200, spark.sparkContext.defaultParallelism))
+    parts = pieces.mapInArrow(_reading(found, path, True), FRAGMENT).repartition(n, "f").sortWithinPartitions("f", "start", "place")
+    return pieces.mapInArrow(_reading(found, path, False), RAW).unionByName(parts.mapInArrow(_stitching(whole, closed, path), RAW))
+
+
+# FASTQ
+
+
+def is_record(lines: list) -> bool:
     return len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].strip()) == len(lines[3].strip())
 
 
-def fastq_records(r: Range, mode: str = "FAILFAST") -> Iterator[tuple]:
-    """Records that start in the range. A quality line may start with @, so four lines must fit together."""
-    with gzip.open(local(r.path), "rb") if r.path.endswith(".gz") else open(local(r.path), "rb") as f:
-        if r.start:
-            f.seek(r.start - 1)
-            f.readline()  # the rest of a line that starts before the range
-        lines: list = []
-        places: list = []
-        synced = not r.start
-        while True:
-            while len(lines) < 4:
-                place = f.tell() if not r.path.endswith(".gz") else 0
-                line = f.readline()
-                if not line:
-                    break
-                if lines or line.strip():
-                    lines.append(line)
-                    places.append(place)
-            if not lines or places[0] >= r.end and not r.path.endswith(".gz"):
-                return
-            if _is_record(lines):
-                synced = True
-                yield lines[0][1:].split()[0].decode() if len(lines[0].strip()) > 1 else "", lines[1].strip().decode(), lines[3].strip().decode() or None
-                lines, places = [], []
-            elif synced and mode == "FAILFAST":
-                raise ValueError(f"broken FASTQ record in {r.path} near byte {places[0]}")
-            elif len(lines) < 4:
-                return
+def _first_record(lines: list) -> int | None:
+    """The line where three records follow each other, or as many as there are up to the end."""
+    for i in range(min(len(lines), LINES)):
+        at, good = i, 0
+        while good < 3 and is_record(lines[at : at + 4]):
+            at, good = at + 4, good + 1
+            while at < len(lines) and not lines[at].strip():
+                at += 1
+        if good == 3 or good and len(lines) - at < 4 and (at >= len(lines) or lines[at][:1] == b"@"):
+            return i
+    return None
+
+
+def _fastq_batch(path: str, heads, seqs, quals) -> pa.RecordBatch:
+    """A batch of the records whose lines these are (binary)."""
+    text = lambda x: pc.utf8_trim_whitespace(pa.array(x, pa.binary()).cast(pa.string()))
+    n = len(heads)
+    names = pc.struct_field(pc.extract_regex(pc.utf8_slice_codeunits(pa.array(heads, pa.binary()).cast(pa.string()), 1), r"^\s*(?P<name>\S*)"), 0)
+    quals = text(quals)
+    none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.string())]
+    columns = [pa.repeat(path, n), names, *none, text(seqs), pc.if_else(pc.equal(pc.utf8_length(quals), 0), pa.scalar(None, pa.string()), quals), pa.nulls(n, pa.string()), pa.repeat(False, n)]
+    return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
+
+
+def _fastq_whole(lines: list, path: str, permissive: bool) -> tuple[list, int]:
+    """The records of lines from a known start on, and the first line not used."""
+    out, at = [], 0
+    while True:
+        while at < len(lines) and not lines[at].strip():
+            at += 1
+        if at + 4 > len(lines):
+            return out, at
+        if is_record(lines[at : at + 4]):
+            out.append((lines[at], lines[at + 1], lines[at + 3]))
+            at += 4
+        elif permissive:
+            at += 1
+        else:
+            raise ValueError(f"broken FASTQ record in {path}: {lines[at][:100]!r}")
+
+
+def _fast(x: pa.Array, n: int) -> tuple | None:
+    """Lines of n records as three arrays, if all are well formed."""
+    line = lambda i: x.take(pa.array(np.arange(i, 4 * n, 4)))
+    heads, seqs, plus, quals = map(line, range(4))
+    trimmed = lambda a: pc.binary_length(pc.utf8_trim_whitespace(a.cast(pa.string())))
+    ok = pc.and_(pc.and_(pc.starts_with(heads, b"@"), pc.starts_with(plus, b"+")), pc.equal(trimmed(seqs), trimmed(quals)))
+    return (heads, seqs, quals) if pc.all(ok).as_py() else None
+
+
+def _fastq(permissive: bool):
+    def found(pieces: Iterator[pa.Array], first: bool, path: str) -> Iterator:
+        rest: list = []
+        synced = first
+        for x in pieces:
+            if not synced or rest:
+                rest += x.to_pylist()
+                if not synced:
+                    at = _first_record(rest) if len(rest) >= LINES else None
+                    if at is None:
+                        continue
+                    yield HEAD, b"\n".join(rest[:at])
+                    rest, synced = rest[at:], True
+                x = pa.array(rest, pa.binary())
+                rest = []
+            n = len(x) // 4
+            arrays = _fast(x, n) if n else None
+            if arrays:
+                yield _fastq_batch(path, *arrays)
+                rest = x.slice(4 * n).to_pylist()
             else:
-                lines, places = lines[1:], places[1:]
+                lines = x.to_pylist()
+                records, at = _fastq_whole(lines, path, permissive)
+                if records:
+                    yield _fastq_batch(path, *zip(*records))
+                rest = lines[at:]
+        if not synced:  # a short split
+            at = _first_record(rest)
+            if at is None:
+                yield WHOLE, b"\n".join(rest)
+                return
+            yield HEAD, b"\n".join(rest[:at])
+            records, end = _fastq_whole(rest[at:], path, permissive)
+            if records:
+                yield _fastq_batch(path, *zip(*records))
+            rest = rest[at + end :]
+        if rest:
+            yield TAIL, b"\n".join(rest)
 
+    return found
 
-class BamSource(_Source):
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
 
-    def reader(self, schema):
-        return BamReader(self.paths())
+def _fastq_stitched(permissive: bool):
+    def whole(held: list, path: str) -> Iterator[pa.RecordBatch]:
+        lines = [line for x in held if x for line in x.split(b"\n")]
+        records, at = _fastq_whole(lines, path, permissive)
+        if at < len(lines) and not permissive:
+            raise ValueError(f"broken FASTQ record in {path}: {lines[at][:100]!r}")
+        if records:
+            yield _fastq_batch(path, *zip(*records))
 
+    return whole
 
-class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.names = paths
 
-    def partitions(self):
-        return [r for p in self.names for r in ranges(p)]
+def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
+    """FASTQ, plain (in splits) or compressed as Spark's text reader knows it (one task a file)."""
+    permissive = mode != "FAILFAST"
+    return _read(spark, path, None, _fastq(permissive), _fastq_stitched(permissive), lambda end, path: None, alone)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        for row in bam_records(partition):
-            yield (partition.path, *row, True)
 
+# BAM
 
-def block_size(f, at: int, size: int) -> int:
-    """Length of the compressed block at this byte, 0 if none starts there."""
-    f.seek(at)
-    head = f.read(12)
-    if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+
+def block_size(block: bytes) -> int:
+    """Length of a compressed block by its own header, 0 if this is none."""
+    if len(block) < 12 or block[:4] != MAGIC:
         return 0
-    extra = f.read(struct.unpack("<H", head[10:12])[0])
-    i = 0
-    while i + 4 <= len(extra):
-        n = struct.unpack("<H", extra[i + 2 : i + 4])[0]
-        if extra[i : i + 2] == b"BC" and n == 2:
-            length = struct.unpack("<H", extra[i + 4 : i + 6])[0] + 1
-            return length if at + length <= size else 0
+    i, end = 12, 12 + struct.unpack_from("<H", block, 10)[0]
+    while i + 4 <= min(end, len(block)):
+        n = struct.unpack_from("<H", block, i + 2)[0]
+        if block[i : i + 2] == b"BC" and n == 2 and i + 6 <= len(block):
+            return struct.unpack_from("<H", block, i + 4)[0] + 1
         i += 4 + n
     return 0
 
 
-def first_block(f, start: int, size: int) -> int:
-    """First byte from start on where a block starts and another, or the file's end, follows it."""
-    at = start
-    while at < size:
-        f.seek(at)
-        window = f.read(1 << 17)
-        i = window.find(b"\x1f\x8b\x08\x04")
-        while i >= 0:
-            n = block_size(f, at + i, size)
-            if n and (at + i + n == size or block_size(f, at + i + n, size)):
-                return at + i
-            i = window.find(b"\x1f\x8b\x08\x04", i + 1)
-        at += max(len(window) - 3, 1)
-    return size
-
-
-class Blocks:
-    """Uncompressed bytes from a block on, and the block in which each byte lies."""
-
-    def __init__(self, f, at: int, size: int) -> None:
-        self.f, self.at, self.size = f, at, size
-        self.data, self.marks = bytearray(), []  # (first byte in data, block)
-
-    def more(self) -> bool:
-        n = block_size(self.f, self.at, self.size) if self.at < self.size else 0
-        if not n:
-            return False
-        self.f.seek(self.at)
-        self.marks.append((len(self.data), self.at))
-        self.data += zlib.decompress(self.f.read(n), 31)
-        self.at += n
-        return True
-
-    def has(self, n: int) -> bool:
-        while len(self.data) < n:
-            if not self.more():
-                return False
-        return True
-
-    def block_of(self, place: int) -> int:
-        return next(b for first, b in reversed(self.marks) if first <= place)
-
-    def drop(self, n: int) -> None:
-        del self.data[:n]
-        self.marks = [(max(a - n, 0), b) for i, (a, b) in enumerate(self.marks) if i + 1 == len(self.marks) or self.marks[i + 1][0] > n]
-
-
-def _plausible(blocks: Blocks, at: int, n_ref: int) -> int:
-    """Bytes of a record that can start here, else 0."""
-    if not blocks.has(at + 36):
-        return 0
-    length, ref, pos, name, _, _, ops, _, bases, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", blocks.data, at)
-    need = 32 + name + 4 * ops + (bases + 1) // 2 + bases
-    if not (32 <= need <= length < 1 << 28 and -1 <= ref < n_ref and -1 <= next_ref < n_ref and pos >= -1 and next_pos >= -1 and name >= 1 and bases >= 0):
+def _inflated(pieces: Iterator[pa.Array], first: bool, path: str, permissive: bool) -> Iterator[bytes | None]:
+    """What the blocks of a split hold; None stands for a gap. Lengths and checksums are verified."""
+    left, todo, held = (p for x in pieces for p in x.to_pylist()), deque(), []
+    if first and next(left, None):
+        raise ValueError(f"not a BAM file: {path}")
+    while True:
+        piece = todo.popleft() if todo else next(left, None)
+        if piece is None and not held:
+            return
+        if piece is not None:
+            held.append(piece)
+            block = MAGIC + MAGIC.join(held)  # the four bytes may stand inside a block, too
+            size = block_size(block)
+            if size > len(block):
+                continue
+            try:
+                data = zlib.decompress(block[:size], 31) if size else None
+            except zlib.error:
+                data = None
+            if data is not None and (size == len(block) or permissive and len(held) == 1):
+                yield data
+                if size < len(block):
+                    yield None
+                held = []
+                continue
+        if not permissive:
+            raise ValueError(f"damaged block in {path}, or the file was cut")
+        yield None
+        todo.extendleft(reversed(held[1:]))
+        held = []
+
+
+def _record_size(data, at: int) -> int:
+    """Bytes of the record that can start here; 0: none can; -1: too little is known."""
+    if len(data) < at + 36:
+        return -1
+    length, ref, pos, name, _, _, ops, _, bases, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (0 <= bases < 1 << 28 and 32 + name + 4 * ops + (bases + 1) // 2 + bases <= length < 1 << 28 and min(ref, next_ref, pos, next_pos) >= -1 and name >= 1):
         return 0
-    if not blocks.has(at + 36 + name) or blocks.data[at + 35 + name] != 0 or not all(33 <= c <= 126 for c in blocks.data[at + 36 : at + 35 + name]):
+    if len(data) < at + 36 + name:
+        return -1
+    if data[at + 35 + name] != 0 or not all(33 <= c <= 126 for c in data[at + 36 : at + 35 + name]):
         return 0
     return length + 4
 
 
-def bam_records(r: Range) -> Iterator[tuple]:
-    """(read_id, flag, mapq, cigar, seq, qual, md) of the records that begin in blocks of this range."""
-    size = os.path.getsize(local(r.path))
-    with open(local(r.path), "rb") as f:
-        head = Blocks(f, 0, size)
-        if not head.has(12) or head.data[:4] != b"BAM\1":
-            raise ValueError(f"not a BAM file: {r.path}")
-        at = 8 + struct.unpack_from("<i", head.data, 4)[0]
-        head.has(at + 4)
-        n_ref = struct.unpack_from("<i", head.data, at)[0]
-        at += 4
-        for _ in range(n_ref):
-            head.has(at + 4)
-            at += 8 + struct.unpack_from("<i", head.data, at)[0]
-        head.has(at)
-        if r.start == 0:
-            blocks = head
-        else:
-            begin = first_block(f, r.start, size)
-            if begin >= r.end or begin <= head.marks[-1][1]:
-                return
-            blocks, at = Blocks(f, begin, size), 0
-            blocks.has(1)
-            while blocks.has(at + 1):  # a record starts where three in a row are well formed, or the last ones
-                place, good = at, 0
-                while good < 3 and (n := _plausible(blocks, place, n_ref)):
-                    good, place = good + 1, place + n
-                if good == 3 or good and not blocks.has(place + 1):
+def _find(data, final: bool) -> int | None:
+    """The byte where three records follow each other (fewer, if final data end with them); None if none is known yet."""
+    for at in range(len(data)):
+        place, good, size = at, 0, 0
+        while good < 3 and (size := _record_size(data, place)) > 0:
+            place, good = place + size, good + 1
+        if good == 3:
+            return at
+        if size < 0 and not final:
+            return None
+        if size < 0 and good:
+            return at
+    return None
+
+
+def _header_size(data, path: str) -> int | None:
+    """Bytes before the first record; None if the header goes on."""
+    if data[:4] != b"BAM\1"[: len(data)]:
+        raise ValueError(f"not a BAM file: {path}")
+    if len(data) < 12 or len(data) < (at := 8 + struct.unpack_from("<i", data, 4)[0]) + 4:
+        return None
+    n, at = struct.unpack_from("<i", data, at)[0], at + 4
+    for _ in range(n):
+        if len(data) < at + 4:
+            return None
+        at += 8 + struct.unpack_from("<i", data, at)[0]
+    return at if len(data) >= at else None
+
+
+def _bam(permissive: bool):
+    def found(pieces: Iterator[pa.Array], first: bool, path: str) -> Iterator:
+        data, at, rows = bytearray(), 0, []
+        header, lost, headed, closed, searched = first, not first, first, False, SEARCHED
+        for chunk in itertools.chain(_inflated(pieces, first, path, permissive), [_FINAL]):
+            final = chunk is _FINAL
+            if chunk is None:  # a gap: what is open is lost
+                if not headed:
+                    yield HEAD, bytes(data)
+                data, at, header, lost, headed, closed = bytearray(), 0, False, True, True, False
+                continue
+            if not final:
+                closed = not chunk
+                data += chunk
+            if header:
+                size = _header_size(data, path)
+                if size is None:
+                    continue
+                header, at = False, size
+            while True:
+                if lost:
+                    start = _find(data, final) if final or len(data) >= searched else None
+                    if start is None:
+                        searched = max(SEARCHED, 2 * len(data))
+                        break
+                    if not headed:
+                        yield HEAD, bytes(data[:start])
+                    del data[:start]
+                    at, lost, headed, searched = 0, False, True, SEARCHED
+                while (size := _record_size(data, at)) > 0 and at + size <= len(data):
+                    row = bam_record(bytes(data[at + 4 : at + size]))
+                    if row is None:
+                        size = 0
+                        break
+                    rows.append(row)
+                    at += size
+                    if len(rows) == BATCH:
+                        yield _bam_batch(rows, path)
+                        rows = []
+                if size != 0:
                     break
-                at += 1
-        while blocks.has(at + 4):
-            if blocks.block_of(at) >= r.end:
-                return
-            length = struct.unpack_from("<i", blocks.data, at)[0]
-            if not blocks.has(at + 4 + length):
-                raise ValueError(f"{r.path} ends inside a record")
-            yield bam_record(bytes(blocks.data[at + 4 : at + 4 + length]))
-            at += 4 + length
+                if not permissive:
+                    raise ValueError(f"broken BAM record in {path}")
+                del data[: at + 1]
+                lost, searched = True, 0
             if at > 1 << 20:
-                blocks.drop(at)
+                del data[:at]
                 at = 0
+        if rows:
+            yield _bam_batch(rows, path)
+        if header and not permissive:
+            raise ValueError(f"{path} ends inside its header")
+        if lost and not headed:
+            yield WHOLE, bytes(data)
+        elif not lost and not header and len(data) > at:
+            yield TAIL, bytes(data[at:])
+        yield END, b"\1" if closed else b""
+
+    return found
+
+
+def _bam_stitched(permissive: bool):
+    def whole(held: list, path: str) -> Iterator[pa.RecordBatch]:
+        data, at, rows = b"".join(held), 0, []
+        while (size := _record_size(data, at)) > 0 and at + size <= len(data) and (row := bam_record(data[at + 4 : at + size])):
+            rows.append(row)
+            at += size
+        if at < len(data) and not permissive:
+            raise ValueError(f"broken BAM record in {path}, or the file ends inside one")
+        if rows:
+            yield _bam_batch(rows, path)
 
+    return whole
 
-def bam_record(x: bytes) -> tuple:
+
+def _bam_closed(permissive: bool):
+    def closed(end: bytes, path: str) -> None:
+        if not end and not permissive:
+            raise ValueError(f"{path} was cut: it lacks the empty block that closes a BAM file")
+
+    return closed
+
+
+def read_bam(spark: SparkSession, path: str, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
+    permissive = mode != "FAILFAST"
+    return _read(spark, path, MAGIC, _bam(permissive), _bam_stitched(permissive), _bam_closed(permissive), alone)
+
+
+def _bam_batch(rows: list, path: str) -> pa.RecordBatch:
+    columns = [[path] * len(rows), *zip(*rows), [True] * len(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=list(_NAMES))
+
+
+def bam_record(x: bytes) -> tuple | None:
+    """read_id, flag, mapq, cigar, seq, qual, md of a record; None if it is not well formed up to its end."""
     _, _, name_size, mapq, _, n_ops, flag, n, _, _, _ = struct.unpack_from("<iiBBHHHiiii", x)
     at = 32
     name = x[at : at + name_size - 1].decode()
     at += name_size
     codes = struct.unpack_from(f"<{n_ops}I", x, at)
-    cigar = "".join(f"{c >> 4}{OPERATIONS[c & 15]}" for c in codes)
     at += 4 * n_ops
     seq = "".join(map(_PAIRS.__getitem__, x[at : at + (n + 1) // 2]))[:n]
     at += (n + 1) // 2
     qual = x[at : at + n]
     at += n
-    shown = None if not n or qual[0] == 0xFF else bytes(min(q + 33, 126) for q in qual).decode()
-    return name, flag, mapq, cigar or None, seq, shown, None if flag & 4 else md_tag(x, at)
+    try:
+        cigar = "".join(f"{c >> 4}{OPERATIONS[c & 15]}" for c in codes)
+        md = md_tag(x, at)
+    except (IndexError, KeyError, ValueError, struct.error):
+        return None
+    shown = None if not n or qual[0] == 0xFF else qual.translate(_SHOWN).decode()
+    return name, flag, mapq, cigar or None, seq, shown, None if flag & 4 else md
 
 
 def md_tag(x: bytes, at: int) -> str | None:
-    while at + 3 <= len(x):
+    """The MD tag, if there is one; an error if the tags don't end where the record does."""
+    md = None
+    while at < len(x):
         tag, kind = x[at : at + 2], chr(x[at + 2])
         at += 3
         if kind in "ZH":
             end = x.index(0, at)
             if tag == b"MD":
-                return x[at:end].decode() or None
+                md = x[at:end].decode() or None
             at = end + 1
         elif kind == "B":
             at += 5 + TAG_SIZES[chr(x[at])] * struct.unpack_from("<i", x, at + 1)[0]
         else:
             at += TAG_SIZES[kind]
-    return None
+    if at != len(x):
+        raise ValueError("tags run over the record's end")
+    return md

@@ -138,3 +138,7 @@ def test_errors_in_closed_form(spark):
     for x, (a, b) in zip(got, want):
         assert (sorted(x.ins), sorted(x.dels), sorted((m.pos, m.base) for m in x.m0)) == a
         assert sorted((m.pos, m.base) for m in x.m1) == b[2]
+    for (_, cigar, md, seq, reverse), (a, b) in zip(rows, want):  # the helpers for one read
+        total, ins, dels = E.gaps_of(cigar)
+        assert sorted(total - c - n if reverse else c for c, n in ins) == a[0] and sorted(total - c if reverse else c for c, _ in dels) == a[1]
+        assert sorted(E.mismatches_of(cigar, md, seq, reverse)) == a[2] and sorted(E.mismatches_of(cigar, md, seq, reverse, True)) == b[2]

@@ -2,6 +2,7 @@ import gzip
 import json
 import math
 import os
+import random
 import re
 import struct
 import zlib
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from readqc.operators import derive as D
 from readqc.operators import profiles as P
-from readqc.operators.reads import RAW, derive
+from readqc.functions.errors import alignment_of
+from readqc.operators.reads import RAW, alignments, derive
 from readqc.plans.profile import profile, profile_reads, report
 from readqc.sources import records
-from readqc.sources.files import chosen, file_type, output_path, read
+from readqc.sources.files import chosen, file_type, in_order, output_path, peek, read
 
 SAM = "\n".join(
     "\t".join(map(str, x))
@@ -78,6 +80,13 @@ def test_sam_profile(spark, sam):
     p.release()
 
 
+def test_alignment_text(spark, sam):
+    shown = {r.read_id: r.alignment for r in alignments(derive(read(spark, sam)).where("read_id in ('p1', 'p2') and read_no = 1")).collect()}
+    assert shown["p1"] == "p1\nACGTACGT\nCIGAR: 8M\n   MD: 3A4\nACGAACGT (genome)\n||| ||||\nACGTACGT (read)\n"
+    assert shown["p2"].endswith("\nAAANNTTT (genome)\n|||  |||\nAAA--TTT (read)\n")
+    assert alignment_of("2S2M1I2M1D1M", "1A2^G1", "ttACGTCA") == ("AA-TCGA", "|  || |", "ACGTC-A")
+
+
 def test_literal_clips_and_missing_quality(spark, sam):
     raw = read(spark, sam)
     plain, compat = derive(raw), derive(raw, compat=True)
@@ -116,16 +125,40 @@ def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "bad.fq").write_text("@a\nACGT\n+\nII\n@b\nGG\n+\nII\n")
     with pytest.raises(Exception, match="broken FASTQ"):
         read(spark, str(tmp_path / "bad.fq")).count()
+    (tmp_path / "cut.fq").write_text("@a\nACGT\n+\nIIII\n@b\nGG\n+\n")
+    with pytest.raises(Exception, match="broken FASTQ"):
+        read(spark, str(tmp_path / "cut.fq")).count()
+    assert cells(read(spark, str(tmp_path / "cut.fq"), mode="PERMISSIVE"), "read_id") == [("a",)]
     assert cells(read(spark, str(tmp_path / "bad.fq"), mode="PERMISSIVE"), "read_id") == [("b",)]
 
 
-def test_fastq_ranges(tmp_path):
-    text = "".join(f"@r{i}\n{'ACGT' * (i % 7)}A\n+\n{'@+I!' * (i % 7)}@\n" for i in range(200))
+@pytest.fixture
+def split(spark):
+    """A function that makes Spark cut files into splits of so many bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+
+    def set_(n):
+        for k in keys:
+            spark.conf.set(k, str(n))
+
+    yield set_
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v)
+
+
+def test_fastq_splits(spark, split, tmp_path, monkeypatch):
+    text = "".join(f"@r{i} x\n{'ACGT' * (i % 7)}A\n+\n{'@+I!' * (i % 7)}@\n" + "\n" * (i % 11 == 0) for i in range(200))
+    text += "@empty\n\n+\n\n@crlf\r\nAC\r\n+\r\n@@\r\n"
     path = tmp_path / "r.fq"
-    path.write_text(text)
-    for step in (37, 100, 1000, 10**6):
-        got = [x for a in range(0, len(text), step) for x in records.fastq_records(records.Range(str(path), a, min(a + step, len(text))))]
-        assert [x[0] for x in got] == [f"r{i}" for i in range(200)]
+    path.write_bytes(text.encode())
+    want = sorted([(f"r{i}", "ACGT" * (i % 7) + "A", "@+I!" * (i % 7) + "@") for i in range(200)] + [("empty", "", ""), ("crlf", "AC", "@@")])
+    for step, lines in ((37, 400), (100, 400), (1000, 400), (1000, 12), (10**6, 400)):
+        split(step)
+        monkeypatch.setattr(records, "LINES", lines)
+        got = read(spark, str(path))
+        assert sorted((r.read_id, r.seq, r.qual or "") for r in got.collect()) == want
+        assert step > 10**5 or got.rdd.getNumPartitions() > len(text) // step
 
 
 def bgzf(data):
@@ -152,32 +185,153 @@ def bam_bytes(rows):
     return out
 
 
-def test_bam(spark, tmp_path):
-    rows = [(f"read{i}", [0, 16, 65, 4][i % 4], i % 61, f"{10 + i % 40}M" if i % 4 != 3 else None, "ACGTN"[i % 5] * (10 + i % 40), "I" * (10 + i % 40) if i % 3 else None, "5A3" if i % 2 else None) for i in range(300)]
-    want = [(*r[:6], None if r[1] & 4 else r[6]) for r in rows]
+BAM_ROWS = [(f"read{i}", [0, 16, 65, 4, 1024][i % 5], i % 61, f"{2 * (i % 2)}S{10 + i % 40}M1P2D{i % 3}H" if i % 5 != 3 else None, "ACGTN"[i % 5] * (10 + i % 40 + 2 * (i % 2)), "I" * (10 + i % 40 + 2 * (i % 2)) if i % 3 else None, "5A3" if i % 2 else None) for i in range(300)]
+BAM_WANT = sorted((str(x) for x in ((*r[:6], None if r[1] & 4 else r[6]) for r in BAM_ROWS)))
+
+
+def bam_rows(frame):
+    return sorted(str(tuple(r)) for r in frame.select("read_id", "flag", "mapq", "cigar", "seq", "qual", "md").collect())
+
+
+def test_bam(spark, split, tmp_path):
     path = tmp_path / "x.bam"
-    path.write_bytes(bgzf(bam_bytes(rows)))
-    size = os.path.getsize(path)
-    for step in (211, 1000, 5000, size):
-        got = [x for a in range(0, size, step) for x in records.bam_records(records.Range(str(path), a, min(a + step, size)))]
-        assert got == want
-    assert cells(read(spark, str(path)), "read_id", "flag") == sorted((r[0], r[1]) for r in rows)
+    path.write_bytes(bgzf(bam_bytes(BAM_ROWS)))
+    for step in (211, 1000, 5000, 10**6):
+        split(step)
+        assert bam_rows(read(spark, str(path))) == BAM_WANT
     (tmp_path / "bad.bam").write_bytes(bgzf(b"not a bam file at all"))
     with pytest.raises(Exception, match="not a BAM file"):
         read(spark, str(tmp_path / "bad.bam")).count()
+    (tmp_path / "none.bam").write_bytes(bgzf(bam_bytes([])))
+    assert read(spark, str(tmp_path / "none.bam")).count() == 0
+
+
+def blocks_at(data):
+    out, at = [], 0
+    while at < len(data):
+        out.append(at)
+        at += records.block_size(data[at : at + 40])
+    return out
 
 
-def test_peek(spark, tmp_path):
-    path = tmp_path / "many.fa"
-    path.write_text("".join(f">r{i}\nAC\n" for i in range(50)))
-    p = profile(spark, str(path), peek=10)[str(path)]
-    assert p.partial == 10 and sorted(int(r.read_id[1:]) for r in p.reads.collect()) == list(range(10))
-    p = profile(spark, str(path), peek=10, peek_mode="chunk")[str(path)]
-    assert p.partial == 10_000 and p.reads.count() == 50
-    assert profile(spark, str(path), peek=50)[str(path)].partial is None
+@pytest.mark.parametrize("step", [400, 3000, 10**6])
+def test_damaged_bam_is_never_read_in_silence(spark, split, tmp_path, step):
+    """Cut between and inside blocks, a broken block header, a broken checksum, a lost block, over several splits."""
+    split(step)
+    whole = bgzf(bam_bytes(BAM_ROWS))
+    at = blocks_at(whole)
+    middle = at[len(at) // 2]
+    damaged = {
+        "no closing block": whole[: at[-1]],
+        "cut between blocks": whole[:middle],
+        "cut inside a block": whole[: middle + 50],
+        "cut inside a header": whole[: middle + 5],
+        "header": whole[:middle] + b"xxxx" + whole[middle + 4 :],
+        "block length": whole[: middle + 16] + b"\xff\xff" + whole[middle + 18 :],
+        "checksum": whole[: middle - 7] + bytes([whole[middle - 7] ^ 1]) + whole[middle - 6 :],
+        "content": whole[: middle + 60] + bytes([whole[middle + 60] ^ 1]) + whole[middle + 61 :],
+        "lost block": whole[:middle] + whole[at[len(at) // 2 + 1] :],
+    }
+    for name, data in damaged.items():
+        path = tmp_path / f"{name.replace(' ', '-')}.bam"
+        path.write_bytes(data)
+        with pytest.raises(Exception, match="damaged block|was cut|broken BAM record"):
+            read(spark, str(path)).collect()
+        kept = bam_rows(read(spark, str(path), mode="PERMISSIVE"))
+        assert set(kept) <= set(BAM_WANT) and len(kept) == len(set(kept))
+        lost = len(BAM_WANT) - len(kept)
+        assert lost == 0 if name == "no closing block" else lost < 30 or "cut" in name
+
+
+def test_paths_that_only_spark_opens(spark, split, sam, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.reads.link./in", f"file://{tmp_path}")
+    (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes(BAM_ROWS)))
+    (tmp_path / "x.fq").write_text("".join(f"@q{i}\nACGT\n+\nIIII\n" for i in range(100)))
+    (tmp_path / "x.fa").write_text(">a\nAC\n")
+    (tmp_path / "out").mkdir()
+    for step in (500, 10**6):
+        split(step)
+        assert bam_rows(read(spark, "viewfs://reads/in/x.bam")) == BAM_WANT
+        assert read(spark, "viewfs://reads/in/x.fq").count() == 100 and read(spark, "viewfs://reads/in/x.sam").count() == 8
+    pages = report(spark, ["viewfs://reads/in/x.bam", "viewfs://reads/in/x.fa"], outdir=str(tmp_path / "out"))
+    assert f"{os.path.getsize(tmp_path / 'x.bam')} bytes" in open(pages[0], encoding="utf-8").read()
+    with pytest.raises(ValueError, match="outdir"):
+        report(spark, "viewfs://reads/in/x.fa")
+
+
+def test_bam_equals_sam(spark, sam, tmp_path):
+    rows = [tuple(r) for r in read(spark, sam).select("read_id", "flag", "mapq", "cigar", "seq", "qual", "md").collect()]
+    path = tmp_path / "same.bam"
+    path.write_bytes(bgzf(bam_bytes(rows)))
+    assert bam_rows(read(spark, str(path))) == sorted(str((*r[:6], r[6])) for r in rows)
+    one, two = (profile(spark, p, plot_end=True, norm=True)[p] for p in (sam, str(path)))
+    for name in one.tables:
+        assert sorted(map(str, one.tables[name].collect())) == sorted(map(str, two.tables[name].collect()))
+
+
+def test_peek(spark, split, tmp_path):
+    split(100)  # a peek reads in file order all the same
+    path, aligned = str(tmp_path / "many.fa"), str(tmp_path / "many.sam")
+    (tmp_path / "many.fa").write_text("".join(f">r{i}\nAC\n" for i in range(50)))
+    (tmp_path / "many.sam").write_text("".join(f"r{i}\t0\tchr\t1\t9\t2M\t*\t0\t0\tAC\tII\n" for i in range(50)))
+    for p in (path, aligned):
+        found = profile(spark, p, peek=10)[p]
+        assert found.partial == 10 and sorted(int(r.read_id[1:]) for r in found.reads.collect()) == list(range(10))
+        assert profile(spark, p, peek=50)[p].partial is None
+    # whole blocks of 10,000: a FASTA file of 50 records is past n, an aligned one was read to its end
+    for p, partial in ((path, 50), (aligned, None)):
+        found = profile(spark, p, peek=10, peek_mode="chunk")[p]
+        assert found.partial == partial and found.reads.count() == 50
+    raw = read(in_order(spark), aligned)
+    assert [peek(raw, 10, "chunk", block, aligned=True)[1] for block in (7, 25, 50, 51)] == [14, 25, 50, None]
+    pages = report(spark, [path, aligned], outdir=str(tmp_path), peek=10)
+    assert all("first 10 reads only" in open(x, encoding="utf-8").read() for x in pages)
+    assert "reads only" not in open(report(spark, aligned, outdir=str(tmp_path), peek=10, peek_mode="chunk")[0], encoding="utf-8").read()
     for bad in ({"peek": 9}, {"nthreads": 0}, {"subsample": 2}, {"outdir": "/no/such"}, {"report_max_len": 0}):
         with pytest.raises(ValueError):
-            profile(spark, str(path), **bad)
+            profile(spark, path, **bad)
+
+
+def test_peek_reads_only_the_start(spark, tmp_path):
+    """What stands behind the records asked for is not even parsed."""
+    path = str(tmp_path / "broken.fq")
+    (tmp_path / "broken.fq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(200_000)) + "@broken\n")
+    assert profile(spark, path, peek=100)[path].tables["pairs"].first().total == 100
+    with pytest.raises(Exception, match="broken FASTQ"):
+        read(spark, path).count()
+
+
+def test_subsample_is_exact(spark):
+    r = random.Random(3)
+    rows = [(f, f"r{i // 2}", r.randrange(4), 30, "4M", "ACGT", "IIII", None, True) for f, n in (("a", 1001), ("b", 40), ("c", 1)) for i in range(n)]
+    reads = spark.createDataFrame(rows, RAW).repartition(5)
+    size = lambda x: {k["file"]: k["count"] for k in x.groupBy("file").count().collect()}
+    assert size(P.subsample(reads, 0.25, 11)) == {"a": 250, "b": 10, "c": 1}  # round(0.25) is 0: all stay
+    assert size(P.subsample(reads, 1.0)) == size(P.subsample(reads, 0)) == {"a": 1001, "b": 40, "c": 1}
+    for share in (0.5, 0.0123, 0.9):
+        got = size(P.subsample(reads, share, 5))
+        assert got["a"] == math.floor(1001 * share + 0.5)
+    first, again = (sorted(map(str, x.collect())) for x in (P.subsample(reads, 0.3, 1), P.subsample(reads.repartition(2), 0.3, 1)))
+    assert first == again != sorted(map(str, P.subsample(reads, 0.3, 2).collect()))
+
+
+def test_one_pass_equals_the_single_counts(spark, sam):
+    reads = derive(read(spark, sam))
+    cells = P.everything(reads, plot_end=True, norm=True).cache()
+    single = {
+        "bases": P.bases(reads), "qualities": P.qualities(reads), "bases_from_end": P.bases_from_end(reads), "qualities_from_end": P.qualities_from_end(reads),
+        "bases_normalised": P.bases_normalised(reads), "qualities_normalised": P.qualities_normalised(reads), "mismatches": P.mismatches(reads),
+        "insertions": P.insertions(reads).withColumn("series", F.lit(0)), "deletions": P.deletions(reads).withColumn("series", F.lit(0)),
+        "lengths": P.lengths(reads).select("read_no", "mapq_bin", F.col("len").alias("pos"), F.lit(0).alias("series"), "n"),
+    }
+    columns = ("read_no", "mapq_bin", "pos", "series", "n")
+    for what, counts in single.items():
+        assert cells_of(cells.where(F.col("what") == what), columns) == cells_of(counts, columns) and counts.count()
+    assert str(P.pairs_of(cells).first()) == str(P.pair_counts(reads).first())
+
+
+def cells_of(frame, columns):
+    return sorted(tuple(r[c] for c in columns) for r in frame.collect())
 
 
 def test_mean_quality_and_gap(spark):
@@ -233,6 +387,15 @@ def test_report(spark, sam, tmp_path):
     assert {p["id"] for p in plots[1]} == {"bases_1", "end_bases_1", "norm_bases_1", "lengths_1"} and "9 reads" in texts[1]
     base = next(p for p in plots[1] if p["id"] == "bases_1")
     assert base["labels"][250:253] == ["250", "251-260", "261-270"]
+    assert 'type="range"' in texts[1] and "const view=250" in texts[1]
+    assert "Read 1" in texts[0] and "Read 1" not in texts[1]
+
+
+def test_titles_follow_second_mates(spark, tmp_path):
+    """Paired reads of which none is a second mate: both mates are looked for, but titles name none."""
+    (tmp_path / "x.sam").write_text("".join(f"r{i}\t65\tchr\t1\t9\t2M\t*\t0\t0\tAC\tII\n" for i in range(5)))
+    page = open(report(spark, str(tmp_path / "x.sam"))[0], encoding="utf-8").read()
+    assert "100.0% paired" in page and "<h2>Base composition</h2>" in page and "Read 1" not in page
 
 
 def test_empty_input(spark):
