@@ -6,12 +6,16 @@ its tokens have entries there. The matrix is kept sparse and used at two levels.
 
 1. Documents with equal sets are one class from here on (128-bit set hash; copies inside a slice of text are
    resolved before the shuffle, so a class with a third of all rows adds one row for each slice).
-2. Level one, the corpus as groups of one class: tokens meet by hash, and each entry learns how many classes
-   have it. A document's overlap with all others together is bounded by its tokens that others have too; where
-   that is too little, it is done. Of the rest, the rarest tokens that any link must touch are kept (both
-   sides of a link need s common tokens, so one is among the len - s + 1 rarest).
+2. Level one, the corpus as groups of one class, finds candidates by prefix filtering: tokens meet by hash, and
+   each entry learns how many classes have it. A document's overlap with all others together is bounded by its
+   tokens that others have too; where that is too little, it is done. Of the rest, the rarest tokens that any link
+   must touch are kept (both sides of a link need s common tokens, so one is among the len - s + 1 rarest).
+   A token that very many classes have (found by Misra-Gries summaries) never meets in one task: its entries
+   take their count from a broadcast list, and equal lengths of a token are drawn together before the shuffle.
 3. Documents that share such a token (and have lengths that can link) are put in one group: no link crosses
-   groups. Large groups are cut into chunks of bounded size.
+   groups. A group too large for one task goes through steps 2 and 3 once more by itself, now with whole sets and
+   counts inside the group, which dissolves groups that only a common passage held together. What is still too
+   large is cut into chunks of bounded size.
 4. Level two: inside each chunk, the union of the tokens of the documents not yet reached is the group's row.
    A document's overlap with it is bounded first, and only if that qualifies is the group opened: exact
    intersections with its members, by postings. The search goes breadth first over documents that are not yet
@@ -19,10 +23,9 @@ its tokens have entries there. The matrix is kept sparse and used at two levels.
 5. Chunks of one large group: the largest components of the chunks are joined through one member each; what is
    outside the group's largest component is then held against every chunk, in blocks. Nothing is capped.
 
-Tokens of a document in steps 2 and 3 are its MOST least shingle hashes. Up to SURE shingles this is exact: every
-token that a link can share is among them. Beyond, a link shares at least FLOOR of them but for a chance under
-1e-15 (the sample of the union is random, and at least three quarters of it are shared), in the order of a
-collision of the hashes themselves. Step 4 takes whole sets.
+Tokens of a document in steps 2 and 3 are all its shingles up to SURE, beyond that its n - ceil(3n/4) + SHARED least
+shingle hashes. That is exact: of two linked documents' common tokens, at least ceil(3n/4), the SHARED least ones
+are among these on both sides, as so many tokens of either are not common at most. Step 4 takes whole sets.
 
 Defined results: null text, or one without words: empty set, linked with nothing; fewer than five words: the
 whole sequence is the only shingle; A-Z are lower-cased; a null doc_id is the smallest (a component with one
@@ -37,15 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.llm.components import components
-from readqc.llm.store import materialize
-from readqc.llm.words import as_bytes, inside, mix, ngrams, slices, word_hashes
+from readqc.llm.store import materialize, spare
+from readqc.llm.words import as_bytes, mix, ngrams, slices, word_hashes
 
-SHINGLE, MOST, SURE, FLOOR = 5, 256, 192, 128
+SHINGLE, SURE, SHARED = 5, 128, 64
 LOWEST = -(2**63)
+#: Of t entries, the tokens that have over t / k of them are heavy, where k is t / HEAVY, or COUNTERS if that is more:
+#: fewer than k tokens, which are broadcast (16 bytes each), and no other has over 2 * HEAVY entries at any size.
+HEAVY, COUNTERS = 1_000_000, 1_024
 #: Tokens of a packed batch, of a partition, and of a chunk; rows up to which a list of ids is broadcast.
 BATCH_TOKENS, PART_TOKENS, CHUNK_TOKENS, BROADCAST_IDS = 250_000, 400_000, 750_000, 1_000_000
 NODES = "doc_id long, n int, s1 long, s2 long, first long, tokens binary"
@@ -64,6 +71,11 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
+def kept(n: int) -> int:
+    """How many of a document's n tokens make candidates."""
+    return n if n <= SURE else n + (-3 * n // 4) + SHARED
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         part = part.sort_by("doc_id")
@@ -76,7 +88,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key = (len(s), int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)), int(np.add.reduce(s * (s >> np.uint64(7) | np.uint64(1))).view(np.int64)))
             first = seen.setdefault(key, d)
-            rows.append((d, len(s), key[1], key[2], None, s[:MOST].tobytes()) if first == d else (d, len(s), d, 0, first, None))
+            rows.append((d, len(s), key[1], key[2], None, s[: kept(len(s))].tobytes()) if first == d else (d, len(s), d, 0, first, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "s1", "s2", "first", "tokens"])
 
 
@@ -109,11 +121,14 @@ def _scatter(bucket: np.ndarray, parts: int, columns: list) -> Iterator[tuple]:
             yield i, b"".join(c[a:b].tobytes() for c in columns)
 
 
-def _packed(found) -> Iterator[pa.RecordBatch]:
+def _packed(found, kind: int = 0) -> Iterator[pa.RecordBatch]:
     found = list(found)
     for i in range(0, len(found), 500):
         bucket, blob = zip(*found[i : i + 500])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([kind] * len(blob), pa.int8()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+PACKED = "bucket int, kind byte, blob binary"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], types: list) -> list[np.ndarray]:
@@ -128,34 +143,85 @@ def _gathered(batches: Iterator[pa.RecordBatch], types: list) -> list[np.ndarray
     return [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(held, types)]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(tokens, doc_id, n) of some documents, in blocks of about BATCH_TOKENS."""
+    held, size = [], 0
+    for batch in batches:
+        for d, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens"))):
+            t = np.frombuffer(blob, np.uint64)
+            held.append((t, np.full(len(t), d, np.int64), np.full(len(t), n, np.int32)))
+            size += len(t)
+            if size >= BATCH_TOKENS:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _summary(counters: int):
+    """Misra-Gries summary of a task's tokens: each is counted short by its share of all over counters at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for some, _, _ in _blocks(batches):
+            own, count = np.unique(some, return_counts=True)
+            token, place = np.unique(np.concatenate((token, own)), return_inverse=True)
+            n = np.bincount(place, np.concatenate((n, count)), len(token)).astype(np.int64)
+            if len(n) > counters:
+                n = n - np.partition(n, len(n) - counters - 1)[len(n) - counters - 1]
+                token, n = token[n > 0], n[n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    return run
+
+
+def heavy_tokens(classes: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy tokens in order (fewer than k, see HEAVY) and what the summaries say of their counts: the same for all
+    entries of a token, which is all that an order needs."""
+    k = max(COUNTERS, total // HEAVY + 1)
+    summed = classes.select("doc_id", "n", "tokens").mapInArrow(_summary(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = summed.where(F.col("n") > max(total // k, 1)).toPandas()
+    token = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.minimum(found["n"].to_numpy(np.int64)[order], 2**31 - 1).astype(np.int32)
+
+
 ENTRY = [np.uint64, np.int64, np.int32]  # token, doc_id, n
-SHARED = [np.uint64, np.int64, np.int32, np.int32]  # and how many classes have the token
+COUNTED = [np.uint64, np.int64, np.int32, np.int32]  # and how many classes have the token
 
 
-def _entries(parts: int):
-    def flush(held):
-        tokens, doc, n = (np.concatenate(x) for x in zip(*held))
-        return _packed(_scatter(((tokens >> np.uint64(24)) % np.uint64(parts)).astype(np.int64), parts, [tokens, doc, n]))
+def _by_document(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _entries(parts: int, heavy):
+    """Entries to the buckets of their tokens (kind 0); those of heavy tokens, counted, to those of their documents (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for d, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens"))):
-                t = np.frombuffer(blob, np.uint64)
-                held.append((t, np.full(len(t), d, np.int64), np.full(len(t), n, np.int32)))
-                size += len(t)
-                if size >= BATCH_TOKENS:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+        known, count = heavy.value
+        for tokens, doc, n in _blocks(batches):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                hot = known[at] == tokens
+                if hot.any():
+                    yield from _packed(_scatter(_by_document(doc[hot], parts), parts, [tokens[hot], doc[hot], n[hot], count[at[hot]]]), 1)
+                    tokens, doc, n = tokens[~hot], doc[~hot], n[~hot]
+            yield from _packed(_scatter(((tokens >> np.uint64(24)) % np.uint64(parts)).astype(np.int64), parts, [tokens, doc, n]))
 
     return run
 
 
 def _shared(parts: int):
+    """Counts the entries of each token and sends those that others have, too, to the buckets of their documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, doc, n = _gathered(batches, ENTRY)
+        plain = []
+        for batch in batches:
+            through = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+            if len(through):
+                yield through
+            plain.append(batch.filter(pa.compute.equal(batch.column("kind"), 0)))
+        token, doc, n = _gathered(iter(plain), ENTRY)
         if not len(token):
             return
         order = np.argsort(token)
@@ -165,36 +231,62 @@ def _shared(parts: int):
         df = np.repeat(df, df)
         keep = df > 1
         token, doc, n, df = token[keep], doc[keep], n[keep], df[keep]
-        yield from _packed(_scatter((mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, [token, doc, n, df.astype(np.int32)]))
+        yield from _packed(_scatter(_by_document(doc, parts), parts, [token, doc, n, df.astype(np.int32)]), 1)
 
     return run
 
 
-def least_shared(n: np.ndarray) -> np.ndarray:
-    """Tokens that a document of n shingles and any partner have in common among their kept ones."""
-    return np.where(n <= SURE, -(-3 * n // 4), FLOOR)
+def least_shared(n: np.ndarray, whole: bool) -> np.ndarray:
+    """Tokens that a document of n shingles and any partner have in common among those that make candidates; whole: these
+    are all."""
+    all_ = -(-3 * n // 4)
+    return all_ if whole else np.where(4 * n // 3 <= SURE, all_, np.minimum(all_, SHARED))
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    token, doc, n, df = _gathered(batches, SHARED)
-    if not len(token):
-        return
-    order = np.lexsort((token, df, n, doc))
-    token, doc, n = token[order], doc[order], n[order]
-    heads = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]))))
-    count = np.diff(np.concatenate((heads, [len(token)])))
-    spare = count - least_shared(n[heads].astype(np.int64)) + 1
-    rank = np.arange(len(token)) - np.repeat(heads, count)
-    keep = rank < np.repeat(spare, count)
-    for i in range(0, int(keep.sum()), 50_000):
-        at = np.flatnonzero(keep)[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(doc[at]), pa.array(n[at])], names=["token", "doc_id", "n"])
+def _rare(whole: bool):
+    """The rarest tokens of each document. Of the documents here that have one token and length, the least stands for
+    all (up is null); the others are drawn to it (token is a hash of theirs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, doc, n, df = _gathered(batches, COUNTED)
+        if not len(token):
+            return
+        order = np.lexsort((token, df, n, doc))
+        token, doc, n = token[order], doc[order], n[order]
+        heads = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]))))
+        count = np.diff(np.concatenate((heads, [len(token)])))
+        spare = count - least_shared(n[heads].astype(np.int64), whole) + 1
+        keep = np.arange(len(token)) - np.repeat(heads, count) < np.repeat(spare, count)
+        token, doc, n = token[keep], doc[keep], n[keep]
+        if not len(token):
+            return
+        order = np.lexsort((doc, n, token))
+        token, doc, n = token[order], doc[order], n[order]
+        first = np.concatenate(([True], (token[1:] != token[:-1]) | (n[1:] != n[:-1])))
+        up = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
+        yield from _rare_rows(token[first].view(np.int64), doc[first], n[first], None)
+        pairs = np.unique(np.stack((doc, up), axis=1)[doc != up], axis=0)
+        yield from _rare_rows(mix(pairs[:, 0].view(np.uint64)).view(np.int64), pairs[:, 0], np.full(len(pairs), -1, np.int32), pairs[:, 1])
+
+    return run
+
+
+def _rare_rows(token, doc, n, up) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(doc), 50_000):
+        part = slice(i, i + 50_000)
+        last = pa.array(up[part]) if up is not None else pa.nulls(len(doc[part]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(doc[part]), pa.array(n[part]), last], names=["token", "doc_id", "n", "up"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by token, n, doc_id: each document with the first of its token whose length leads to it step by step."""
     last_token = last_n = head = None
+    edges = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     for batch in batches:
+        drawn = batch.filter(pa.compute.is_valid(batch.column("up")))
+        if len(drawn):
+            yield edges(drawn.column("doc_id"), drawn.column("up"))
+            batch = batch.filter(pa.compute.is_null(batch.column("up")))
         token, doc, n = (batch.column(c).to_numpy() for c in ("token", "doc_id", "n"))
         if not len(token):
             continue
@@ -204,7 +296,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.where(at >= 0, doc[at], head if head is not None else 0)
         last_token, last_n, head = token[-1], n[-1], heads[-1]
         pairs = np.unique(np.stack((doc, heads), axis=1)[doc != heads], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield edges(pairs[:, 0], pairs[:, 1])
+
+
+def _candidates(classes: DataFrame, whole: bool) -> DataFrame:
+    """v, r: the groups of classes (doc_id, n, tokens) that candidates make."""
+    spark = classes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = int(classes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0)
+    parts = max(n, total // PART_TOKENS + 1)
+    heavy = spark.sparkContext.broadcast(heavy_tokens(classes, total))
+    entries = classes.select("doc_id", "n", "tokens").mapInArrow(_entries(parts, heavy), PACKED).repartitionById(parts, F.col("bucket"))
+    shared = entries.mapInArrow(_shared(parts), PACKED).repartitionById(parts, F.col("bucket"))
+    rare = shared.mapInArrow(_rare(whole), "token long, doc_id long, n int, up long")
+    near = rare.repartition(n, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours, "a long, b long")
+    return components(near)
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, tokens with all tokens, made different for each group."""
+    for part in slices(batches):
+        sets = shingle_sets(as_bytes(part.column("text")))
+        own = mix(part.column("g").to_numpy().view(np.uint64))
+        tokens = [mix(s ^ g).tobytes() for s, g in zip(sets, own)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, sets)), pa.int32()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "tokens"])
 
 
 class Group:
@@ -324,25 +439,25 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions(*keys, "doc_id")
 
 
+def _members(groups: DataFrame, classes: DataFrame, chunk_tokens: int) -> DataFrame:
+    """doc_id, g, chunks, n, chunk of every document in a group (v, r)."""
+    sized = groups.join(classes.select(F.col("doc_id").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n")), "v")
+    chunks = sized.groupBy("r").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("chunks"))
+    return materialize(sized.join(chunks, "r").select(F.col("v").alias("doc_id"), F.col("r").alias("g"), "chunks", "n", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk")))
+
+
 def link(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
-    conf = docs.sparkSession.conf
-    n = int(conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     nodes = keyed.mapInArrow(_nodes, NODES).repartition(n, "s1").sortWithinPartitions("s1", "s2", "n", "doc_id")
     nodes = materialize(nodes.mapInArrow(_classes, "doc_id long, n int, first long, tokens binary"))
     classes = nodes.where("tokens is not null")
-    total = classes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-    parts = max(n, int(total // PART_TOKENS) + 1)
-    entries = classes.select("doc_id", "n", "tokens").mapInArrow(_entries(parts), "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
-    shared = entries.mapInArrow(_shared(parts), "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
-    rare = shared.mapInArrow(_rare, "token long, doc_id long, n int")
-    near = rare.repartition(n, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours, "a long, b long")
-    groups = components(near)
-    sized = groups.join(classes.select(F.col("doc_id").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n")), "v")
-    chunks = sized.groupBy("r").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("chunks"))
-    members = materialize(sized.join(chunks, "r").select(F.col("v").alias("doc_id"), F.col("r").alias("g"), "chunks", "n", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk")))
+    members = _members(_candidates(classes, False), classes, chunk_tokens)
     size, most = members.agg(F.count("*"), F.max("chunks")).first()
+    if (most or 0) > 1:
+        members = _split(keyed, members, chunk_tokens)
+        size, most = members.agg(F.count("*"), F.max("chunks")).first()
     texts = _dealt(_texts_of(keyed, members.select("doc_id", "g", "chunk"), size), "g", "chunk")
     found = texts.mapInArrow(_verify, "doc_id long, root long, g long, chunk int")
     if (most or 0) > 1:
@@ -353,15 +468,30 @@ def link(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return _resolved(leads)
 
 
+def _split(keyed: DataFrame, members: DataFrame, chunk_tokens: int) -> DataFrame:
+    """members, with the groups of several chunks split by whole sets; documents that can link with none leave."""
+    large = members.where("chunks > 1")
+    texts = _texts_of(keyed, large.select("doc_id", "g"), large.count())
+    sets = materialize(texts.mapInArrow(_whole_sets, "doc_id long, n int, tokens binary").where("n > 0"))
+    again = _members(_candidates(sets, True), sets, chunk_tokens)
+    return materialize(members.where("chunks = 1").unionByName(again))
+
+
 def _across(keyed: DataFrame, found: DataFrame, members: DataFrame, chunk_tokens: int) -> DataFrame:
     """doc_id, root after the chunks of groups with several of them have been held against each other."""
     many = members.where("chunks > 1").select("g").distinct()
     inside_ = materialize(found.join(many, "g", "left_semi"))
     by_root = inside_.groupBy("g", "chunk", "root").agg(F.count("*").alias("m"))
     best = by_root.groupBy("g", "chunk").agg(F.max(F.struct("m", (-F.col("root")).alias("root"))).alias("x"))
-    pivots = best.select((-F.col("x.root")).alias("doc_id"), "g", F.lit(0).alias("chunk"))  # one for each chunk
-    joined = _dealt(keyed.join(F.broadcast(pivots) if pivots.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else pivots, "doc_id"), "g", "chunk").mapInArrow(_verify, "doc_id long, root long, g long, chunk int")
-    edges = inside_.select("doc_id", "root").unionByName(joined.select("doc_id", "root"))
+    pivots = best.select((-F.col("x.root")).alias("doc_id"), "g")  # one for each chunk
+    edges = inside_.select("doc_id", "root")
+    while True:
+        joined, levels = _pivots(keyed, pivots, members, chunk_tokens)
+        edges = edges.unionByName(joined.select("doc_id", "root"))
+        if levels <= 1:
+            break
+        best = joined.groupBy("g", "chunk", "root").agg(F.count("*").alias("m")).groupBy("g", "chunk").agg(F.max(F.struct("m", (-F.col("root")).alias("root"))).alias("x"))
+        pivots = best.select((-F.col("x.root")).alias("doc_id"), "g")
     edges = materialize(edges.where(F.col("doc_id") != F.col("root")))
     first = components(edges)
     labelled = inside_.join(first.toDF("doc_id", "label"), "doc_id", "left").select("doc_id", "g", "chunk", F.coalesce("label", "root").alias("root"))
@@ -380,6 +510,17 @@ def _across(keyed: DataFrame, found: DataFrame, members: DataFrame, chunk_tokens
     return found.join(final.toDF("doc_id", "label"), "doc_id", "left").select("doc_id", F.coalesce("label", "root").alias("root"))
 
 
+def _pivots(keyed: DataFrame, pivots: DataFrame, members: DataFrame, chunk_tokens: int) -> tuple[DataFrame, int]:
+    """doc_id, root, g, chunk: links among pivots (doc_id, g), in chunks of their own; and the most chunks of a group: half
+    as many as its pivots at most, so that these get fewer each time."""
+    sized = pivots.join(members.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    chunks = sized.groupBy("g").agg(F.least(F.ceil(F.sum("n") / chunk_tokens), F.ceil(F.count("*") / 2)).cast("int").alias("chunks"))
+    rows = materialize(sized.join(chunks, "g").select("doc_id", "g", "chunks", F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("chunks")).cast("int").alias("chunk")))
+    size, most = rows.agg(F.count("*"), F.max("chunks")).first()
+    texts = _dealt(_texts_of(keyed, rows.select("doc_id", "g", "chunk"), size), "g", "chunk")
+    return materialize(texts.mapInArrow(_verify, "doc_id long, root long, g long, chunk int")), most or 0
+
+
 def _resolved(leads: DataFrame) -> DataFrame:
     """first may be the first copy in a slice, whose own class has an earlier one still."""
     by_doc = leads.groupBy("doc_id").agg(F.min("root").alias("up"))
@@ -390,5 +531,7 @@ def _resolved(leads: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """The rows of docs that stay, one document (the least doc_id) of each component, with all their columns."""
-    kept = link(docs, chunk_tokens).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col("_id"), "left_semi")
+    own = spare(docs, "_id")[0]
+    stay = link(docs, chunk_tokens).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LOWEST)).alias(own)).distinct()
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
+    return keyed.join(stay.hint("shuffle_hash"), own, "left_semi").drop(own).select(*(F.col(f"`{c}`") for c in docs.columns))

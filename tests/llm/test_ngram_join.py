@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from readqc.llm import ngram_join
@@ -99,7 +100,91 @@ def test_broadcast_bound_counts_the_broadcast_rows(spark, monkeypatch):
     got = link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 900)
     assert sorted(map(tuple, got.collect())) == brute(rows)
     assert [(n, broadcast) for _, n, broadcast in seen] == [(m, m <= 200) for m, *_ in seen]
-    assert seen[0][0] <= 200 < seen[1][0]
+    assert seen[0][0] <= 200 < seen[-1][0]
+
+
+def test_long_documents_around_the_limit(spark, monkeypatch):
+    """Pairs of 300 to 2000 shingles with a Jaccard index next to 0.75, one passage in all, lists never broadcast."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "COUNTERS", 40)
+    r = random.Random(11)
+    hot = [f"h{i}" for i in range(30)]
+    rows = []
+    for d in range(0, 60, 2):
+        n = r.randrange(300, 2000)
+        words = [f"w{d}.{i}" for i in range(n)]
+        other = int((n + 34) / 7) + r.randrange(-2, 3)  # so many shingles of either differ at 0.75
+        rows += [(d, " ".join(hot + words)), (d + 1, " ".join(hot + words[: n - other] + [f"x{d}.{i}" for i in range(other)]))]
+    want = brute(rows)
+    assert 5 < sum(c % 2 == 0 and c != d for d, _, c in want) < 25
+    assert sorted(map(tuple, link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())) == want
+
+
+def test_kept_tokens_hold_what_links_share():
+    """Of any two sets that link, least_shared() common tokens are kept on both sides, the smallest that may be."""
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(r.integers(1, 500))
+        pool = np.unique(r.integers(0, 2**63, 2 * n + 200, dtype=np.uint64))
+        r.shuffle(pool)
+        m = int(r.integers(max(1, -(-3 * n // 4)), 4 * n // 3 + 1))
+        common = -(-75 * (n + m) // 175)
+        if common > min(n, m):
+            continue
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate((pool[:common], pool[n : n + m - common])))
+        both = np.intersect1d(x[: ngram_join.kept(n)], y[: ngram_join.kept(m)])
+        assert len(both) >= ngram_join.least_shared(np.array([n, m]), False).max()
+
+
+def packed_entries(docs, parts, heavy):
+    tokens = [np.sort(np.array(t, np.uint64)).tobytes() for t in docs]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(docs)), pa.int64()), "n": pa.array([len(t) for t in docs], pa.int32()), "tokens": pa.array(tokens, pa.binary())})
+    value = type("B", (), {"value": heavy})
+    return list(ngram_join._entries(parts, value)(iter([batch])))
+
+
+def test_a_token_of_all_documents_is_spread(spark):
+    """One shingle in every document: no bucket holds its entries, and the counts that all documents see agree."""
+    docs = [[7 << 24, (1000 + d) << 24] for d in range(4000)]
+    frame = spark.createDataFrame([(d, 2, bytearray(np.array(t, np.uint64).tobytes())) for d, t in enumerate(docs)], "doc_id long, n int, tokens binary").repartition(4)
+    token, count = ngram_join.heavy_tokens(frame, 8000)
+    assert token.tolist() == [7 << 24] and 3900 < count[0] <= 4000
+    for heavy, most in (((token, count), 600), ((token[:0], count[:0]), 4400)):
+        sizes = {}
+        for batch in packed_entries(docs, 16, heavy):
+            for bucket, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sizes[bucket] = sizes.get(bucket, 0) + len(blob) // (24 if kind else 20)
+        assert sum(sizes.values()) == 8000 and max(sizes.values()) <= most
+        assert heavy[0].size or max(sizes.values()) > 4000
+
+
+def test_a_common_passage_alone_holds_no_group_together(spark):
+    """Documents of 160 shingles that share 104: the kept tokens let them pass, whole sets don't."""
+    passage = [f"p{i}" for i in range(108)]
+    rows = [(d, " ".join(passage + [f"o{d}.{i}" for i in range(56)])) for d in range(40)] + [(100 + d, " ".join(passage + [f"same{i}" for i in range(56 - d)])) for d in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = frame.repartition(2)
+    seen, members = [], ngram_join._members
+
+    def watched(*x):
+        out = members(*x)
+        seen.append(out.count())
+        return out
+
+    ngram_join._members = watched
+    try:
+        got = sorted(map(tuple, link(keyed, 900).collect()))
+    finally:
+        ngram_join._members = members
+    assert got == brute(rows) and seen[0] > 35 and seen[1] == 3
+
+
+def test_dedup_carries_clashing_columns(spark):
+    names = ["_id", "__id", "_kept", "g", "root", "component_id", "n"]
+    rows = [(d, f"{'a b c d e f g' if d < 4 else f'x{d} y z'}", *(f"{c}{d}" for c in names)) for d in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = dedup(frame)
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == [rows[0], *rows[4:]]
 
 
 def test_edges(spark):
