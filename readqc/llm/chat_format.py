@@ -18,7 +18,9 @@ the rendered string and its segments with a loss flag: only assistants' texts ar
 
 Defined results: null text: empty; null role: empty; null kind: message; a null seq comes first; equal seq:
 by kind, role and text; repeated rows are events of their own; events before the first message form a
-message with an empty role; a null conv_id is a conversation of its own; extra columns are ignored. A
+message with an empty role; an event of another kind, and one whose target names no message of its conversation,
+changes nothing (nor does one whose target opens only later, as a message starts with its own text); a conversation of
+such events alone has no turn; a null conv_id is a conversation of its own; extra columns are ignored. A
 conversation is one value of the result, so one conversation is rendered by one task.
 """
 
@@ -60,22 +62,28 @@ def fold(events: DataFrame) -> DataFrame:
         (F.col("target").cast("long") if "target" in have else F.lit(None).cast("long")).alias("target"),
     )
     opens = F.col("kind") == "message"
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
     order = Window.partitionBy("conv_id").orderBy("seq", F.when(opens, 0).otherwise(1), "kind", "role", "text")
     log = log.select(
         "*",
         F.row_number().over(order).alias("at"),
         (F.count(F.when(opens, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("latest"),
+        F.count(F.when(opens, 1)).over(order.rowsBetween(*whole)).alias("messages"),
     )
     log = log.withColumn("number", F.when(opens, F.col("latest")).otherwise(F.coalesce("target", "latest")))
-    own = log.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "role", "text"))).alias("e"))
-    reset = F.array_max(F.transform("e", lambda x, i: F.when(x["kind"] != "delta", i + 1).otherwise(F.lit(1))))
+    means = F.col("kind").isin("message", "delta", "edit", "regenerate") & (opens | F.col("target").isNull() | F.col("target").between(0, F.col("messages") - 1))
+    event = F.when(means, F.struct("at", "kind", "role", "text"))  # collect_list leaves out nulls, the conversation stays
+    log = log.withColumn("number", F.when(means, F.col("number")))
+    own = log.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    reset = F.coalesce(F.array_max(F.transform("e", lambda x, i: F.when(x["kind"] != "delta", i + 1).otherwise(F.lit(1)))), F.lit(1))
     own = own.select(
         "conv_id",
         "number",
         F.coalesce(F.try_element_at(F.filter("e", lambda x: x["kind"] == "message"), F.lit(1))["role"], F.lit("")).alias("role"),
         F.array_join(F.transform(F.slice("e", reset, F.size("e")), lambda x: x["text"]), "").alias("text"),
     )
-    return own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("number", "role", "text"))).alias("turns"))
+    turn = F.when(F.col("number").isNotNull(), F.struct("number", "role", "text"))
+    return own.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
 def render(events: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ the input. Prediction is map-only with the prototypes broadcast (the same size).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text when
 nothing was learned; null languages are not learned; words are runs of letters, lower-cased, with a blank on
-either side; repeated rows are predicted each; extra columns are ignored. score is the softmax share of the
+either side; runs of PART characters without a blank are cut, and so are their trigrams there; repeated rows are predicted each; extra columns are ignored. score is the softmax share of the
 chosen language.
 """
 
@@ -28,8 +28,8 @@ from readqc.llm.words import slices
 
 #: Size of the vectors, and the sharpness of the scores.
 DIMENSIONS, SHARPNESS = 512, 20.0
-#: Text of one matrix product.
-BLOCK_BYTES = 1_000_000
+#: Trigrams of one matrix product, and characters of a text that are taken at once.
+PIECE, PART = 16_384, 500_000
 
 _letters: dict = {}
 _alpha: dict = {}
@@ -50,38 +50,66 @@ def _is_letter(code: int) -> bool:
     return _alpha[code]
 
 
-def trigram_counts(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams (three letter codes each, 32: blank) and the counts of each text's trigrams (texts x trigrams)."""
-    joined = np.frombuffer("".join(f"\0{t.lower()}\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def trigrams_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams (three letter codes each, 32: blank) and, for each that occurs, its text and its place among these."""
+    lowered = [t.lower() for t in texts]
+    joined = np.frombuffer("".join(f"\0{t}\0" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(joined):
-        return np.empty((0, 3), np.uint32), np.zeros((len(texts), 0), np.float32)
-    seen, place = np.unique(joined, return_inverse=True) if joined.max() > 0xFFFF else (None, None)
-    if seen is None:  # cheaper than sorting
-        used = np.flatnonzero(np.bincount(joined, minlength=1))
-        place = np.zeros(int(used[-1]) + 1, np.int64)
-        place[used] = np.arange(len(used))
-        seen, place = used.astype(np.uint32), place[joined]
+        return np.empty((0, 3), np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    used = np.flatnonzero(np.bincount(joined, minlength=1))  # code points, so at most 0x110000
+    place = np.zeros(int(used[-1]) + 1, np.int32)
+    place[used] = np.arange(len(used))
+    seen = used.astype(np.uint32)
     letter = np.array([c not in (0, 32) and _is_letter(int(c)) for c in seen])
     small = np.zeros(len(seen), np.int64)
     alphabet = np.concatenate(([32], seen[letter]))
     small[letter] = np.arange(1, len(alphabet))
-    x = small[place]
-    text = np.repeat(np.arange(len(texts)), [len(t.lower()) + 2 for t in texts])
+    x = small[place[joined]]
+    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lowered])
     keep = np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0) | (text[1:] != text[:-1])))  # one blank of each run
     x, text = x[keep], text[keep]
     size = len(alphabet)
     t = (x[:-2] * size + x[1:-1]) * size + x[2:]
     ok = (x[1:-1] != 0) & (text[:-2] == text[2:])
     t, text = t[ok], text[1:-1][ok]
-    if size**3 <= 4_000_000:
+    if size**3 <= 4_000_000:  # cheaper than sorting
         used = np.flatnonzero(np.bincount(t, minlength=1))
         spot = np.zeros((int(used[-1]) if len(used) else 0) + 1, np.int64)
         spot[used] = np.arange(len(used))
         spot = spot[t] if len(t) else t
     else:
         used, spot = np.unique(t, return_inverse=True)
-    counts = np.bincount(text * len(used) + spot, minlength=len(texts) * len(used)).reshape(len(texts), len(used)).astype(np.float32)
-    return alphabet[np.stack((used // size**2, used // size % size, used % size), axis=1)] if len(used) else np.empty((0, 3), np.uint32), counts
+    trigrams = alphabet[np.stack((used // size**2, used // size % size, used % size), axis=1)] if len(used) else np.empty((0, 3), np.uint32)
+    return trigrams, text, spot
+
+
+def cut(text: str) -> list:
+    """Pieces of at most PART characters, cut behind a blank (inside a run of PART characters without one, anywhere)."""
+    out, a = [], 0
+    while len(text) - a > PART:
+        b = text.rfind(" ", a, a + PART) + 1 or a + PART
+        out.append(text[a:b])
+        a = b
+    return [*out, text[a:]]
+
+
+def text_vectors(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Number of trigrams and bundled vector of each text. What is held depends on PART and PIECE, not on a text's length
+    or the number of its trigrams."""
+    total, out = np.zeros(len(texts)), np.zeros((len(texts), DIMENSIONS), np.float32)
+    parts = [(i, p) for i, t in enumerate(texts) for p in cut(t)]
+    at = np.cumsum([len(p) for _, p in parts]) // (2 * PART)
+    for group in np.unique(at):
+        owner, some = zip(*(parts[k] for k in np.flatnonzero(at == group)))
+        trigrams, text, spot = trigrams_of(list(some))
+        text = np.array(owner)[text] if len(text) else text
+        total += np.bincount(text, minlength=len(texts))
+        for a in range(0, len(trigrams), PIECE):
+            n = min(PIECE, len(trigrams) - a)
+            own = slice(None) if n == len(trigrams) else (spot >= a) & (spot < a + n)
+            counts = np.bincount(text[own] * n + spot[own] - a, minlength=len(texts) * n).reshape(len(texts), n)
+            out += counts.astype(np.float32) @ trigram_vectors(trigrams[a : a + n])
+    return total, out
 
 
 def trigram_vectors(trigrams: np.ndarray) -> np.ndarray:
@@ -105,17 +133,14 @@ def _texts(part: pa.RecordBatch) -> list:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict = {}
     for part in _blocks(batches):
-        trigrams, counts = trigram_counts(_texts(part))
-        total = counts.sum(axis=1)
+        total, vectors = text_vectors(_texts(part))
         langs = np.array(part.column("lang").to_pylist(), object)
         ok = total > 0
         if not ok.any():
             continue
-        weight = counts[ok] / total[ok, None]
-        names = sorted(set(langs[ok]))
-        vectors = np.stack([weight[langs[ok] == n].sum(axis=0) for n in names]) @ trigram_vectors(trigrams)
-        for n, v in zip(names, vectors):
-            sums[n] = sums.get(n, 0) + v.astype(np.float64)
+        weighed = vectors[ok] / total[ok, None]
+        for n in sorted(set(langs[ok])):
+            sums[n] = sums.get(n, 0) + weighed[langs[ok] == n].sum(axis=0)
     for n, v in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([n] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "i", "v"])
 
@@ -138,11 +163,11 @@ def _predict(shared):
         centred = matrix - common
         centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
         for part in _blocks(batches):
-            trigrams, counts = trigram_counts(_texts(part))
-            some = counts.sum(axis=1) > 0
+            total, vectors = text_vectors(_texts(part))
+            some = total > 0
             langs, scores = np.array(["und"] * len(part), object), np.zeros(len(part))
             if names and some.any():
-                vectors = counts[some] @ trigram_vectors(trigrams)
+                vectors = vectors[some]
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 vectors -= common
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_RULES = 200_000
+#: Parts into which each join key of pages and rules is dealt, as all pages of a top-level domain share some.
+SALT = 16
 #: The rules of the registered query.
 RULES = (
     ("allow", "org", "/"),
@@ -127,7 +129,9 @@ def _joined(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     keys = keyed.select("_row", "path", F.posexplode(labels).alias("_i", "_l"), labels.alias("_labels"), parts.alias("_parts"))
     keys = keys.select("_row", "path", F.array_join(F.slice("_labels", F.col("_i") + 1, F.size("_labels")), ".").alias("_host"), F.explode(F.sequence(F.lit(0), F.size("_parts") - 1)).alias("_j"), "_parts")
     keys = keys.select("_row", "path", "_host", F.when(F.col("_j") == 0, "").otherwise(F.concat(F.array_join(F.slice("_parts", 1, F.col("_j")), "/"), F.lit("/"))).alias("_stem"))
-    hits = keys.join(rules, ["_host", "_stem"]).where(F.col("path").startswith(F.col("_path")))
+    keys = keys.withColumn("_salt", F.pmod("_row", F.lit(SALT)).cast("int"))
+    rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = keys.join(rules, ["_host", "_stem", "_salt"]).where(F.col("path").startswith(F.col("_path")))
     order = F.struct(F.length("_host"), F.length("_path"), F.concat("_host", "_path").alias("rule"), "_verdict")
     found = hits.groupBy("_row").agg(F.max(order).alias("_m")).select("_row", F.col("_m.rule").alias("rule"), F.col("_m._verdict").alias("verdict"))
     return keyed.join(found, "_row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

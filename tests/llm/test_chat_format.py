@@ -34,6 +34,27 @@ def test_events_fold(spark):
     assert got == {1: [("user", "hello"), ("assistant", "good"), ("user", "")], 2: [("", "early"), ("", "x")], None: [("user", "n")]}
 
 
+def test_events_that_mean_no_message_change_nothing(spark):
+    log = [
+        (1, 0, "message", "user", "a", None),
+        (1, 1, "message", "assistant", "b", None),
+        (1, 2, "edit", None, "x", 9),
+        (1, 3, "delta", None, "x", -5),
+        (1, 4, "delta", None, "x", -1),
+        (1, 5, "reaction", None, "x", None),
+        (1, 6, "reaction", None, "x", 0),
+        (1, 7, "delta", None, "+", 0),
+        (2, 0, "edit", None, "x", 3),
+        (3, 0, "edit", None, "early", 0),
+        (3, 1, "message", "user", "own", 7),
+    ]
+    frame = spark.createDataFrame(log, "conv_id long, seq long, kind string, role string, text string, target long").repartition(2)
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in fold(frame).collect()}
+    assert got == {1: [("user", "a+"), ("assistant", "b")], 2: [], 3: [("user", "own")]}
+    shown = {r.conv_id: r.formatted for r in render(frame).collect()}
+    assert shown[2] == ""
+
+
 def test_round_trip_and_mask(spark):
     rows = [(c, i, r, t) for c in range(3) for i, (r, t) in enumerate([("user", t) for t in NASTY] + [("assistant", t) for t in NASTY] + [("odd\nrole<s>", "x"), (None, None), ("assistant", "long " * 50_000)])]
     frame = spark.createDataFrame([(*x, 9) for x in rows], "conv_id long, seq long, role string, text string, number int")
