@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from readqc.llm.substring_dedup import remove_repeats
+from pyspark.sql import functions as F
+
+from readqc.llm import substring_dedup
+from readqc.llm.substring_dedup import remove_repeats, repeated_spans
 
 
 def brute(rows, k=20):
@@ -53,6 +56,35 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_a_long_repeat_is_one_path_to_its_source(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    shared = words("s", 100)
+    rows = [(1, words("a", 30) + shared + words("b", 10)), (2, shared), (5, words("c", 7) + shared + words("d", 50) + shared[:40]), (9, words("e", 200))]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").coalesce(1)
+    got = repeated_spans(frame).select("doc_id", "start", "n", "src_doc", "src_start").collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 81, 1, 30), (5, 7, 81, 1, 30), (5, 157, 21, 1, 30)]
+
+
+def test_words_are_verified_at_the_source(spark, monkeypatch):
+    """A path whose words differ at its source fails; hashes that all collide never remove a word."""
+    rows = corpus(7, 40)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeated_spans(frame)
+    keyed = substring_dedup._keyed(frame)
+    assert found.count() > 5 and substring_dedup.all_verified(keyed, found, 20)
+    wrong = found.withColumn("src_start", found.src_start + 1)
+    assert not substring_dedup.all_verified(keyed, wrong, 20)
+    tried, plain = [], substring_dedup.paths
+
+    def once(spans):  # the first seed lies
+        tried.append(1)
+        return plain(spans).withColumn("start", F.col("start") + F.lit(int(len(tried) == 1)))
+
+    monkeypatch.setattr(substring_dedup, "paths", once)
+    got = remove_repeats(frame, with_text=False)
+    assert len(tried) == 2 and sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_edges(spark):
     long = " ".join(f"v{i % 977}é" for i in range(30_000))
     rows = [(None, "a " * 50), (1, None), (2, ""), (3, "x y"), (4, "x y"), (5, "a " * 60), (6, long), (7, long), (7, long), (8, "  " + long)]
