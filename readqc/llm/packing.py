@@ -64,15 +64,16 @@ def ranked(rows: DataFrame, group: str, order: list) -> DataFrame:
     return joined.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_g", "_p", "_first", "_before")
 
 
-def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 32_768, tokens: Column | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bucket_len, batch_id, slot, padding."""
+def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 32_768, tokens: Column | None = None, order: Column | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, n_tokens, bucket_len, batch_id, slot, padding. order: what pieces are placed by before
+    doc_id, such as a hash that mixes the sources."""
     if budget < max_len:
         raise ValueError("a batch must hold the longest piece")
     tokens = n_words(F.col("text")) if tokens is None else tokens
-    sized = docs.select(F.col("doc_id"), tokens.alias("_t"))
+    sized = docs.select(F.col("doc_id"), tokens.alias("_t"), (F.lit(0) if order is None else order).alias("_order"))
     last = F.greatest(F.ceil(F.col("_t") / max_len) - 1, F.lit(0)).cast("int")
-    pieces = sized.select("doc_id", "_t", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = materialize(pieces.select("doc_id", "piece", F.least(F.lit(max_len), F.col("_t") - F.col("piece") * max_len).cast("int").alias("n_tokens")))
+    pieces = sized.select("doc_id", "_t", "_order", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = materialize(pieces.select("doc_id", "_order", "piece", F.least(F.lit(max_len), F.col("_t") - F.col("piece") * max_len).cast("int").alias("n_tokens")))
     counts = np.zeros(max_len + 1, np.int64)
     for row in pieces.groupBy("n_tokens").count().collect():
         counts[row.n_tokens] = row["count"]
@@ -80,7 +81,7 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 3
     bucket = F.lit(None).cast("int")
     for end in reversed(ends):
         bucket = F.when(F.col("n_tokens") <= end, end).otherwise(bucket)
-    placed = ranked(pieces.withColumn("bucket_len", F.when(F.col("n_tokens") > 0, bucket)), "bucket_len", ["doc_id", "piece", "n_tokens"])
+    placed = ranked(pieces.withColumn("bucket_len", F.when(F.col("n_tokens") > 0, bucket)), "bucket_len", ["_order", "doc_id", "piece", "n_tokens"])
     slots = F.floor(F.lit(budget) / F.col("bucket_len"))
     return placed.select(
         "doc_id",

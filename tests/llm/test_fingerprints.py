@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from readqc.llm.fingerprints import compare_with_next, edited, fingerprint, likeness, sketches
 
@@ -16,6 +17,54 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+MASK = 2**64 - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def plain_sketch(text):
+    """One hash of each shingle; its top nine bits are the bin, the least rest stays; empty bins ask others in turn."""
+    words = [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+    if not words:
+        return [255] * 512
+    size = min(5, len(words))
+    bins = {}
+    for i in range(len(words) - size + 1):
+        h = 0
+        for w in words[i : i + size]:
+            h = (h * 0x9E3779B97F4A7C15 + w) & MASK
+        h = plain_mix(h)
+        bins[h >> 55] = min(bins.get(h >> 55, MASK), h & 2**55 - 1)
+    out = []
+    for b in range(512):
+        tries, at = 0, b
+        while at not in bins:
+            tries += 1
+            at = plain_mix(b * 2_654_435_761 + tries) >> 55
+        out.append(bins[at] & 15)
+    return out
+
+
+def test_sketches_entry_by_entry():
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(60)}é" for _ in range(n)).encode() for n in (0, 1, 3, 4, 5, 6, 20, 80, 900, 4000)] + [b"  \t", b"a a a a a a a a"]
+    got = sketches(texts)
+    for text, s in zip(texts, got):
+        assert s.tolist() == plain_sketch(text)
+    for i, a in enumerate(got):  # likeness is the corrected share of equal entries
+        for j, b in enumerate(got):
+            same = (sum(x == y for x, y in zip(a, b)) / 512 - 1 / 16) / (15 / 16)
+            none = [not t.split() for t in (texts[i], texts[j])]
+            want = 1.0 if all(none) else 0.0 if any(none) else min(max(same, 0.0), 1.0)
+            assert abs(likeness(got[i : i + 1], got[j : j + 1])[0] - want) < 1e-12
+
+
 def test_likeness_follows_jaccard():
     r = random.Random(1)
     errors = []

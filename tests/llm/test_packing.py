@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from readqc.llm.packing import boundaries, pack
 
 
@@ -54,5 +56,21 @@ def test_pack_keeps_everything(spark):
         assert sum(n < 200 // end for n in fills) <= 1
 
 
+def test_ties_and_order_are_repeatable(spark):
+    """Rows of one doc_id with different texts, and many copies: the same result from any partitioning."""
+    r = random.Random(9)
+    rows = [(d, "w " * r.randrange(1, 200), s) for d in [7] * 40 + [None] * 20 + list(range(200)) for s in [d is not None and d % 2]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    for order in (None, F.xxhash64("doc_id")):
+        got = [sorted(map(str, pack(frame.repartition(n, "text" if n == 3 else "doc_id"), max_len=64, buckets=3, budget=640, order=order).collect())) for n in (2, 3)]
+        assert got[0] == got[1]
+    # by a hash, every batch holds both sources; by doc_id, a stretch of ids
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    by_batch = defaultdict(list)
+    for x in pack(many, max_len=8, buckets=1, budget=300, order=F.xxhash64("doc_id")).collect():
+        by_batch[x.batch_id].append(x.doc_id < 2000)
+    assert len(by_batch) == 40 and all(0.3 < sum(b) / len(b) < 0.7 for b in by_batch.values())
+
+
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
