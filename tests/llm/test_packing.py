@@ -59,7 +59,7 @@ def test_pack_keeps_everything(spark):
 def test_ties_and_order_are_repeatable(spark):
     """Rows of one doc_id with different texts, and many copies: the same result from any partitioning."""
     r = random.Random(9)
-    rows = [(d, "w " * r.randrange(1, 200), s) for d in [7] * 40 + [None] * 20 + list(range(200)) for s in [d is not None and d % 2]]
+    rows = [(d, "w " * r.randrange(1, 200), s) for d in [7] * 40 + [None] * 20 + list(range(200)) for s in [0 if d is None else d % 2]]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source int")
     for order in (None, F.xxhash64("doc_id")):
         got = [sorted(map(str, pack(frame.repartition(n, "text" if n == 3 else "doc_id"), max_len=64, buckets=3, budget=640, order=order).collect())) for n in (2, 3)]
