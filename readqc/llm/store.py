@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_local: dict = {}  # application -> its own folder, where no other is set
 _folders: dict = {}  # (application, shared folder) -> the folder of all its tables
 
 
@@ -21,17 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        local = tempfile.mkdtemp(prefix="readqc-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = "file://" + local
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local.get(spark.sparkContext.applicationId)
+        if folder is None:
+            local = tempfile.mkdtemp(prefix="readqc-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = _local[spark.sparkContext.applicationId] = "file://" + local
     return folder.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """For applications that read long texts (the registered queries do): where the session has the default of 64 MB for
     an Arrow batch, it gets 4 MB. The operators themselves leave the session as it is."""
-    if spark.conf.get(_BATCH, None) in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
         spark.conf.set(_BATCH, "4m")
     return spark
 
