@@ -107,7 +107,7 @@ _DOCS = "WITH docs AS (SELECT CASE WHEN length(text) < 250 THEN 'short' WHEN len
 def length_distribution_docs(spark, sf_dir):
     counts = P.lengths(_docs(spark, sf_dir), by=["file"])
     longest = counts.groupBy("file").agg(F.max("len").alias("longest"))
-    return counts.join(F.broadcast(longest), "file")  # three files
+    return counts.join(longest, "file")
 
 
 @query(_READS + _cells("s_f", _BASE))
@@ -222,7 +222,7 @@ def clustered_composition(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     counts = P.bases(docs, by=["file"])
     files = docs.groupBy("file").agg(F.max("n").alias("longest"))
-    lengths = F.broadcast(files.select("file", R.matrix_length(F.col("longest")).alias("l")))
+    lengths = files.select("file", R.matrix_length(F.col("longest")).alias("l"))
     return D.clustered_by_file(counts.join(lengths, "file"), by=["file"])
 
 
