@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, url_filter
+from readqc.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, substring_dedup, token_alignment, toxicity, url_filter
 from readqc.llm.store import small_batches
 
+#: Where the vocabulary files of operator 12 stand on every node.
+TOKENIZERS = os.environ.get("READQC_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -120,3 +125,8 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS near FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.near)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(near) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")

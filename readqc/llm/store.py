@@ -38,13 +38,23 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder inside the shared one; release() deletes it."""
+    shared = shared_folder(spark)
+    return _folders.setdefault((spark.sparkContext.applicationId, shared), f"{shared}/readqc-{uuid.uuid4().hex}")
+
+
+def mounted(folder: str) -> str | None:
+    """The folder as a path that open() takes on every node, if it is one: no scheme or file://."""
+    path = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+    return path if path.startswith("/") else None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages start from
     replicated files, so a lost executor never makes them recompute what came before."""
     spark = df.sparkSession
-    shared = shared_folder(spark)
-    own = _folders.setdefault((spark.sparkContext.applicationId, shared), f"{shared}/readqc-{uuid.uuid4().hex}")
-    path = f"{own}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
