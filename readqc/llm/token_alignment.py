@@ -40,10 +40,11 @@ from readqc.llm.store import materialize, mounted, own_folder
 from readqc.llm.words import slices
 
 #: Pieces that a worker remembers; partial counts and a shard's entries that a task holds at once; pieces hashed at once.
-MEMO, PENDING, SHARD, HASHED = 200_000, 2_000_000, 1_000_000, 50_000
+MEMO, PENDING, SHARD, HASHED = 300_000, 2_000_000, 1_000_000, 50_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
-_LOADED: dict = {}
+_LOADED: dict = {}  # files -> both tokenizers; these -> the pieces that this worker knows
+_KNOWN: dict = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,6 +75,7 @@ class Pair:
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a vocabulary has an entry without bytes")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (list(map(str, range(len(v)))) for v in (self.a_bytes, self.b_bytes))
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
 
     def tokens(self, pieces: list[str]) -> tuple[list, list]:
@@ -92,6 +94,15 @@ def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
 
+def _listed(ids: np.ndarray, last: np.ndarray, names: list[str]) -> list[str]:
+    """The ids of each group as text; a group is what follows the group before it, up to its last token."""
+    out = [names[i] for i in ids[last].tolist()]
+    first = np.concatenate([[-1], last[:-1]]) + 1
+    for g in np.flatnonzero(first < last).tolist():
+        out[g] = ",".join([names[i] for i in ids[first[g] : last[g] + 1].tolist()])
+    return out
+
+
 class Known:
     """Alignments of the pieces seen so far: numbers of A's tokens, B's tokens and groups (-1: the bytes differ), the text
     of the groups, and the keys of the links."""
@@ -104,34 +115,38 @@ class Known:
     def add(self, pieces: list[str]) -> None:
         pair = self.pair
         ids_a, ids_b = pair.tokens(pieces)
-        numbers = np.full((len(pieces), 3), -1, np.int64)
-        right = []
-        for i, (piece, x, y) in enumerate(zip(pieces, ids_a, ids_b)):
-            whole = (" " + piece).encode()
-            if b"".join([pair.a_bytes[t] for t in x]) == whole == b"".join([pair.b_bytes[t] for t in y]):
-                right.append(i)
-        a, n_a = _flat([ids_a[i] for i in right])
-        b, n_b = _flat([ids_b[i] for i in right])
+        (a, n_a), (b, n_b) = _flat(ids_a), _flat(ids_b)
+        right = self._right(pieces, a, n_a, b, n_b)
+        if not right.all():
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b = n_a[right], n_b[right]
         ends_a, ends_b = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
         _, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        links = np.bincount(np.repeat(np.arange(len(right)), n_a)[in_a], minlength=len(right)) if len(right) else np.zeros(0, np.int64)
-        numbers[right, 0], numbers[right, 1], numbers[right, 2] = n_a, n_b, links
-        texts = [""] * len(pieces)
-        from_a, from_b, group = 0, 0, 0
-        listed_a, listed_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = (in_a + 1).tolist(), (in_b + 1).tolist()
-        for i, n in zip(right, links.tolist()):
-            shown = []
-            for to_a, to_b in zip(cut_a[group : group + n], cut_b[group : group + n]):
-                shown.append(f"{','.join(listed_a[from_a:to_a])}|{','.join(listed_b[from_b:to_b])}")
-                from_a, from_b = to_a, to_b
-            texts[i] = ";".join(shown)
-            group += n
+        links = np.bincount(np.repeat(np.arange(len(n_a)), n_a)[in_a], minlength=len(n_a)) if len(n_a) else n_a
+        numbers = np.full((len(pieces), 3), -1, np.int64)
+        numbers[right] = np.stack([n_a, n_b, links], axis=1)
+        shown = list(map("|".join, zip(_listed(a, in_a, pair.a_names), _listed(b, in_b, pair.b_names))))
+        ends = np.cumsum(np.maximum(numbers[:, 2], 0))
+        starts = [0, *ends[:-1].tolist()]
         self.at |= {p: i for i, p in enumerate(pieces, len(self.texts))}
-        self.texts += texts
+        self.texts += [";".join(shown[x:y]) for x, y in zip(starts, ends.tolist())]
         self.numbers = np.concatenate([self.numbers, numbers])
         self.keys = np.concatenate([self.keys, b[in_b] << 32 | a[in_a]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.maximum(numbers[:, 2], 0))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+
+    def _right(self, pieces: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which pieces both tokenizers give back byte for byte."""
+        pair = self.pair
+        whole = [(" " + p).encode() for p in pieces]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        bytes_a, bytes_b = ([of[i] for i in ids.tolist()] for of, ids in ((pair.a_bytes, a), (pair.b_bytes, b)))
+        owner = np.arange(len(pieces))
+        total = lambda of, ids, n: np.bincount(np.repeat(owner, n), of[ids], minlength=len(pieces)).astype(np.int64)
+        if (total(pair.a_sizes, a, n_a) == sizes).all() and (total(pair.b_sizes, b, n_b) == sizes).all() and b"".join(bytes_a) == b"".join(whole) == b"".join(bytes_b):
+            return np.ones(len(pieces), bool)
+        cuts = [np.cumsum(n).tolist() for n in (n_a, n_b)]
+        found = [[b"".join(x[end - n : end]) for end, n in zip(c, m.tolist())] for x, c, m in zip((bytes_a, bytes_b), cuts, (n_a, n_b))]
+        return np.array([x == w == y for x, w, y in zip(found[0], whole, found[1])], bool)
 
     def which(self, pieces: list[str]) -> np.ndarray:
         new = [p for p in dict.fromkeys(pieces) if p not in self.at]
@@ -156,10 +171,10 @@ NONE = (0, 0, 0, 0, "", b"", b"")
 def _encoded(a_file: str, b_file: str, text: str, kept: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = load(a_file, b_file)
-        known = Known(pair)
+        known = _KNOWN.setdefault(pair, Known(pair))
         for batch in slices(batches, text):
             if len(known.at) > MEMO:
-                known = Known(pair)
+                known = _KNOWN[pair] = Known(pair)
             texts = batch.column(text).to_pylist()
             pieces = [_CUT.split(t) if pair.cuts else [t] for t in texts if t]
             which = known.which(list(chain.from_iterable(pieces)))
