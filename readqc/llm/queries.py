@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc.llm import chat_format, exact_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, token_alignment, toxicity, url_filter
+from readqc.llm import chat_format, conversation_trie, exact_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, substring_dedup, token_alignment, toxicity, url_filter
 from readqc.llm.store import small_batches
 
 #: Where the vocabulary files of operator 12 stand on every node.
@@ -138,3 +138,11 @@ ORACLES["op11_license_scan"] = license_scan.oracle()
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_trie"] = conversation_trie.ORACLE
