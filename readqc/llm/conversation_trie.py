@@ -206,8 +206,7 @@ def _above(path):
 
 def nodes(sequence: DataFrame) -> DataFrame:
     """NODE rows of the trie over (leaf, ids, sizes, n, least), all different."""
-    none = F.array().cast("array<long>")
-    live = sequence.select(none.alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), "ids", "sizes", "n", "least", "leaf")
+    live = sequence.select(F.slice("ids", 1, 0).alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), "ids", "sizes", "n", "least", "leaf")
     local, chains, children = [], [], []
     while True:
         counts = materialize(live.groupBy("path").agg(F.count("*").alias("rows"), F.sum(F.size("ids") - F.col("depth")).alias("cells")))
