@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.operators.reads import RAW
-from readqc.sources.records import read_bam, read_fastq
+from readqc.sources.records import Names, read_bam, read_fastq
 
 # Name endings and what they hold. The second list is accepted beyond the usual names.
 ENDINGS = {
@@ -35,53 +35,71 @@ def chosen(paths: list[str]) -> list[tuple[str, str]]:
     return known
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
-    """One file as records; kind overrides what the name says. mode: PERMISSIVE leaves broken records out. alone: the
-    session reads a file as one split (in_order), so records come in one pass in file order."""
-    kind = kind or file_type(path)
+def address(spark: SparkSession, path: str) -> str:
+    """The path as Spark names the file in a row's metadata."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def read(spark: SparkSession, path: str | list[str], kind: str | None = None, mode: str = "FAILFAST", alone: bool = False, issues: bool = False) -> DataFrame:
+    """One file, or several of one type, as records in one plan; ``file`` has the path as it was given. kind overrides what the name says.
+    mode: FAILFAST raises for what can't be read, PERMISSIVE leaves it out. alone: the session reads a file as one
+    split (in_order), so records come in one pass in file order. issues: keep the rows that stand for what can't be
+    read (columns issue and lost; everything else but file is null) instead, whatever the mode."""
+    paths = [path] if isinstance(path, str) else list(path)
+    kind = kind or file_type(paths[0])
+    names = Names({address(spark, p): p for p in paths})
     if kind == "fasta":
-        return read_fasta(spark, path)
-    if kind == "sam":
-        return read_sam(spark, path, mode)
-    if kind in ("bam", "fastq"):
-        return (read_bam if kind == "bam" else read_fastq)(spark, path, mode, alone)
-    raise ValueError(f"unknown file type: {path}")
+        rows = read_fasta(spark, paths, names)
+    elif kind == "sam":
+        rows = read_sam(spark, paths, names)
+    elif kind in ("bam", "fastq"):
+        rows = (read_bam if kind == "bam" else read_fastq)(spark, paths, names, mode, alone)
+    else:
+        raise ValueError(f"unknown file type: {paths[0]}")
+    if issues:
+        return rows
+    whole = F.col("issue").isNull()
+    if mode == "FAILFAST" and kind != "fasta":
+        whole = F.when(whole, True).otherwise(F.raise_error(F.concat_ws(" ", "issue", F.lit("in"), "file")))
+    return rows.where(whole).drop("issue", "lost")
 
 
-def _named(path: str, *columns: Column) -> list[Column]:
-    names = ("read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
-    return [F.lit(path).alias("file"), *(c.alias(n) for c, n in zip(columns, names))]
+def _named(names: Names, *columns: Column) -> list[Column]:
+    made = ("read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
+    f = F.col("_metadata.file_path")
+    given = F.lit(names.only) if names.only else F.coalesce(F.create_map(*(F.lit(x) for pair in names.known.items() for x in pair))[f], f)
+    return [given.alias("file"), *(c.alias(n) for c, n in zip(columns, made))]
 
 
-def read_sam(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def read_sam(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
     """SAM text, split by bytes into tasks. Only the columns that profiles use are taken out of a line."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.length("value") > 0))
+    lines = spark.read.text(paths).where(~F.col("value").startswith("@") & (F.length("value") > 0))
     x = F.split("value", "\t", 12)
     at = lambda i: F.try_element_at(x, F.lit(i))
     whole = (F.size(x) >= 11) & at(2).rlike("^[0-9]+$") & at(5).rlike("^[0-9]+$")
-    if mode == "FAILFAST":
-        lines = lines.where(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("broken SAM record: "), F.substring("value", 1, 200)))))
-    else:
-        lines = lines.where(whole)
+    own = lambda c: F.when(whole, c)
     md = F.regexp_extract(F.coalesce(at(12), F.lit("")), r"(?:^|\t)MD:Z:([^\t]*)", 1)
     flag = at(2).try_cast("int")
     mapped = flag.bitwiseAND(F.lit(4)) == 0
     present = lambda c: F.when(c != "*", c)
-    return lines.select(*_named(path, at(1), flag, at(5).try_cast("int"), present(at(6)), F.when(at(10) == "*", "").otherwise(at(10)), present(at(11)), F.when(mapped & (md != ""), md), F.lit(True)))
+    columns = (at(1), flag, at(5).try_cast("int"), present(at(6)), F.when(at(10) == "*", "").otherwise(at(10)), present(at(11)), F.when(mapped & (md != ""), md), F.lit(True))
+    return lines.select(*_named(names, *map(own, columns)), F.when(~whole, "broken SAM record").alias("issue"), F.when(~whole, F.octet_length("value") + 1).cast("long").alias("lost"))
 
 
 def _missing(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
     """FASTA text: each record is what stands up to a line end before the next >, so plain files are split by bytes."""
-    records = spark.read.option("lineSep", "\n>").text(path)
+    records = spark.read.option("lineSep", "\n>").text(paths)
     text = F.regexp_replace(F.regexp_replace("value", r"^>", ""), r"\r", "")
     head = F.substring_index(text, "\n", 1)
     seq = F.regexp_replace(F.substring(text, F.length(head) + 2, F.length(text)), r"\s", "")
     rows = records.where(F.length(F.trim("value")) > 0)
-    return rows.select(*_named(path, F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), F.lit(False)))
+    columns = (F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), F.lit(False))
+    return rows.select(*_named(names, *columns), _missing("string").alias("issue"), _missing("long").alias("lost"))
 
 
 def asked(n: int, mode: str = "exact", block: int = 10_000) -> int:

@@ -1,14 +1,21 @@
 """FASTQ and BAM records out of Spark's own text reader, so that any path Spark opens can be read, in splits.
 
-FASTQ is read line by line. BAM's compressed blocks all begin with the same four bytes: with these as line
-separator every row of the text reader is one block. A split holds the lines or blocks that begin in it; a record
-may begin in one split and end in another. Each split therefore finds its own first record, gives the whole records,
-and hands on what stands before the first and after the last one. These fragments, at most two for each split, meet
-in one task for each file, where they must make whole records again: a wrong start or a lost piece can't go unseen.
-
-mode FAILFAST raises for damaged blocks (length, checksum), broken records, records that don't end, and a BAM file
-without its closing empty block (a file that was cut). PERMISSIVE leaves out what is damaged and goes on with the
-next whole record.
+FASTQ is read line by line. BAM's compressed blocks all begin with the same four bytes: with these as line separator
+every row of the text reader begins where a block may begin, and all rows in a row are the file. As the four bytes may
+also stand inside a block, blocks are found by a chain: each ends, by its own length, where the next one begins. A chance
+start inside a block can't keep up a chain for longer than a block can be (LONGEST), so a split takes the first place that a
+chain reaches after that length, and hands on what stands before it, and the part of a block that is cut at its end, as
+fragments.
+
+A record may begin in one split and end in another, too. Each split finds its own first record, gives the whole records, and
+hands on what stands before the first and after the last one. All fragments of a file meet in one task, in order, where they must
+make whole blocks and whole records again: a wrong start or a lost piece can't go unseen. A split too short for a chain is
+one fragment. Fragments come from a first walk that only looks at lengths and builds no record.
+
+Nothing is raised inside a task: a row with an ``issue`` (what is wrong) and ``lost`` (bytes left out) stands for what
+can't be read, so that other files of the same plan are read all the same; files.read() raises for it. mode FAILFAST gives up a
+split at its first issue: damaged blocks (length, checksum), broken records, records that don't end, a BAM file without its
+closing empty block (a file that was cut). PERMISSIVE leaves out what is damaged and goes on with the next whole record.
 """
 
 from __future__ import annotations
@@ -37,16 +44,41 @@ _SHOWN = bytes(min(q + 33, 126) for q in range(256))
 _PAIRS = [a + b for a in LETTERS for b in LETTERS]
 #: Records of an Arrow batch; lines in which a split's first record must begin to be found; bytes searched at once for one.
 BATCH, LINES, SEARCHED = 5_000, 400, 1 << 18
+#: Bytes in which a block's own length stands, in the usual layout.
+HEADER = 18
 FRAGMENT = "f string, start long, place int, data binary"
-#: Places of a split's fragments: what belongs to the split before; what is open at the end; how the split ends.
-HEAD, WHOLE, TAIL, END = 0, 1, 2, 3
-_FINAL = object()
+#: Places of a split's fragments: compressed bytes before its first block; what belongs to the split before; all of it, if no
+#: record begins there; what is open at the end; compressed bytes of the block that is cut; how the split ends.
+EARLY, HEAD, WHOLE, TAIL, REST, END = range(6)
+#: Bytes of a compressed block at most, by the format; bytes in which a split's first chain is sought.
+LONGEST, SOUGHT = 1 << 16, 1 << 18
+#: The end of a split with an issue of its own, in mode FAILFAST.
+GIVEN_UP = b"\2"
+#: Marks among chunks of bytes: the end, and a place where a record must begin.
+_FINAL, _EDGE = "final", "edge"
 
-_NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
-_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+_NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned", "issue", "lost")
+_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
+#: Records, and rows that stand for what can't be read.
+ROWS = RAW + ", issue string, lost long"
 
 
-def _pieces(spark: SparkSession, path: str, separator: bytes | None = None) -> DataFrame:
+def _issue(path: str, issue: str, lost: int) -> pa.RecordBatch:
+    row = [path, *[None] * 8, issue, lost]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES)], names=list(_NAMES))
+
+
+class Names:
+    """The name of a file as it was given, for its address in Spark."""
+
+    def __init__(self, known: dict) -> None:
+        self.known, self.only = known, next(iter(known.values())) if len(known) == 1 else None
+
+    def __call__(self, f: str) -> str:
+        return self.known.get(f) or self.only or f
+
+
+def _pieces(spark: SparkSession, path: list[str], separator: bytes | None = None) -> DataFrame:
     """f, start (of the split) and x (bytes) of every line."""
     reader = spark.read
     if separator:
@@ -69,68 +101,62 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield key, (x for _, x in group)
 
 
-def _reading(found, path: str, fragments: bool):
-    """A function for mapInArrow: found gives (place, bytes) for fragments and record batches."""
+def _reading(found, names: Names, fragments: bool):
+    """A function for mapInArrow: found(pieces, first, name, light) gives (place, bytes) for fragments and record batches; light:
+    batches aren't wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (f, start), pieces in _splits(batches):
             own = []
-            for x in found(pieces, start == 0, path):
+            for x in found(pieces, start == 0, names(f), fragments):
                 if isinstance(x, tuple):
                     own.append((f, start, *x))
                 elif not fragments:
                     yield x
+            for _ in pieces:  # a split that was given up is read to its end
+                pass
             if fragments and own:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["f", "start", "place", "data"])
 
     return run
 
 
-def _stitching(whole, closed, path: str):
+def _stitching(whole, names: Names):
     """Fragments come by file, split and place: the records that they make together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("f", "start", "place", "data"))))
-        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-            held, end = [], b""
-            for _, _, place, data in group:
-                if place == END:
-                    end = data
-                    continue
-                held.append(data)
-                if place == HEAD:
-                    yield from whole(held, path)
-                    held = []
-            if held:
-                yield from whole(held, path)
-            closed(end, path)
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("f", "place", "data"))))
+        for f, group in itertools.groupby(rows, key=lambda r: r[0]):
+            yield from whole((r[1:] for r in group), names(f))
 
     return run
 
 
-def _alone(found, whole, closed, path: str):
+def _alone(found, whole, names: Names):
     """For files of one split each: records and what is open at the end, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pieces in _splits(batches):
-            for x in found(pieces, True, path):
-                if not isinstance(x, tuple):
-                    yield x
-                elif x[0] == END:
-                    closed(x[1], path)
+        for (f, _), pieces in _splits(batches):
+            fragments = []
+            for x in found(pieces, True, names(f), False):
+                if isinstance(x, tuple):
+                    fragments.append(x)
                 else:
-                    yield from whole([x[1]], path)
+                    yield x
+            yield from whole(iter(fragments), names(f))
+            for _ in pieces:
+                pass
 
     return run
 
 
-def _read(spark: SparkSession, path: str, separator: bytes | None, found, whole, closed, alone: bool) -> DataFrame:
-    pieces = _pieces(spark, path, separator)
+def _read(spark: SparkSession, paths: list[str], separator: bytes | None, found, whole, names: Names, alone: bool) -> DataFrame:
+    pieces = _pieces(spark, paths, separator)
     if alone:
-        return pieces.mapInArrow(_alone(found, whole, closed, path), RAW)
+        return pieces.mapInArrow(_alone(found, whole, names), ROWS)
     n = max(1, min(200, spark.sparkContext.defaultParallelism))
-    parts = pieces.mapInArrow(_reading(found, path, True), FRAGMENT).repartition(n, "f").sortWithinPartitions("f", "start", "place")
-    return pieces.mapInArrow(_reading(found, path, False), RAW).unionByName(parts.mapInArrow(_stitching(whole, closed, path), RAW))
+    parts = pieces.mapInArrow(_reading(found, names, True), FRAGMENT).repartition(n, "f").sortWithinPartitions("f", "start", "place")
+    return pieces.mapInArrow(_reading(found, names, False), ROWS).unionByName(parts.mapInArrow(_stitching(whole, names), ROWS))
 
 
 # FASTQ
@@ -160,25 +186,36 @@ def _fastq_batch(path: str, heads, seqs, quals) -> pa.RecordBatch:
     names = pc.struct_field(pc.extract_regex(pc.utf8_slice_codeunits(pa.array(heads, pa.binary()).cast(pa.string()), 1), r"^\s*(?P<name>\S*)"), 0)
     quals = text(quals)
     none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.string())]
-    columns = [pa.repeat(path, n), names, *none, text(seqs), pc.if_else(pc.equal(pc.utf8_length(quals), 0), pa.scalar(None, pa.string()), quals), pa.nulls(n, pa.string()), pa.repeat(False, n)]
+    columns = [pa.repeat(path, n), names, *none, text(seqs), pc.if_else(pc.equal(pc.utf8_length(quals), 0), pa.scalar(None, pa.string()), quals), pa.nulls(n, pa.string()), pa.repeat(False, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
 
-def _fastq_whole(lines: list, path: str, permissive: bool) -> tuple[list, int]:
-    """The records of lines from a known start on, and the first line not used."""
-    out, at = [], 0
+class _Broken(Exception):
+    """A record that can't be read, in mode FAILFAST; lost: bytes of its first line."""
+
+    def __init__(self, lost: int) -> None:
+        self.lost = lost
+
+
+BROKEN = "broken FASTQ record"
+
+
+def _fastq_whole(lines: list, permissive: bool) -> tuple[list, int, int]:
+    """The records of lines from a known start on, the first line not used, and bytes left out."""
+    out, at, lost = [], 0, 0
     while True:
         while at < len(lines) and not lines[at].strip():
             at += 1
         if at + 4 > len(lines):
-            return out, at
+            return out, at, lost
         if is_record(lines[at : at + 4]):
             out.append((lines[at], lines[at + 1], lines[at + 3]))
             at += 4
         elif permissive:
+            lost += len(lines[at]) + 1
             at += 1
         else:
-            raise ValueError(f"broken FASTQ record in {path}: {lines[at][:100]!r}")
+            raise _Broken(len(lines[at]) + 1)
 
 
 def _fast(x: pa.Array, n: int) -> tuple | None:
@@ -191,9 +228,15 @@ def _fast(x: pa.Array, n: int) -> tuple | None:
 
 
 def _fastq(permissive: bool):
-    def found(pieces: Iterator[pa.Array], first: bool, path: str) -> Iterator:
+    def found(pieces: Iterator[pa.Array], first: bool, path: str, light: bool) -> Iterator:
+        try:
+            yield from records(pieces, first, path, light)
+        except _Broken as e:
+            yield _issue(path, BROKEN, e.lost)
+
+    def records(pieces: Iterator[pa.Array], first: bool, path: str, light: bool) -> Iterator:
         rest: list = []
-        synced = first
+        synced, lost = first, 0
         for x in pieces:
             if not synced or rest:
                 rest += x.to_pylist()
@@ -208,13 +251,15 @@ def _fastq(permissive: bool):
             n = len(x) // 4
             arrays = _fast(x, n) if n else None
             if arrays:
-                yield _fastq_batch(path, *arrays)
+                if not light:
+                    yield _fastq_batch(path, *arrays)
                 rest = x.slice(4 * n).to_pylist()
             else:
                 lines = x.to_pylist()
-                records, at = _fastq_whole(lines, path, permissive)
-                if records:
-                    yield _fastq_batch(path, *zip(*records))
+                rows, at, bad = _fastq_whole(lines, permissive)
+                lost += bad
+                if rows and not light:
+                    yield _fastq_batch(path, *zip(*rows))
                 rest = lines[at:]
         if not synced:  # a short split
             at = _first_record(rest)
@@ -222,32 +267,49 @@ def _fastq(permissive: bool):
                 yield WHOLE, b"\n".join(rest)
                 return
             yield HEAD, b"\n".join(rest[:at])
-            records, end = _fastq_whole(rest[at:], path, permissive)
-            if records:
-                yield _fastq_batch(path, *zip(*records))
+            rows, end, bad = _fastq_whole(rest[at:], permissive)
+            lost += bad
+            if rows and not light:
+                yield _fastq_batch(path, *zip(*rows))
             rest = rest[at + end :]
         if rest:
             yield TAIL, b"\n".join(rest)
+        if lost:
+            yield _issue(path, BROKEN, lost)
 
     return found
 
 
 def _fastq_stitched(permissive: bool):
-    def whole(held: list, path: str) -> Iterator[pa.RecordBatch]:
+    def one(held: list, path: str) -> Iterator[pa.RecordBatch]:
         lines = [line for x in held if x for line in x.split(b"\n")]
-        records, at = _fastq_whole(lines, path, permissive)
-        if at < len(lines) and not permissive:
-            raise ValueError(f"broken FASTQ record in {path}: {lines[at][:100]!r}")
-        if records:
-            yield _fastq_batch(path, *zip(*records))
+        try:
+            rows, at, lost = _fastq_whole(lines, permissive)
+        except _Broken as e:
+            rows, at, lost = [], len(lines), e.lost
+        lost += sum(len(x) + 1 for x in lines[at:])
+        if rows:
+            yield _fastq_batch(path, *zip(*rows))
+        if lost:
+            yield _issue(path, BROKEN, lost)
+
+    def whole(fragments: Iterator[tuple], path: str) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for place, data in fragments:
+            held.append(data)
+            if place == HEAD:
+                yield from one(held, path)
+                held = []
+        if held:
+            yield from one(held, path)
 
     return whole
 
 
-def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: list[str], names: Names, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
     """FASTQ, plain (in splits) or compressed as Spark's text reader knows it (one task a file)."""
     permissive = mode != "FAILFAST"
-    return _read(spark, path, None, _fastq(permissive), _fastq_stitched(permissive), lambda end, path: None, alone)
+    return _read(spark, paths, None, _fastq(permissive), _fastq_stitched(permissive), names, alone)
 
 
 # BAM
@@ -266,21 +328,25 @@ def block_size(block: bytes) -> int:
     return 0
 
 
-def _inflated(pieces: Iterator[pa.Array], first: bool, path: str, permissive: bool) -> Iterator[bytes | None]:
-    """What the blocks of a split hold; None stands for a gap. Lengths and checksums are verified."""
-    left, todo, held = (p for x in pieces for p in x.to_pylist()), deque(), []
-    if first and next(left, None):
-        raise ValueError(f"not a BAM file: {path}")
+def _blocks(pieces: Iterator[bytes], permissive: bool, final: bool) -> Iterator:
+    """What the blocks hold that the pieces make, from a known block on; None stands for a gap, with the bytes left out: (None,
+    n). Lengths and checksums are verified. Unless these pieces are final, a block that goes on is given as (REST, bytes)."""
+    todo, held = deque(), []
     while True:
-        piece = todo.popleft() if todo else next(left, None)
+        piece = todo.popleft() if todo else next(pieces, None)
         if piece is None and not held:
             return
         if piece is not None:
             held.append(piece)
-            block = MAGIC + MAGIC.join(held)  # the four bytes may stand inside a block, too
-            size = block_size(block)
-            if size > len(block):
+        block = MAGIC + MAGIC.join(held)  # the four bytes may stand inside a block, too
+        size = block_size(block)
+        if size > len(block) or not size and len(block) < HEADER:
+            if piece is not None:
                 continue
+            if not final:
+                yield REST, block
+                return
+        else:
             try:
                 data = zlib.decompress(block[:size], 31) if size else None
             except zlib.error:
@@ -288,16 +354,33 @@ def _inflated(pieces: Iterator[pa.Array], first: bool, path: str, permissive: bo
             if data is not None and (size == len(block) or permissive and len(held) == 1):
                 yield data
                 if size < len(block):
-                    yield None
+                    yield None, len(block) - size
                 held = []
                 continue
+        yield None, len(MAGIC) + len(held[0])
         if not permissive:
-            raise ValueError(f"damaged block in {path}, or the file was cut")
-        yield None
+            return
         todo.extendleft(reversed(held[1:]))
         held = []
 
 
+def _synced(pieces: list[bytes]) -> int | None:
+    """Number of the first piece that is proven to begin a block: a chain of blocks leads to it from an earlier one, longer
+    than a block can be."""
+    data = MAGIC + MAGIC.join(pieces)
+    sizes = [len(p) + len(MAGIC) for p in pieces]
+    starts = dict(zip(itertools.accumulate([0, *sizes[:-1]]), range(len(pieces))))
+    for first in starts:
+        if first > LONGEST:
+            return None
+        at = first
+        while at in starts and at - first < LONGEST and (size := block_size(data[at : at + LONGEST])):
+            at += size
+        if at in starts and at - first >= LONGEST:
+            return starts[at]
+    return None
+
+
 def _record_size(data, at: int) -> int:
     """Bytes of the record that can start here; 0: none can; -1: too little is known."""
     if len(data) < at + 36:
@@ -327,10 +410,10 @@ def _find(data, final: bool) -> int | None:
     return None
 
 
-def _header_size(data, path: str) -> int | None:
-    """Bytes before the first record; None if the header goes on."""
+def _header_size(data) -> int | None:
+    """Bytes before the first record; None if the header goes on, 0 if it is none."""
     if data[:4] != b"BAM\1"[: len(data)]:
-        raise ValueError(f"not a BAM file: {path}")
+        return 0
     if len(data) < 12 or len(data) < (at := 8 + struct.unpack_from("<i", data, 4)[0]) + 4:
         return None
     n, at = struct.unpack_from("<i", data, at)[0], at + 4
@@ -341,96 +424,175 @@ def _header_size(data, path: str) -> int | None:
     return at if len(data) >= at else None
 
 
-def _bam(permissive: bool):
-    def found(pieces: Iterator[pa.Array], first: bool, path: str) -> Iterator:
-        data, at, rows = bytearray(), 0, []
-        header, lost, headed, closed, searched = first, not first, first, False, SEARCHED
-        for chunk in itertools.chain(_inflated(pieces, first, path, permissive), [_FINAL]):
-            final = chunk is _FINAL
-            if chunk is None:  # a gap: what is open is lost
-                if not headed:
-                    yield HEAD, bytes(data)
-                data, at, header, lost, headed, closed = bytearray(), 0, False, True, True, False
-                continue
-            if not final:
-                closed = not chunk
-                data += chunk
-            if header:
-                size = _header_size(data, path)
-                if size is None:
-                    continue
+def _walk(chunks: Iterator, path: str, permissive: bool, header: bool, lost: bool, light: bool) -> Iterator:
+    """Records of what blocks hold. chunks: bytes, (None, n) for a gap, _EDGE where a record must begin. header: they start with
+    the file's header; lost: it isn't known where the first record begins. Gives batches, issues, and at the end
+    (place, bytes) of what is open: HEAD before the first record found, WHOLE if there is none, TAIL after the last one."""
+    data, at, rows, headed, searched = bytearray(), 0, [], not lost, SEARCHED
+    for chunk in itertools.chain(chunks, [_FINAL]):
+        if isinstance(chunk, tuple):  # a gap: what is open is lost
+            yield _issue(path, "damaged block, or the file was cut", chunk[1] + len(data) - at)
+            if not permissive:
+                return
+            if not headed:
+                yield HEAD, bytes(data)
+            data, at, header, lost, headed = bytearray(), 0, False, True, True
+            continue
+        edge = chunk == _EDGE
+        final = edge or chunk == _FINAL
+        if not final:
+            data += chunk
+        if header and data:
+            size = _header_size(data)
+            if size == 0:
+                yield _issue(path, "not a BAM file", len(data))
+                return
+            if size is not None:
                 header, at = False, size
-            while True:
-                if lost:
-                    start = _find(data, final) if final or len(data) >= searched else None
-                    if start is None:
-                        searched = max(SEARCHED, 2 * len(data))
-                        break
-                    if not headed:
-                        yield HEAD, bytes(data[:start])
-                    del data[:start]
-                    at, lost, headed, searched = 0, False, True, SEARCHED
-                while (size := _record_size(data, at)) > 0 and at + size <= len(data):
+        while not header:
+            if lost:
+                start = _find(data, final) if final or len(data) >= searched else None
+                if start is None:
+                    searched = max(SEARCHED, 2 * len(data))
+                    break
+                if not headed:
+                    yield HEAD, bytes(data[:start])
+                del data[:start]
+                at, lost, headed, searched = 0, False, True, SEARCHED
+            while (size := _record_size(data, at)) > 0 and at + size <= len(data):
+                if not light:
                     row = bam_record(bytes(data[at + 4 : at + size]))
                     if row is None:
                         size = 0
                         break
                     rows.append(row)
-                    at += size
                     if len(rows) == BATCH:
                         yield _bam_batch(rows, path)
                         rows = []
-                if size != 0:
-                    break
+                at += size
+            if size != 0:
+                break
+            yield _issue(path, "broken BAM record", max(1, int.from_bytes(data[at : at + 4], "little") if len(data) - at >= 4 else 1))
+            if not permissive:
+                return
+            del data[: at + 1]
+            at, lost, searched = 0, True, 0
+        if edge:
+            if len(data) > at:
+                yield _issue(path, "broken BAM record, or the file ends inside one", len(data) - at)
                 if not permissive:
-                    raise ValueError(f"broken BAM record in {path}")
-                del data[: at + 1]
-                lost, searched = True, 0
-            if at > 1 << 20:
-                del data[:at]
-                at = 0
-        if rows:
-            yield _bam_batch(rows, path)
-        if header and not permissive:
-            raise ValueError(f"{path} ends inside its header")
-        if lost and not headed:
-            yield WHOLE, bytes(data)
-        elif not lost and not header and len(data) > at:
-            yield TAIL, bytes(data[at:])
+                    return
+            data, at, header, lost = bytearray(), 0, False, False
+        elif at > 1 << 20:
+            del data[:at]
+            at = 0
+    if rows:
+        yield _bam_batch(rows, path)
+    if header:
+        yield WHOLE, bytes(data)
+    elif lost and not headed:
+        yield WHOLE, bytes(data)
+    elif not lost:
+        yield TAIL, bytes(data[at:])
+
+
+def _bam(permissive: bool):
+    def found(pieces: Iterator[pa.Array], first: bool, path: str, light: bool) -> Iterator:
+        stream = (p for x in pieces for p in x.to_pylist())
+        early, rest, closed = [], b"", False
+        if first:
+            if next(stream, None):
+                yield _issue(path, "not a BAM file", 0)
+                return
+        else:
+            while True:
+                held, size = [], 0
+                for p in stream:
+                    held.append(p)
+                    size += len(p) + len(MAGIC)
+                    if size >= SOUGHT:
+                        break
+                at = _synced(held) if held else None
+                early += held if at is None else held[:at]
+                if at is not None or size < SOUGHT:
+                    break
+            if early:
+                yield EARLY, MAGIC + MAGIC.join(early)
+            if at is None:
+                return
+            stream = itertools.chain(held[at:], stream)
+
+        def chunks() -> Iterator:
+            nonlocal rest, closed
+            for x in _blocks(stream, permissive, False):
+                if isinstance(x, tuple) and x[0] == REST:
+                    rest = x[1]
+                else:
+                    closed = not x
+                    yield x
+
+        for x in _walk(chunks(), path, permissive, first, not first, light):
+            yield x
+            if not permissive and not isinstance(x, tuple) and x.column("issue")[0].is_valid:
+                yield END, GIVEN_UP
+                return
+        if rest:
+            yield REST, rest
         yield END, b"\1" if closed else b""
 
     return found
 
 
 def _bam_stitched(permissive: bool):
-    def whole(held: list, path: str) -> Iterator[pa.RecordBatch]:
-        data, at, rows = b"".join(held), 0, []
-        while (size := _record_size(data, at)) > 0 and at + size <= len(data) and (row := bam_record(data[at + 4 : at + size])):
-            rows.append(row)
-            at += size
-        if at < len(data) and not permissive:
-            raise ValueError(f"broken BAM record in {path}, or the file ends inside one")
-        if rows:
-            yield _bam_batch(rows, path)
-
-    return whole
-
+    def whole(fragments: Iterator[tuple], path: str) -> Iterator[pa.RecordBatch]:
+        """Between two splits: what was open, the block that was cut, what stands before the next one's first block and record."""
+        closed, ended = False, False
+
+        def blocks(raw: bytes) -> Iterator:
+            nonlocal closed
+            for x in _blocks(iter(raw.split(MAGIC)[1:]), permissive, True) if raw else ():
+                closed = not x
+                yield x
+
+        def chunks() -> Iterator:
+            nonlocal closed, ended
+            raw = b""
+            for place, data in fragments:
+                if place in (EARLY, REST):
+                    raw += data
+                elif place in (HEAD, WHOLE):
+                    yield from blocks(raw)
+                    raw = b""
+                    yield data
+                    if place == HEAD:
+                        yield _EDGE
+                elif place == TAIL:
+                    yield _EDGE
+                    yield data
+                elif data == GIVEN_UP:
+                    return
+                else:
+                    closed = bool(data)
+            yield from blocks(raw)
+            yield _EDGE
+            ended = True
 
-def _bam_closed(permissive: bool):
-    def closed(end: bytes, path: str) -> None:
-        if not end and not permissive:
-            raise ValueError(f"{path} was cut: it lacks the empty block that closes a BAM file")
+        for x in _walk(chunks(), path, permissive, True, False, False):
+            if not isinstance(x, tuple):
+                yield x
+        if ended and not closed:
+            yield _issue(path, "the file was cut: it lacks the empty block that closes a BAM file", 0)
 
-    return closed
+    return whole
 
 
-def read_bam(spark: SparkSession, path: str, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
+def read_bam(spark: SparkSession, paths: list[str], names: Names, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
     permissive = mode != "FAILFAST"
-    return _read(spark, path, MAGIC, _bam(permissive), _bam_stitched(permissive), _bam_closed(permissive), alone)
+    return _read(spark, paths, MAGIC, _bam(permissive), _bam_stitched(permissive), names, alone)
 
 
 def _bam_batch(rows: list, path: str) -> pa.RecordBatch:
-    columns = [[path] * len(rows), *zip(*rows), [True] * len(rows)]
+    columns = [[path] * len(rows), *zip(*rows), [True] * len(rows), [None] * len(rows), [None] * len(rows)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=list(_NAMES))
 
 

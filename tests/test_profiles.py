@@ -435,3 +435,50 @@ def test_wide_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "CELLS", 10)
     got = list(P._counting(["k"], "base", "start")(iter([__import__("pyarrow").RecordBatch.from_pydict({"k": [1, 2, 1], "_s": ["ACG", "A", "AA"]})])))
     assert sorted(zip(*(got[0].column(i).to_pylist() for i in range(4)))) == [(1, 0, 0, 2), (1, 1, 0, 1), (1, 1, 1, 1), (1, 2, 2, 1), (2, 0, 0, 1)]
+
+
+def stored(data, size=60_000):
+    """Blocks of level 0: what stands in the records stands in the file."""
+    out = b""
+    for i in range(0, len(data), size):
+        raw = data[i : i + size]
+        z = zlib.compressobj(0, zlib.DEFLATED, -15)
+        body = z.compress(raw) + z.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+    return out + bgzf(b"")
+
+
+def tagged(n, tag):
+    """A BAM header and n records, each with the bytes in a tag."""
+    out = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 4) + b"chr\0" + struct.pack("<i", 1000)
+    for i in range(n):
+        name = f"r{i}".encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", 0, i, len(name), 30, 0, 1, 0, 10, -1, -1, 0) + name + struct.pack("<I", 10 << 4) + b"\x11" * 5 + b"\x20" * 10 + b"XBBC" + struct.pack("<i", len(tag)) + tag
+        out += struct.pack("<i", len(body)) + body
+    return out
+
+
+@pytest.mark.parametrize("tag", [b"\x1f\x8b\x08\x04", bgzf(b"A whole block stands in each record." * 3)])
+@pytest.mark.parametrize("size", [5_000, 60_000])
+def test_block_separators_inside_blocks(spark, split, tmp_path, tag, size):
+    path = tmp_path / "stored.bam"
+    n = 200 if len(tag) < 10 else 400
+    path.write_bytes(stored(tagged(n, tag), size))
+    for step in (1_500, 3_001, 6_007, 9_001, 10**6):
+        split(step)
+        for mode in ("FAILFAST", "PERMISSIVE"):
+            assert sorted(int(r.read_id[1:]) for r in read(spark, str(path), mode=mode).collect()) == list(range(n))
+
+
+def test_splits_longer_than_a_chain(spark, split, tmp_path):
+    """Real splits of some hundred kilobytes: blocks are found by their chain, few bytes are fragments."""
+    path = tmp_path / "long.bam"
+    path.write_bytes(stored(tagged(12_000, b"\x1f\x8b\x08\x04" + bytes(range(100))), 50_000))
+    split(400_000)
+    raw = read(spark, str(path), issues=True)
+    assert raw.where("issue is not null").count() == 0 and raw.select("read_id").distinct().count() == raw.count() == 12_000
+    found = records._bam(False)
+    pieces = path.read_bytes()[400_000:1_300_000].split(records.MAGIC)[1:]
+    got = list(found(iter([__import__("pyarrow").array(pieces, "binary")]), False, "x", False))
+    places = {x[0]: len(x[1]) for x in got if isinstance(x, tuple)}
+    assert places[records.EARLY] < 200_000 and sum(len(x) for x in got if not isinstance(x, tuple)) > 4_000 and records.TAIL in places
