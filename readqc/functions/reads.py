@@ -47,6 +47,11 @@ def phred(ch: Column, offset: Column | int = 33) -> Column:
     return F.greatest(F.least(F.ascii(ch) - offset, F.lit(QUALITIES - 1)), F.lit(0))
 
 
+def quality_offset(lowest: Column, highest: Column) -> Column:
+    """33, or 64 where the codes of a file's qualities can't be on 33: none below 59 (-5 on 64), and one above 74 (41 on 33)."""
+    return F.when((lowest >= 59) & (highest > 74), 64).otherwise(33)
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 

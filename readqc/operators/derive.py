@@ -14,15 +14,29 @@ KEY = ("read_no", "mapq_bin")
 FAR = 9.0
 
 
-def mapping_table(counts: DataFrame) -> DataFrame:
+def mapping_table(counts: DataFrame, by=()) -> DataFrame:
     """From read_counts: n and fraction of the mate's total for each class, and a Total row for each mate."""
-    rows = counts.groupBy("read_no", "mapq_bin").agg(F.sum("n").alias("n"))
-    total = rows.groupBy("read_no").agg(F.sum("n").alias("n")).select("read_no", F.lit("Total").alias("class"), "n")
-    both = rows.select("read_no", R.mapq_label(F.col("mapq_bin")).alias("class"), "n").unionByName(total)
-    whole = F.max("n").over(Window.partitionBy("read_no"))  # a few rows for each mate
+    rows = counts.groupBy(*by, "read_no", "mapq_bin").agg(F.sum("n").alias("n"))
+    total = rows.groupBy(*by, "read_no").agg(F.sum("n").alias("n")).select(*by, "read_no", F.lit("Total").alias("class"), "n")
+    both = rows.select(*by, "read_no", R.mapq_label(F.col("mapq_bin")).alias("class"), "n").unionByName(total)
+    whole = F.max("n").over(Window.partitionBy(*by, "read_no"))  # a few rows for each mate
     return both.withColumn("fraction", F.round(F.try_divide(F.col("n").cast("double"), whole), 5))
 
 
+def quality_offsets(counts: DataFrame, by=("file",)) -> DataFrame:
+    """by, quality_offset: from counts of quality codes (series)."""
+    return counts.groupBy(*by).agg(R.quality_offset(F.min("series"), F.max("series")).alias("quality_offset"))
+
+
+def shifted(counts: DataFrame, offsets: DataFrame, keys, by=("file",), where=None) -> DataFrame:
+    """Counts by keys, quality code (series): codes become qualities within 0 to 41 by each file's offset. where: which rows are
+    of qualities, if not all. Works on counts, so on a small table."""
+    level = F.greatest(F.least(F.col("series") - F.col("quality_offset"), F.lit(R.QUALITIES - 1)), F.lit(0))
+    series = level if where is None else F.when(where, level).otherwise(F.col("series"))
+    moved = counts.join(offsets, [*by], "left").withColumn("series", F.when(F.col("quality_offset").isNull(), F.col("series")).otherwise(series))
+    return moved.groupBy(*keys, "series").agg(F.sum("n").alias("n"))
+
+
 def mean_quality(counts: DataFrame, by=KEY) -> DataFrame:
     """Mean and standard error (population deviation over the root of n) of the qualities at each position."""
     keys = [*by, "pos"]

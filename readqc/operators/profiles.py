@@ -43,11 +43,11 @@ def _percentages(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"pct_paired": R.percent(F.col("n_paired"), F.col("total")), "pct_proper": R.percent(F.col("n_proper"), F.col("n_paired"))})
 
 
-def pairs_of(cells: DataFrame) -> DataFrame:
+def pairs_of(cells: DataFrame, by=()) -> DataFrame:
     """pair_counts() of all reads, from everything()."""
     of = lambda what, *more: F.coalesce(F.sum(F.when(F.col("what") == what, F.when(more[0], F.col("n")) if more else F.col("n"))), F.lit(0))
     mate = lambda i: F.col("read_no") == i
-    return _percentages(cells.agg(of("reads").alias("total"), of("reads", mate(1)).alias("n_read1"), of("reads", mate(2)).alias("n_read2"), of("paired").alias("n_paired"), of("proper").alias("n_proper")))
+    return _percentages(cells.groupBy(*by).agg(of("reads").alias("total"), of("reads", mate(1)).alias("n_read1"), of("reads", mate(2)).alias("n_read2"), of("paired").alias("n_paired"), of("proper").alias("n_proper")))
 
 
 def lengths(reads: DataFrame, by=KEY) -> DataFrame:
@@ -55,9 +55,18 @@ def lengths(reads: DataFrame, by=KEY) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows; where the scan gives fewer tasks than there are cores, dealt out anew before the costly part."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """rows; where they come right from files that give fewer tasks than there are cores, dealt out anew before the costly part.
+    Told by the plan and the files' sizes: no job runs, and rows that were shuffled before are left as they are."""
+    spark = rows.sparkSession
+    if rows.isStreaming:
+        return rows
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" +-:").split(" ")[0].split("(")[0] for line in plan.treeString().splitlines()}
+    cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not nodes <= {"Project", "Filter", "Relation", ""} or not 0 < len(files) < cores:
+        return rows
+    size = int(plan.collectLeaves().head().stats().sizeInBytes())
+    return rows.repartition(cores) if max(len(files), size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) < cores else rows
 
 
 def per_base(reads: DataFrame, text: Column, by, series, place: str = "start") -> DataFrame:
@@ -72,14 +81,16 @@ def per_base(reads: DataFrame, text: Column, by, series, place: str = "start") -
 CELLS, CHARACTERS = 4_000_000, 4_000_000
 
 
-def _codes(kind: str) -> np.ndarray:
-    """Series of each character code; the last entry stands for all higher codes."""
+def _codes(kind: str, offset: int | None = 33) -> np.ndarray:
+    """Series of each character code; the last entry stands for all higher codes. offset None: qualities stay codes."""
+    if kind == "quality" and offset is None:
+        return np.arange(257)
     table = np.full(257, 4 if kind == "base" else R.QUALITIES - 1, np.int64)
     if kind == "base":
         for i, letter in enumerate(R.BASES[:4]):
             table[[ord(letter), ord(letter.lower())]] = i
     else:
-        table[:256] = np.clip(np.arange(256) - 33, 0, R.QUALITIES - 1)
+        table[:256] = np.clip(np.arange(256) - offset, 0, R.QUALITIES - 1)
     return table
 
 
@@ -135,9 +146,9 @@ def _of_texts(texts: pa.Array, group: np.ndarray, n_groups: int, codes: np.ndarr
         yield _cells(np.repeat(group[a:b], sizes), n_groups, i, codes[data], int(codes.max()) + 1)
 
 
-def _counting(by: list, kind: str, place: str):
+def _counting(by: list, kind: str, place: str, offset: int | None = 33):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes(kind)
+        codes = _codes(kind, offset)
         for batch in batches:
             group, firsts = _groups([batch.column(c) for c in by], len(batch))
             for found in _of_texts(batch.column("_s"), group, len(firsts), codes, place):
@@ -152,8 +163,9 @@ def _batch(rows: pa.RecordBatch, by: list, firsts: np.ndarray, group, pos, serie
     return pa.RecordBatch.from_arrays([*name, *keys, pa.array(pos, pa.int32()), pa.array(series, pa.int32()), pa.array(n, pa.int64())], names=[*(["what"] if what else []), *by, "pos", "series", "n"])
 
 
-def tally(reads: DataFrame, text: Column, by, kind: str, place: str = "start") -> DataFrame:
-    """Characters by position and series (kind: base or quality), counted in blocks of reads.
+def tally(reads: DataFrame, text: Column, by, kind: str, place: str = "start", offset: int | None = 33) -> DataFrame:
+    """Characters by position and series (kind: base or quality), counted in blocks of reads. offset: of qualities; None
+    leaves them as codes (see derive.shifted).
 
     The same as per_base(), without a row for each character: a task counts whole Arrow batches with NumPy and
     hands on one row for each cell, which the aggregate adds up. place: start, end or norm.
@@ -163,7 +175,7 @@ def tally(reads: DataFrame, text: Column, by, kind: str, place: str = "start") -
     rows = reads.select(*by, text.alias("_s"))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "pos int, series int, n long"])
-    return spread(rows).mapInArrow(_counting(by, kind, place), schema).groupBy(*by, "pos", "series").agg(F.sum("n").alias("n"))
+    return spread(rows).mapInArrow(_counting(by, kind, place, offset), schema).groupBy(*by, "pos", "series").agg(F.sum("n").alias("n"))
 
 
 def _forward(text: str) -> Column:
@@ -179,8 +191,8 @@ def bases(reads: DataFrame, by=KEY, most: int | None = None) -> DataFrame:
     return tally(reads, _first(_forward("seq_o"), most), by, "base")
 
 
-def qualities(reads: DataFrame, by=KEY, most: int | None = None) -> DataFrame:
-    return tally(reads, _first(_forward("qual_o"), most), by, "quality")
+def qualities(reads: DataFrame, by=KEY, most: int | None = None, offset: int | None = 33) -> DataFrame:
+    return tally(reads, _first(_forward("qual_o"), most), by, "quality", offset=offset)
 
 
 def bases_from_end(reads: DataFrame, by=KEY) -> DataFrame:
@@ -262,8 +274,21 @@ def mismatches(reads: DataFrame, by=KEY, compat: bool = False) -> DataFrame:
 NUMBERS = ("reads", "paired", "proper", "lengths", "raw_lengths")
 
 
-def everything(reads: DataFrame, by=KEY, plot_end: bool = False, norm: bool = False, most: int | None = None, compat: bool = False) -> DataFrame:
-    """what, by, pos, series, n: all counts of a profile in one pass over the reads, one task's batches at a time."""
+ISSUE, LOST = "issue: ", "lost: "
+
+
+def _issues(batch: pa.RecordBatch, by: list) -> Iterator[pa.RecordBatch]:
+    for issue in pc.unique(batch.column("_issue").drop_null()).to_pylist():
+        own = batch.filter(pc.equal(batch.column("_issue"), issue))
+        group, firsts = _groups([own.column(c) for c in by], len(own))
+        zero, every = np.zeros(len(firsts), np.int32), np.arange(len(firsts))
+        for what, n in ((ISSUE, np.bincount(group)), (LOST, np.bincount(group, own.column("_lost").to_numpy()).astype(np.int64))):
+            yield _batch(own, by, firsts, every, zero, zero, n, what=what + issue)
+
+
+def everything(reads: DataFrame, by=KEY, plot_end: bool = False, norm: bool = False, most: int | None = None, compat: bool = False, offset: int | None = 33) -> DataFrame:
+    """what, by, pos, series, n: all counts of a profile in one pass over the reads, one task's batches at a time. Rows with
+    an issue (see files.read) are counted as such: what is ISSUE or LOST and the issue, n their number or bytes."""
     by = list(by)
     texts = {"bases": (_first(_forward("seq_o"), most), "base", "start"), "qualities": (_first(_forward("qual_o"), most), "quality", "start")}
     qual = _quality_or_highest(compat)
@@ -274,8 +299,8 @@ def everything(reads: DataFrame, by=KEY, plot_end: bool = False, norm: bool = Fa
         texts |= {"bases_normalised": (_forward("seq_o"), "base", "norm"), "qualities_normalised": (clipped, "quality", "norm")}
     paired = F.coalesce(F.col("is_aligned"), F.lit(False)) & R.has(F.col("flag"), R.PAIRED)
     numbers = (F.lit(0), F.when(paired, 0), F.when(paired & R.has(F.col("flag"), R.PROPER), 0), F.col("n_clipped"), F.col("n"))
-    rows = reads.select(*by, *(x.alias(f"_{n}") for n, (x, *_) in texts.items()), *(x.cast("int").alias(f"_{n}") for n, x in zip(NUMBERS, numbers)), *_error_columns(reads))
-    counted = {n: (_codes(kind), place) for n, (_, kind, place) in texts.items()}
+    rows = reads.select(*by, *(x.alias(f"_{n}") for n, (x, *_) in texts.items()), *(x.cast("int").alias(f"_{n}") for n, x in zip(NUMBERS, numbers)), *_error_columns(reads), *(F.col(c).alias(f"_{c}") for c in ("issue", "lost") if c in reads.columns))
+    counted = {n: (_codes(kind, offset), place) for n, (_, kind, place) in texts.items()}
 
     def cells(batch: pa.RecordBatch, group: np.ndarray, n: int) -> Iterator[tuple]:
         for what, (codes, place) in counted.items():
@@ -300,6 +325,9 @@ def everything(reads: DataFrame, by=KEY, plot_end: bool = False, norm: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if "_issue" in batch.schema.names and batch.column("_issue").null_count < len(batch):
+                yield from _issues(batch, by)
+                batch = batch.filter(pc.is_null(batch.column("_issue")))
             group, firsts = _groups([batch.column(c) for c in by], len(batch))
             for what, found in cells(batch, group, len(firsts)):
                 if len(found[-1]):

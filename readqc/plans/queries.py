@@ -327,3 +327,23 @@ WHERE k <= wanted GROUP BY ALL"""
 def subsample_counts(spark, sf_dir):
     """Counts of a quarter of the reads, taken exactly."""
     return P.read_counts(P.subsample(_reads(spark, sf_dir), 0.25, seed=11))
+
+
+_OLD = "#%(+.147:=@BDFHK"
+_NEW = "".join(chr(ord(c) + 31) for c in _OLD)
+
+
+@query(
+    _READS
+    + f""", two AS (SELECT CASE WHEN read_no = 1 THEN 'on 64' ELSE 'on 33' END AS file, CASE WHEN read_no = 1 THEN translate(q_f, '{_OLD}', '{_NEW}') ELSE q_f END AS q FROM reads),
+codes AS ({_cells("q", "ascii(ch)", source="two", key="file")}),
+o AS (SELECT file, CASE WHEN min(series) >= 59 AND max(series) > 74 THEN 64 ELSE 33 END AS quality_offset FROM codes GROUP BY file)
+SELECT file, quality_offset, pos, greatest(least(series - quality_offset, 41), 0) AS series, sum(n)::BIGINT AS n FROM codes JOIN o USING (file) GROUP BY ALL"""
+)
+def detected_quality_offsets(spark, sf_dir):
+    """First mates written with qualities on 64, as older files have them: each file's offset is found from its counts of codes."""
+    first = F.col("read_no") == 1
+    reads = _reads(spark, sf_dir).withColumns({"file": F.when(first, "on 64").otherwise("on 33"), "qual_o": F.when(first, F.translate("qual_o", _OLD, _NEW)).otherwise(F.col("qual_o"))})
+    codes = P.qualities(reads, by=["file"], offset=None)
+    offsets = D.quality_offsets(codes)
+    return D.shifted(codes, offsets, ["file", "pos"]).join(offsets, "file")

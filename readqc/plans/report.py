@@ -6,18 +6,22 @@ The page holds its data as JSON and a short script that draws it; it needs no ne
 
 from __future__ import annotations
 
+import datetime
 import html
 import json
 import os
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from readqc import __version__
 from readqc.functions import reads as R
 from readqc.operators import derive as D
 from readqc.operators import profiles as P
-from readqc.plans.profile import Profile, longest
+from readqc.plans.profile import Profile
+from readqc.sources.files import size_and_time
 
 PAGE = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><title>{title}</title>
@@ -52,8 +56,10 @@ const plots={plots};plots.forEach(p=>draw(p,0));
 
 def file_line(spark: SparkSession, path: str) -> str:
     """Size and time of change, wherever the file is; its content is not read."""
-    found = spark.read.format("binaryFile").load(path).select(F.sum("length").alias("n"), F.max("modificationTime").alias("t")).first()
-    return html.escape(path) if found.n is None else f"{html.escape(path)}: {found.n} bytes, {found.t:%Y-%m-%d %H:%M:%S}"
+    found = size_and_time(spark, path)
+    if found is None:
+        return html.escape(path)
+    return f"{html.escape(path)}: {found[0]} bytes, {datetime.datetime.fromtimestamp(found[1] / 1000, datetime.UTC):%Y-%m-%d %H:%M:%S}"
 
 
 def identifier(*parts) -> str:
@@ -97,35 +103,91 @@ def mean_traces(rows: list, extent: int) -> list:
     return [{"name": "mean quality", "y": y, "error": error}]
 
 
-def clustered_rows(p: Profile, length: int) -> dict:
-    """(what, mate) -> rows of all plots by position: clustered counts, and means of clustered qualities. Two collects of
-    at most clusters x series x classes rows, whatever the file's size."""
-    by = ["what", *D.KEY]
-    shown = p.cells.where(~F.col("what").isin(*P.NUMBERS))
-    matrix = F.when(F.col("what").endswith("normalised"), R.NORM_BINS).otherwise(length)
-    cells = D.clustered_by_file(shown.withColumn("l", R.matrix_length(matrix - 1)), by).where("n > 0")
-    of_qualities = F.col("what").startswith("qualities")
-    plain = cells.where(~of_qualities).collect()
-    means = D.mean_quality(cells.where(of_qualities).withColumnRenamed("cluster", "pos"), [*by, "label"]).withColumnRenamed("pos", "cluster").collect()
-    out: dict = {}
-    for r in [*plain, *means]:
-        out.setdefault((r.what, r.read_no), []).append(r.asDict())
+#: Files whose counts are brought to the driver at once.
+FILES = 500
+
+
+@dataclass
+class Summary:
+    """What a page shows of one file: pair counts, mapping table, rows of the plots by (what, mate), densities by mate, and
+    issue -> (number, bytes)."""
+
+    pairs: Row
+    mapping: list = field(default_factory=list)
+    rows: dict = field(default_factory=dict)
+    densities: dict = field(default_factory=dict)
+    issues: dict = field(default_factory=dict)
+
+
+def summaries(cells: DataFrame) -> dict[str, Summary]:
+    """file -> Summary out of the cells of several files, in two collects: a row for each file, and the plots' points (at most
+    clusters x series x classes of each file, and its distinct lengths)."""
+    what = F.col("what")
+    bad = what.startswith(P.ISSUE) | what.startswith(P.LOST)
+    numbers = P.pairs_of(cells, ["file"])
+    mapping = D.mapping_table(cells.where("what = 'reads'").select("file", *D.KEY, "n"), ["file"]).groupBy("file").agg(F.collect_list(F.struct("read_no", "class", "n", "fraction")).alias("mapping"))
+    issues = cells.where(bad).groupBy("file", "what").agg(F.sum("n").alias("n")).groupBy("file").agg(F.collect_list(F.struct("what", "n")).alias("issues"))
+    out = {r["file"]: Summary(r, r.mapping or [], issues=_issues(r.issues or [])) for r in numbers.join(mapping, "file", "left").join(issues, "file", "left").collect()}
+
+    by = ["file", "what", *D.KEY]
+    longest = cells.where("what = 'raw_lengths'").groupBy("file").agg(F.max("pos").alias("longest"))
+    shown = cells.where(~what.isin(*P.NUMBERS) & ~bad).join(longest, "file", "left")
+    matrix = F.when(what.endswith("normalised"), R.NORM_BINS).otherwise(F.greatest(F.lit(R.EXACT), F.coalesce("longest", F.lit(0)) + 1))
+    clustered = D.clustered_by_file(shown.withColumn("l", R.matrix_length(matrix - 1)), by).where("n > 0")
+    of_qualities = what.startswith("qualities")
+    none = F.lit(None).cast("double")
+    plain = clustered.where(~of_qualities).select(*by, "cluster", "label", "series", "n", none.alias("mean"), none.alias("std_err"))
+    means = D.mean_quality(clustered.where(of_qualities).withColumnRenamed("cluster", "pos"), [*by, "label"]).select(*by, F.col("pos").alias("cluster"), "label", F.lit(0).alias("series"), "n", "mean", "std_err")
+    lengths = D.length_density(cells.where("what = 'lengths'").select("file", *D.KEY, F.col("pos").alias("len"), "n"), ["file", *D.KEY])
+    density = lengths.select("file", F.lit("lengths").alias("what"), *D.KEY, F.col("len").alias("cluster"), F.lit("").alias("label"), F.lit(0).alias("series"), F.lit(0).cast("long").alias("n"), F.col("density").alias("mean"), none.alias("std_err"))
+    points: dict = {}
+    for r in plain.unionByName(means).unionByName(density).collect():
+        if r["what"] == "lengths":
+            points.setdefault(r["file"], []).append(r)
+        else:
+            out[r["file"]].rows.setdefault((r["what"], r.read_no), []).append(r.asDict())
+    for f, rows in points.items():
+        out[f].densities = density_plots(rows)
     return out
 
 
-def density_plots(lengths) -> dict:
-    """mate -> plot."""
+def _issues(rows: list) -> dict:
+    found = {r["what"]: r["n"] for r in rows}
+    return {w.removeprefix(P.ISSUE): (n, found.get(P.LOST + w.removeprefix(P.ISSUE), 0)) for w, n in found.items() if w.startswith(P.ISSUE)}
+
+
+def gathered(profiles: dict[str, Profile]) -> Iterator[tuple[str, Summary]]:
+    """(path, Summary) of every file, FILES of one plan at once."""
+    plans: dict = {}
+    for p, x in profiles.items():
+        plans.setdefault(id(x.cells if x.shared is None else x.shared), []).append(p)
+    for paths in plans.values():
+        for i in range(0, len(paths), FILES):
+            some = paths[i : i + FILES]
+            first = profiles[some[0]]
+            cells = first.cells.withColumn("file", F.lit(some[0])) if first.shared is None else first.shared if len(some) == len(paths) else first.shared.where(F.col("file").isin(*some))
+            found = summaries(cells)
+            for p in some:
+                yield p, found.get(p) or _empty()
+
+
+def _empty() -> Summary:
+    """Of a file without any record."""
+    return Summary(Row(total=0, n_read1=0, n_read2=0, n_paired=0, n_proper=0, pct_paired=None, pct_proper=None))
+
+
+def density_plots(rows: list) -> dict:
+    """mate -> plot, of the densities (mean) at lengths (cluster)."""
     out: dict = {}
-    rows = D.length_density(lengths).orderBy("mapq_bin", "len").collect()
     for mate in sorted({r.read_no for r in rows}):
-        own = [r for r in rows if r.read_no == mate]
-        at = {n: i for i, n in enumerate(sorted({r.len for r in own}))}
+        own = sorted((r for r in rows if r.read_no == mate), key=lambda r: (r.mapq_bin, r.cluster))
+        at = {n: i for i, n in enumerate(sorted({r.cluster for r in own}))}
         groups = []
         for c in sorted({r.mapq_bin for r in own}):
             y = [0.0] * len(at)
             for r in own:
                 if r.mapq_bin == c:
-                    y[at[r.len]] = r.density
+                    y[at[r.cluster]] = r["mean"]
             groups.append({"name": R.MAPQ_LABELS[c], "traces": [{"name": "density", "y": y}]})
         out[mate] = {"id": identifier("lengths", mate), "kind": "line", "labels": list(map(str, at)), "groups": groups, "density": True}
     return out
@@ -138,11 +200,11 @@ def _human(n: int) -> str:
     return str(n)
 
 
-def mapping_section(p: Profile, pairs) -> str:
+def mapping_section(p: Profile, s: Summary) -> str:
     """The counts of reads, as a table for aligned files."""
+    pairs, rows = s.pairs, s.mapping
     if not p.aligned:
         return f"<h2>Reads</h2><p>{_human(pairs.total)} reads</p>"
-    rows = p.tables["mapping"].collect()
     order = {name: i for i, name in enumerate((*R.MAPQ_LABELS, "Total"))}
     out = ["<h2>Mapping statistics</h2><p>", f"{_human(pairs.total)} reads", f", {pairs.pct_paired}% paired" if pairs.n_paired else "", f", {pairs.pct_proper}% of these properly" if pairs.n_paired else "", "</p><table><tr><th>Mate</th><th>Class</th><th>Reads</th><th>Fraction</th></tr>"]
     for r in sorted(rows, key=lambda r: (r.read_no, order[r["class"]])):
@@ -150,14 +212,16 @@ def mapping_section(p: Profile, pairs) -> str:
     return "".join(out) + "</table>"
 
 
-def render(p: Profile) -> str:
+def render(p: Profile, s: Summary | None = None) -> str:
     """The page of one profile: what has no data is left out. Second mates are shown where any read is paired; titles
     name the mate where there are second mates."""
-    pairs = p.tables["pairs"].first()
-    body = [mapping_section(p, pairs)]
+    s = s or dict(gathered({p.path: p}))[p.path]
+    pairs, rows = s.pairs, s.rows
+    body = [mapping_section(p, s)]
+    for issue, (n, lost) in sorted(s.issues.items()):
+        body.append(f'<p class="banner">Left out: {html.escape(issue)}, {n} times, {lost} bytes.</p>')
     if p.partial:
         body.append(f'<p class="banner">This report is partial: it shows the first {pairs.total} reads only.</p>')
-    rows = clustered_rows(p, max(R.EXACT, longest(p.cells) + 1))
     base = count_traces(lambda s: R.BASES[s])
     plots: list = []
     mates = (1, 2) if p.aligned and pairs.n_paired else (1,)
@@ -171,8 +235,7 @@ def render(p: Profile) -> str:
     def by_position(title: str, name: str, what: str, kind: str, traces) -> None:
         add(title, lambda m: _plot(name, m, kind, rows.get((what, m), []), traces))
 
-    densities = density_plots(p.tables["lengths"])
-    add("Length distribution", densities.get)
+    add("Length distribution", s.densities.get)
     by_position("Base composition", "bases", "bases", "bar", base)
     by_position("Base quality", "qualities", "qualities", "line", mean_traces)
     if p.options.plot_end:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.operators.reads import RAW
-from readqc.sources.records import Names, read_bam, read_fastq
+from readqc.sources.records import Names, plain, read_bam, read_fastq
 
 # Name endings and what they hold. The second list is accepted beyond the usual names.
 ENDINGS = {
@@ -38,7 +38,7 @@ def chosen(paths: list[str]) -> list[tuple[str, str]]:
 def address(spark: SparkSession, path: str) -> str:
     """The path as Spark names the file in a row's metadata."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    return plain(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
 def read(spark: SparkSession, path: str | list[str], kind: str | None = None, mode: str = "FAILFAST", alone: bool = False, issues: bool = False) -> DataFrame:
@@ -68,7 +68,7 @@ def read(spark: SparkSession, path: str | list[str], kind: str | None = None, mo
 def _named(names: Names, *columns: Column) -> list[Column]:
     made = ("read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
     f = F.col("_metadata.file_path")
-    given = F.lit(names.only) if names.only else F.coalesce(F.create_map(*(F.lit(x) for pair in names.known.items() for x in pair))[f], f)
+    given = F.lit(names.only) if names.only else F.coalesce(F.create_map(*(F.lit(x) for pair in names.known.items() for x in pair))[F.regexp_replace(f, "^file:///", "file:/")], f)
     return [given.alias("file"), *(c.alias(n) for c, n in zip(columns, made))]
 
 
@@ -137,16 +137,40 @@ def peek(reads: DataFrame, n: int, mode: str = "exact", block: int = 10_000, ali
     return first, min(found, most) if more else None
 
 
-def output_path(path: str, outdir: str | None = None, suffix: str = "readqc.html") -> str:
-    """Beside the input, or in outdir, which must exist and is needed for files elsewhere than on this machine."""
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file wherever Spark can, not only on the driver's disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = (fs.getRawFileSystem() if fs.getScheme() == "file" else fs).create(p, True)  # raw: no checksum file beside it
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def size_and_time(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Bytes and time of change (milliseconds) of what a path or pattern names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(p) or ())
+    return (sum(fs.getContentSummary(x.getPath()).getLength() for x in found), max(x.getModificationTime() for x in found)) if found else None
+
+
+def output_path(path: str, outdir: str | None = None, suffix: str = "readqc.html", checked: bool = False) -> str:
+    """Beside the input, or in outdir, which is needed for files elsewhere than on this machine. checked: outdir is known to be a
+    folder; else it must be one here."""
     if outdir is None and "://" in path and not path.startswith("file://"):
         raise ValueError(f"name an outdir for the report of {path}")
     path = path.removeprefix("file://")
-    if outdir is None:
-        return f"{path}.{suffix}"
-    if not os.path.isdir(outdir):
+    if outdir is not None and not checked and not os.path.isdir(outdir):
         raise ValueError(f"no such folder: {outdir}")
-    return os.path.join(outdir, f"{os.path.basename(path)}.{suffix}")
+    return f"{path}.{suffix}" if outdir is None else f"{outdir.rstrip('/')}/{os.path.basename(path)}.{suffix}"
 
 
 SCHEMA = RAW

@@ -75,7 +75,12 @@ class Names:
         self.known, self.only = known, next(iter(known.values())) if len(known) == 1 else None
 
     def __call__(self, f: str) -> str:
-        return self.known.get(f) or self.only or f
+        return self.known.get(plain(f)) or self.only or f
+
+
+def plain(address: str) -> str:
+    """Local addresses are written with one slash or three."""
+    return "file:/" + address[8:] if address.startswith("file:///") else address
 
 
 def _pieces(spark: SparkSession, path: list[str], separator: bytes | None = None) -> DataFrame:
@@ -92,7 +97,8 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     def parts():
         for batch in batches:
             starts = batch.column("start").to_numpy()
-            cuts = [0, *(np.flatnonzero(starts[1:] != starts[:-1]) + 1), len(batch)]
+            files = batch.column("f").dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((starts[1:] != starts[:-1]) | (files[1:] != files[:-1])) + 1), len(batch)]
             for a, b in zip(cuts, cuts[1:]):
                 if b > a:
                     yield (batch.column("f")[a].as_py(), int(starts[a])), batch.column("x").slice(a, b - a)

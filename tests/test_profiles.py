@@ -482,3 +482,92 @@ def test_splits_longer_than_a_chain(spark, split, tmp_path):
     got = list(found(iter([__import__("pyarrow").array(pieces, "binary")]), False, "x", False))
     places = {x[0]: len(x[1]) for x in got if isinstance(x, tuple)}
     assert places[records.EARLY] < 200_000 and sum(len(x) for x in got if not isinstance(x, tuple)) > 4_000 and records.TAIL in places
+
+
+def fastq(n, quality, name="r"):
+    return "".join(f"@{name}{i}\n{'ACGT'[i % 4] * len(quality)}\n+\n{quality}\n" for i in range(n))
+
+
+def test_quality_offset_of_each_file(spark, tmp_path):
+    """Older files have qualities on 64; SAM is on 33 by its format."""
+    (tmp_path / "old.fq").write_text(fastq(4, "hhhB"))
+    (tmp_path / "new.fq").write_text(fastq(4, "II5!"))
+    (tmp_path / "high.fq").write_text(fastq(4, "IIII"))
+    (tmp_path / "x.sam").write_text("r\t0\tchr\t1\t9\t4M\t*\t0\t0\tACGT\thhhB\n")
+    names = {n: str(tmp_path / n) for n in ("old.fq", "new.fq", "high.fq", "x.sam")}
+    levels = lambda p: [r.series for r in p.tables["qualities"].orderBy("pos").collect()]
+    found = profile(spark, list(names.values()), plot_end=True)
+    assert {n: levels(found[p]) for n, p in names.items()} == {"old.fq": [40, 40, 40, 2], "new.fq": [40, 40, 20, 0], "high.fq": [40] * 4, "x.sam": [41, 41, 41, 33]}
+    assert sorted(r.series for r in found[names["old.fq"]].tables["qualities_from_end"].collect()) == [2, 40, 40, 40]
+    assert levels(profile(spark, names["old.fq"], quality_offset=33)[names["old.fq"]]) == [41, 41, 41, 33]
+    assert levels(profile(spark, names["old.fq"], peek=10)[names["old.fq"]]) == [40, 40, 40, 2]
+    assert next(iter(profile(spark, names["high.fq"], quality_offset=64).values())).tables["qualities"].agg(F.max("series")).first()[0] == 9
+
+
+def test_many_files_in_one_plan(spark, tmp_path):
+    """One damaged file of many: all others have their pages and the tables that they have alone."""
+    (tmp_path / "out").mkdir()
+    paths = []
+    for i in range(24):
+        path = tmp_path / f"f{i}.fq"
+        path.write_text(fastq(3 + i % 5, "hh" if i % 2 else "I!", f"x{i}_"))
+        paths.append(str(path))
+    (tmp_path / "f7.fq").write_text(fastq(3, "II") + "@broken\nACGT\nxx\nII\n@more\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="broken FASTQ record in .*f7.fq") as e:
+        report(spark, paths, outdir=str(tmp_path / "out"))
+    assert list(e.value.failed) == [paths[7]] and len(e.value.pages) == len(list((tmp_path / "out").iterdir())) == 23
+    found = profile(spark, paths)
+    assert len({id(p.shared) for p in found.values()}) == 1
+    for p in (paths[0], paths[23]):
+        alone = profile(spark, p)[p]
+        assert found[p].tables["pairs"].first().total == 3 + int(p.rsplit("f", 2)[1].split(".")[0]) % 5
+        for name in alone.tables:
+            assert sorted(map(str, alone.tables[name].collect())) == sorted(map(str, found[p].tables[name].collect()))
+    with pytest.raises(Exception, match="broken FASTQ"):
+        found[paths[7]].tables["bases"].collect()
+    loose = profile(spark, paths, mode="PERMISSIVE")
+    assert loose[paths[7]].tables["pairs"].first().total == 4 and loose[paths[0]].dropped == {}
+    assert loose[paths[7]].dropped == {"broken FASTQ record": (1, len("@broken\nACGT\nxx\nII\n"))}
+    page = open(report(spark, paths[7], mode="PERMISSIVE")[0], encoding="utf-8").read()
+    assert "Left out: broken FASTQ record, 1 times, 19 bytes" in page and "4 reads" in page
+
+
+def test_what_is_left_out_is_counted(spark, split, sam, tmp_path):
+    whole = bgzf(bam_bytes(BAM_ROWS))
+    middle = blocks_at(whole)[10]
+    path = tmp_path / "x.bam"
+    path.write_bytes(whole[: middle + 60] + bytes([whole[middle + 60] ^ 1]) + whole[middle + 61 :])
+    (tmp_path / "broken.sam").write_text(open(sam).read() + "a\tb\n")
+    for step in (400, 10**6):
+        split(step)
+        bad = profile(spark, [str(path), str(tmp_path / "broken.sam")], mode="PERMISSIVE")
+        assert bad[str(path)].dropped["damaged block, or the file was cut"][1] > 100
+        assert bad[str(tmp_path / "broken.sam")].dropped == {"broken SAM record": (1, 4)}
+
+
+def test_pages_on_any_path(spark, sam, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.reads.link./pages", f"file://{tmp_path}/pages")
+    (tmp_path / "pages").mkdir()
+    assert report(spark, sam, outdir="viewfs://reads/pages") == [f"viewfs://reads/pages/{os.path.basename(sam)}.readqc.html"]
+    assert "Mapping statistics" in (tmp_path / "pages" / f"{os.path.basename(sam)}.readqc.html").read_text(encoding="utf-8")
+    with pytest.raises(ValueError, match="no such folder"):
+        report(spark, sam, outdir="viewfs://reads/pages/none")
+
+
+def test_plans_are_built_without_jobs(spark):
+    """No registered query on reads starts a job before its result is asked for; a scan with fewer tasks than cores is dealt out."""
+    from readqc.plans.queries import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    sf = "/root/testdata/sf0.001"
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        plans = {name: q(spark, sf) for name, q in QUERIES.items()}
+        stages = [tracker.getJobInfo(j).stageIds for j in tracker.getJobIdsForGroup("plans")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # what remains is one task for each read of a Parquet file, for its schema
+    assert all(len(s) == 1 for s in stages) and len(stages) <= len(plans) + 5
+    assert "RoundRobinPartitioning" in plans["base_composition"]._jdf.queryExecution().toString()
+    shuffled = P.bases(derive(spark.createDataFrame([], RAW).repartition(3)))
+    assert "RoundRobinPartitioning(4)" not in shuffled._jdf.queryExecution().toString()
