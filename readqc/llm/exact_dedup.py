@@ -9,12 +9,14 @@
 4. All other digests use an ordinary shuffle by digest, where no group is large.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, a null
-doc_id is smaller than any other; of rows that repeat the winner's doc_id and text exactly one stays;
+doc_id is smaller than any other; of rows that repeat the winner's doc_id and text exactly one stays, in ``dedup`` the first by
+all columns (nulls first), however the rows are dealt out;
 extra columns of the input are ignored by ``mark`` and carried unchanged by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,5 +78,7 @@ def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     kept = mark(docs, counters).where("kept").select(id_("doc_id").alias(own), F.col("text_sha256").alias(sha))
     keyed = docs.withColumns({own: id_("doc_id"), sha: F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
     joined = keyed.join(kept.hint("shuffle_hash"), [own, sha], "left_semi")
-    again = Window.partitionBy(own, sha).orderBy(own)  # dealt like the join: rows that repeat the winner
+    # dealt like the join: rows that repeat the winner; the first by all other columns (maps by their text) stays
+    plain = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) if re.search("map|variant", kind) else F.col(f"`{c}`")
+    again = Window.partitionBy(own, sha).orderBy(*(plain(c, kind) for c, kind in docs.dtypes))
     return joined.withColumn(n, F.row_number().over(again)).where(F.col(n) == 1).drop(n, own, sha)

@@ -83,31 +83,39 @@ def trigrams_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return trigrams, text, spot
 
 
-def cut(text: str) -> list:
-    """Pieces of at most PART characters, cut behind a blank (inside a run of PART characters without one, anywhere)."""
+def cut(text: str) -> list[tuple[str, int]]:
+    """(piece, sign): pieces of at most PART characters whose signed trigrams are those of the text. Cut behind a blank nothing is
+    lost. Inside a run without one, both pieces hold the two characters around the cut; what that adds (the edges of words where
+    there are none) are just the trigrams of these two characters alone, which are taken off again."""
     out, a = [], 0
     while len(text) - a > PART:
-        b = text.rfind(" ", a, a + PART) + 1 or a + PART
-        out.append(text[a:b])
-        a = b
-    return [*out, text[a:]]
+        b = text.rfind(" ", a, a + PART) + 1
+        if b > a:
+            out.append((text[a:b], 1))
+            a = b
+        else:
+            b = a + PART
+            out += [(text[a:b], 1), (text[b - 2 : b], -1)]
+            a = b - 2
+    return [*out, (text[a:], 1)]
 
 
 def text_vectors(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Number of trigrams and bundled vector of each text. What is held depends on PART and PIECE, not on a text's length
     or the number of its trigrams."""
     total, out = np.zeros(len(texts)), np.zeros((len(texts), DIMENSIONS), np.float32)
-    parts = [(i, p) for i, t in enumerate(texts) for p in cut(t)]
-    at = np.cumsum([len(p) for _, p in parts]) // (2 * PART)
+    parts = [(i, p, sign) for i, t in enumerate(texts) for p, sign in cut(t)]
+    at = np.cumsum([len(p) for _, p, _ in parts]) // (2 * PART)
     for group in np.unique(at):
-        owner, some = zip(*(parts[k] for k in np.flatnonzero(at == group)))
+        owner, some, signs = zip(*(parts[k] for k in np.flatnonzero(at == group)))
         trigrams, text, spot = trigrams_of(list(some))
+        weight = np.array(signs, float)[text] if len(text) else np.zeros(0)
         text = np.array(owner)[text] if len(text) else text
-        total += np.bincount(text, minlength=len(texts))
+        total += np.bincount(text, weight, minlength=len(texts))
         for a in range(0, len(trigrams), PIECE):
             n = min(PIECE, len(trigrams) - a)
             own = slice(None) if n == len(trigrams) else (spot >= a) & (spot < a + n)
-            counts = np.bincount(text[own] * n + spot[own] - a, minlength=len(texts) * n).reshape(len(texts), n)
+            counts = np.bincount(text[own] * n + spot[own] - a, weight[own], minlength=len(texts) * n).reshape(len(texts), n)
             out += counts.astype(np.float32) @ trigram_vectors(trigrams[a : a + n])
     return total, out
 

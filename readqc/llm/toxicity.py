@@ -431,7 +431,7 @@ def learn(docs: DataFrame, labels: DataFrame, shared, max_train: int = MAX_TRAIN
     by_entry = by_word.select(F.explode(entries).alias("word"), *counts).groupBy("word").agg(*sums(*((c, F.coalesce(c, F.lit(0))) for c in counts)))
     whole, *halves = (_entries(by_entry, p, totals[f"n1_{p}"] or 0, totals[f"n0_{p}"] or 0) for p in parts)
     other = docs.sparkSession.sparkContext.broadcast((shared.value, halves))
-    bins = train.mapInArrow(_evidence(other), "x double, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most 501 rows
+    bins = train.mapInArrow(_evidence(other), "x double, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most max_train rows
     slope, intercept = fit([r.x for r in bins], [r.n for r in bins], [r.t for r in bins])
     return {"words": whole, "slope": slope, "intercept": intercept}
 
@@ -459,7 +459,7 @@ def entry_odds(counts: list, all1: int, all0: int) -> dict:
 
 
 def _evidence(shared):
-    """Evidence of training rows by the lexicon of the half that they are not in, to one decimal, 50 at most."""
+    """Evidence of training rows by the lexicon of the half that they are not in, to one decimal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language, halves = shared.value
@@ -467,7 +467,7 @@ def _evidence(shared):
         evidence = [Evidence(decode, x) for x in halves]
         for part in slices(batches):
             found = [evidence[1 - half](t) for t, half in zip(_texts(part), part.column("half").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([min(round(x, 1), 50.0) for x in found], pa.float64()), part.column("toxic")], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([round(x, 1) for x in found], pa.float64()), part.column("toxic")], names=["x", "toxic"])
 
     return run
 
@@ -496,7 +496,7 @@ def fit(x, n, t) -> tuple[float, float]:
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return float(max(w[0], 0.0)), float(min(w[1], -0.2))
+    return float(max(w[0], 0.0)), float(w[1])
 
 
 def _logits(shared):

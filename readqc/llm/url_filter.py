@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readqc.llm.store import materialize
+
 MAX_BROADCAST_RULES = 200_000
 #: Parts into which each join key of pages and rules is dealt, as all pages of a top-level domain share some.
 SALT = 16
@@ -125,7 +127,7 @@ def _joined(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     rules = rules.withColumn("_stem", cut(F.col("_path")))
     labels = F.split("host", r"\.")
     parts = F.split("path", "/")
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialize(urls.withColumn("_row", F.monotonically_increasing_id()))  # read twice, numbered once
     keys = keyed.select("_row", "path", F.posexplode(labels).alias("_i", "_l"), labels.alias("_labels"), parts.alias("_parts"))
     keys = keys.select("_row", "path", F.array_join(F.slice("_labels", F.col("_i") + 1, F.size("_labels")), ".").alias("_host"), F.explode(F.sequence(F.lit(0), F.size("_parts") - 1)).alias("_j"), "_parts")
     keys = keys.select("_row", "path", "_host", F.when(F.col("_j") == 0, "").otherwise(F.concat(F.array_join(F.slice("_parts", 1, F.col("_j")), "/"), F.lit("/"))).alias("_stem"))

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 from readqc.llm.exact_dedup import dedup, heavy_hitters, mark
+from readqc.llm import exact_dedup as X
 
 
 def brute(rows):
@@ -54,3 +55,11 @@ def test_summary_has_every_frequent_digest(spark):
 
 def test_empty(spark):
     assert mark(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_which_row_stays_does_not_depend_on_partitions(spark):
+    rows = [(i % 4, f"text {i % 4}", f"s{i % 3}", i % 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").withColumn("m", X.F.create_map(X.F.lit("k"), X.F.col("n")))
+    found = [sorted(map(str, X.dedup(docs.repartition(n)).collect())) for n in (2, 3, 5, 7)]
+    assert len(found[0]) == 4 and all(f == found[0] for f in found)
+    assert "source='s0', n=0" in found[0][0]

@@ -85,3 +85,19 @@ def test_empty_and_nothing_learned(spark):
     assert identify(frame, F.lit(False)).count() == 0
     one = spark.createDataFrame([(1, "abc", "xx")], "doc_id long, text string, lang string")
     assert identify(one, F.lit(True)).first().lang_pred == "und"
+
+
+def test_cuts_lose_no_trigram(monkeypatch):
+    """Runs without a blank, cut anywhere, have the vectors of whole texts."""
+    texts = ["".join(chr(0x4E00 + i * i % 97) for i in range(1_000)), "ab, cdé" * 100, "x" * 999, "a b" * 50 + "longrunwithoutblanks" * 30, "...---..." * 40 + "éa"]
+    whole = L.text_vectors(texts)
+    for part in (7, 50, 333):
+        monkeypatch.setattr(L, "PART", part)
+        total, vectors = L.text_vectors(texts)
+        assert (total == whole[0]).all() and (vectors == whole[1]).all()
+
+
+def test_long_run_of_another_script():
+    text = "".join(chr(0x4E00 + i * 7919 % 5_000) for i in range(1_200_000))
+    total, _ = L.text_vectors([text])
+    assert len(L.cut(text)) > 3 and total[0] == 1_200_000

@@ -113,7 +113,7 @@ def test_lexicon_and_score_against_a_plain_version(spark):
     assert all(math.isclose(learned["words"][w], whole[w], rel_tol=1e-9) for w in whole)
     found = Counter()
     for i, t, x in data:
-        found[min(round(evidence(t, halves[1 - half[i]]), 1), 50.0), x] += 1
+        found[round(evidence(t, halves[1 - half[i]]), 1), x] += 1
     at = sorted({x for x, _ in found})
     slope, intercept = T.fit(at, [found[x, 0] + found[x, 1] for x in at], [found[x, 1] for x in at])
     assert math.isclose(slope, learned["slope"], rel_tol=1e-6) and math.isclose(intercept, learned["intercept"], rel_tol=1e-6)
@@ -161,3 +161,12 @@ def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.score(spark.createDataFrame([], "doc_id long, text string"), none, F.lit(False)).count() == 0
     assert T.score(spark.createDataFrame([(1, "idiot")], "doc_id long, text string"), none, F.lit(False)).first().predicted == 0
+
+
+def test_the_curve_follows_the_base_rate():
+    """Without evidence a score is the share of toxic rows, however high; strong evidence is used as it is."""
+    for toxic in (1, 5, 9):
+        slope, intercept = T.fit([0.0], [1_000], [100 * toxic])
+        assert abs(1 / (1 + math.exp(-intercept)) - toxic / 10) < 0.01
+    slope, intercept = T.fit([0.0, 3.0, 5_000.0], [900, 50, 50], [9, 40, 50])
+    assert slope > 0 and intercept < -3 and slope * 5_000 + intercept > 10

@@ -31,3 +31,10 @@ def test_fixed_rules_and_random_rules(spark):
 
 def test_empty(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_join_on_shuffled_pages(spark):
+    """The join's helper numbers are taken once, whatever stands above."""
+    urls = [f"http://{h}.example.{t}/{p}/{i}" for i in range(200) for h in ("a", "b") for t in ("org", "com") for p in ("es", "en", "fr")]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(7).groupBy("page_id").agg({"url": "max"}).toDF("page_id", "url").repartition(5)
+    assert sorted(map(tuple, judge(frame, RULES, max_broadcast_rules=0).collect())) == [(i, *brute(RULES, u)) for i, u in enumerate(urls)]
