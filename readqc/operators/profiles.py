@@ -345,6 +345,16 @@ def error_totals(reads: DataFrame, by=KEY) -> DataFrame:
     return counts.groupBy(*by).agg(of("mismatches").alias("n_mis"), of("insertions").alias("n_ins"), of("deletions").alias("n_del"))
 
 
+def difference_counts(reads: DataFrame, by=KEY) -> DataFrame:
+    """By class, mapped reads with MD or NM by what the file says of their differences: agrees (NM is MD's letters plus inserted and
+    deleted bases), differs (wrong MD, NM or CIGAR), no_nm, no_md (where MD alone is missing); with the sums of both numbers."""
+    mapped = reads.where((F.size("ops") > 0) & (F.col("md").isNotNull() | F.col("nm").isNotNull()))
+    letters = F.length(F.regexp_replace("md", r"\^[A-Za-z]+|[0-9]+", ""))
+    found = mapped.select(*by, "nm", (letters + R.sum_ops(F.col("ops"), "ID")).alias("found"))
+    verdict = F.when(F.col("nm").isNull(), "no_nm").when(F.col("found").isNull(), "no_md").when(F.col("nm") == F.col("found"), "agrees").otherwise("differs")
+    return found.groupBy(*by, verdict.alias("verdict")).agg(F.count("*").alias("n"), F.sum("nm").alias("nm_sum"), F.sum("found").alias("found_sum"))
+
+
 def length_range(reads: DataFrame, by=("read_no",)) -> DataFrame:
     return reads.groupBy(*by).agg(F.min("n").alias("min_len"), F.max("n").alias("max_len"))
 

@@ -347,3 +347,12 @@ def detected_quality_offsets(spark, sf_dir):
     codes = P.qualities(reads, by=["file"], offset=None)
     offsets = D.quality_offsets(codes)
     return D.shifted(codes, offsets, ["file", "pos"]).join(offsets, "file")
+
+
+@query(
+    _READS
+    + r""", f AS (SELECT read_no, mapq_bin, nm, length(regexp_replace(md, '\^[A-Za-z]+|[0-9]+', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[ID]', 1), lambda x: x::INT)), 0) AS found FROM reads WHERE mapped AND cigar <> '*')
+SELECT read_no, mapq_bin, CASE WHEN nm IS NULL THEN 'no_nm' WHEN found IS NULL THEN 'no_md' WHEN nm = found THEN 'agrees' ELSE 'differs' END AS verdict, count(*) AS n, sum(nm)::BIGINT AS nm_sum, sum(found)::BIGINT AS found_sum FROM f GROUP BY ALL"""
+)
+def difference_agreement(spark, sf_dir):
+    return P.difference_counts(_reads(spark, sf_dir))

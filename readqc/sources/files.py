@@ -42,7 +42,8 @@ def address(spark: SparkSession, path: str) -> str:
 
 
 def read(spark: SparkSession, path: str | list[str], kind: str | None = None, mode: str = "FAILFAST", alone: bool = False, issues: bool = False) -> DataFrame:
-    """One file, or several of one type, as records in one plan; ``file`` has the path as it was given. kind overrides what the name says.
+    """One file, or several of one type, as records in one plan; ``file`` has the path as it was given, ``nm`` the file's own
+    number of differences (tag NM) of mapped reads. kind overrides what the name says.
     mode: FAILFAST raises for what can't be read, PERMISSIVE leaves it out. alone: the session reads a file as one
     split (in_order), so records come in one pass in file order. issues: keep the rows that stand for what can't be
     read (columns issue and lost; everything else but file is null) instead, whatever the mode."""
@@ -80,11 +81,12 @@ def read_sam(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
     whole = (F.size(x) >= 11) & at(2).rlike("^[0-9]+$") & at(5).rlike("^[0-9]+$")
     own = lambda c: F.when(whole, c)
     md = F.regexp_extract(F.coalesce(at(12), F.lit("")), r"(?:^|\t)MD:Z:([^\t]*)", 1)
+    nm = F.regexp_extract(F.coalesce(at(12), F.lit("")), r"(?:^|\t)NM:i:(-?[0-9]+)", 1).try_cast("int")
     flag = at(2).try_cast("int")
     mapped = flag.bitwiseAND(F.lit(4)) == 0
     present = lambda c: F.when(c != "*", c)
     columns = (at(1), flag, at(5).try_cast("int"), present(at(6)), F.when(at(10) == "*", "").otherwise(at(10)), present(at(11)), F.when(mapped & (md != ""), md), F.lit(True))
-    return lines.select(*_named(names, *map(own, columns)), F.when(~whole, "broken SAM record").alias("issue"), F.when(~whole, F.octet_length("value") + 1).cast("long").alias("lost"))
+    return lines.select(*_named(names, *map(own, columns)), F.when(~whole, "broken SAM record").alias("issue"), F.when(~whole, F.octet_length("value") + 1).cast("long").alias("lost"), own(F.when(mapped, nm)).alias("nm"))
 
 
 def _missing(kind: str) -> Column:
@@ -99,7 +101,7 @@ def read_fasta(spark: SparkSession, paths: list[str], names: Names) -> DataFrame
     seq = F.regexp_replace(F.substring(text, F.length(head) + 2, F.length(text)), r"\s", "")
     rows = records.where(F.length(F.trim("value")) > 0)
     columns = (F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), F.lit(False))
-    return rows.select(*_named(names, *columns), _missing("string").alias("issue"), _missing("long").alias("lost"))
+    return rows.select(*_named(names, *columns), _missing("string").alias("issue"), _missing("long").alias("lost"), _missing("int").alias("nm"))
 
 
 def asked(n: int, mode: str = "exact", block: int = 10_000) -> int:

@@ -57,14 +57,14 @@ GIVEN_UP = b"\2"
 #: Marks among chunks of bytes: the end, and a place where a record must begin.
 _FINAL, _EDGE = "final", "edge"
 
-_NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned", "issue", "lost")
-_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
-#: Records, and rows that stand for what can't be read.
-ROWS = RAW + ", issue string, lost long"
+_NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned", "issue", "lost", "nm")
+_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32())
+#: Records, and rows that stand for what can't be read; nm: the file's own count of differences.
+ROWS = RAW + ", issue string, lost long, nm int"
 
 
 def _issue(path: str, issue: str, lost: int) -> pa.RecordBatch:
-    row = [path, *[None] * 8, issue, lost]
+    row = [path, *[None] * 8, issue, lost, None]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES)], names=list(_NAMES))
 
 
@@ -192,7 +192,7 @@ def _fastq_batch(path: str, heads, seqs, quals) -> pa.RecordBatch:
     names = pc.struct_field(pc.extract_regex(pc.utf8_slice_codeunits(pa.array(heads, pa.binary()).cast(pa.string()), 1), r"^\s*(?P<name>\S*)"), 0)
     quals = text(quals)
     none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.string())]
-    columns = [pa.repeat(path, n), names, *none, text(seqs), pc.if_else(pc.equal(pc.utf8_length(quals), 0), pa.scalar(None, pa.string()), quals), pa.nulls(n, pa.string()), pa.repeat(False, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+    columns = [pa.repeat(path, n), names, *none, text(seqs), pc.if_else(pc.equal(pc.utf8_length(quals), 0), pa.scalar(None, pa.string()), quals), pa.nulls(n, pa.string()), pa.repeat(False, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
 
@@ -598,12 +598,13 @@ def read_bam(spark: SparkSession, paths: list[str], names: Names, mode: str = "F
 
 
 def _bam_batch(rows: list, path: str) -> pa.RecordBatch:
-    columns = [[path] * len(rows), *zip(*rows), [True] * len(rows), [None] * len(rows), [None] * len(rows)]
+    *own, nm = zip(*rows)
+    columns = [[path] * len(rows), *own, [True] * len(rows), [None] * len(rows), [None] * len(rows), nm]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=list(_NAMES))
 
 
 def bam_record(x: bytes) -> tuple | None:
-    """read_id, flag, mapq, cigar, seq, qual, md of a record; None if it is not well formed up to its end."""
+    """read_id, flag, mapq, cigar, seq, qual, md, nm of a record; None if it is not well formed up to its end."""
     _, _, name_size, mapq, _, n_ops, flag, n, _, _, _ = struct.unpack_from("<iiBBHHHiiii", x)
     at = 32
     name = x[at : at + name_size - 1].decode()
@@ -616,16 +617,16 @@ def bam_record(x: bytes) -> tuple | None:
     at += n
     try:
         cigar = "".join(f"{c >> 4}{OPERATIONS[c & 15]}" for c in codes)
-        md = md_tag(x, at)
+        md, nm = tags_of(x, at)
     except (IndexError, KeyError, ValueError, struct.error):
         return None
     shown = None if not n or qual[0] == 0xFF else qual.translate(_SHOWN).decode()
-    return name, flag, mapq, cigar or None, seq, shown, None if flag & 4 else md
+    return name, flag, mapq, cigar or None, seq, shown, *((None, None) if flag & 4 else (md, nm))
 
 
-def md_tag(x: bytes, at: int) -> str | None:
-    """The MD tag, if there is one; an error if the tags don't end where the record does."""
-    md = None
+def tags_of(x: bytes, at: int) -> tuple[str | None, int | None]:
+    """The MD and NM tags, where they are; an error if the tags don't end where the record does."""
+    md = nm = None
     while at < len(x):
         tag, kind = x[at : at + 2], chr(x[at + 2])
         at += 3
@@ -637,7 +638,9 @@ def md_tag(x: bytes, at: int) -> str | None:
         elif kind == "B":
             at += 5 + TAG_SIZES[chr(x[at])] * struct.unpack_from("<i", x, at + 1)[0]
         else:
+            if tag == b"NM" and kind in "cCsSiI":
+                nm = int.from_bytes(x[at : at + TAG_SIZES[kind]], "little", signed=kind.islower())
             at += TAG_SIZES[kind]
     if at != len(x):
         raise ValueError("tags run over the record's end")
-    return md
+    return md, nm if nm is None or abs(nm) < 1 << 31 else None

@@ -15,7 +15,8 @@ SELECT 'lineitem' AS file, rid AS read_id, flag, mapq,
     WHEN 3 THEN concat('15M3D', n - 15, 'M') WHEN 4 THEN concat('3S10M1I4D', n - 17, 'M3S') ELSE concat('2H', n, 'M') END AS cigar,
   CASE k WHEN 0 THEN concat('10A', n - 11) WHEN 1 THEN concat('', n - 5) WHEN 2 THEN concat('7C', n - 10)
     WHEN 3 THEN concat('15^ACG', n - 15) WHEN 4 THEN concat('10^ACGT', n - 17) ELSE concat('0T', n - 1) END AS md,
-  true AS is_aligned
+  true AS is_aligned,
+  CAST(CASE WHEN mapq = 7 THEN NULL ELSE CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 5 ELSE 1 END + CASE WHEN n % 19 = 0 THEN 1 ELSE 0 END END AS int) AS nm
 FROM (
   SELECT concat(l_orderkey, '-', l_partkey, '-', l_suppkey, '-', l_linenumber) AS rid, CAST(40 + l_partkey % 57 AS int) AS n, CAST(l_suppkey % 6 AS int) AS k,
     CAST(l_quantity AS int) AS mapq,

@@ -571,3 +571,14 @@ def test_plans_are_built_without_jobs(spark):
     assert "RoundRobinPartitioning" in plans["base_composition"]._jdf.queryExecution().toString()
     shuffled = P.bases(derive(spark.createDataFrame([], RAW).repartition(3)))
     assert "RoundRobinPartitioning(4)" not in shuffled._jdf.queryExecution().toString()
+
+
+def test_differences_by_md_and_nm(spark, tmp_path):
+    rows = [("a", 0, "5M1I4M2D3M", "4A4^AC3", 4), ("b", 0, "5M1I4M2D3M", "4A4^AC3", 3), ("c", 16, "13M", None, 0), ("d", 0, "13M", "13", None), ("e", 4, "13M", "13", 0), ("f", 0, "13M", None, None)]
+    lines = [f"{r}\t{flag}\tchr\t1\t40\t{cigar}\t*\t0\t0\t{'A' * 13}\t{'I' * 13}" + (f"\tNM:i:{nm}" if nm is not None else "") + (f"\tMD:Z:{md}" if md else "") for r, flag, cigar, md, nm in rows]
+    (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
+    found = {(r.verdict): (r.n, r.nm_sum, r.found_sum) for r in P.difference_counts(derive(read(spark, str(tmp_path / "x.sam")))).collect()}
+    assert found == {"agrees": (1, 4, 4), "differs": (1, 3, 4), "no_md": (1, 0, None), "no_nm": (1, None, 0)}
+    (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes(BAM_ROWS)))
+    assert {r.nm for r in read(spark, str(tmp_path / "x.bam")).select("nm").distinct().collect()} == {1, None}
+    assert records.tags_of(b"NMC\xc8MDZ5A\0", 0) == ("5A", 200) and records.tags_of(b"NMc\xff", 0) == (None, -1)
