@@ -546,12 +546,12 @@ def test_what_is_left_out_is_counted(spark, split, sam, tmp_path):
 
 
 def test_pages_on_any_path(spark, sam, tmp_path):
-    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.reads.link./pages", f"file://{tmp_path}/pages")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sink.link./pages", f"file://{tmp_path}/pages")
     (tmp_path / "pages").mkdir()
-    assert report(spark, sam, outdir="viewfs://reads/pages") == [f"viewfs://reads/pages/{os.path.basename(sam)}.readqc.html"]
+    assert report(spark, sam, outdir="viewfs://sink/pages") == [f"viewfs://sink/pages/{os.path.basename(sam)}.readqc.html"]
     assert "Mapping statistics" in (tmp_path / "pages" / f"{os.path.basename(sam)}.readqc.html").read_text(encoding="utf-8")
     with pytest.raises(ValueError, match="no such folder"):
-        report(spark, sam, outdir="viewfs://reads/pages/none")
+        report(spark, sam, outdir="viewfs://sink/pages/none")
 
 
 def test_plans_are_built_without_jobs(spark):
