@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.operators.reads import RAW
+from readqc.sources import blocks
 from readqc.sources.records import Names, plain, read_bam, read_fastq
 
 # Name endings and what they hold. The second list is accepted beyond the usual names.
@@ -50,35 +51,49 @@ def read(spark: SparkSession, path: str | list[str], kind: str | None = None, mo
     paths = [path] if isinstance(path, str) else list(path)
     kind = kind or file_type(paths[0])
     names = Names({address(spark, p): p for p in paths})
-    if kind == "fasta":
-        rows = read_fasta(spark, paths, names)
-    elif kind == "sam":
-        rows = read_sam(spark, paths, names)
-    elif kind in ("bam", "fastq"):
-        rows = (read_bam if kind == "bam" else read_fastq)(spark, paths, names, mode, alone)
-    else:
+    if kind not in ("sam", "bam", "fasta", "fastq"):
         raise ValueError(f"unknown file type: {paths[0]}")
+    usual, blocked = (paths, []) if kind == "bam" else blocks.parted(spark, paths)
+    found = []
+    if usual and kind in ("bam", "fastq"):
+        found.append((read_bam if kind == "bam" else read_fastq)(spark, usual, names, mode, alone))
+    elif usual:
+        found.append((read_sam if kind == "sam" else read_fasta)(spark, usual, names))
+    if blocked:
+        rows = blocks.read(spark, blocked, kind, names, mode, alone)
+        found.append(rows if kind == "fastq" else (_sam if kind == "sam" else _fasta)(rows))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     if issues:
         return rows
     whole = F.col("issue").isNull()
-    if mode == "FAILFAST" and kind != "fasta":
+    if mode == "FAILFAST" and (kind != "fasta" or blocked):
         whole = F.when(whole, True).otherwise(F.raise_error(F.concat_ws(" ", "issue", F.lit("in"), "file")))
     return rows.where(whole).drop("issue", "lost")
 
 
-def _named(names: Names, *columns: Column) -> list[Column]:
-    made = ("read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
+def _lines(rows: DataFrame, names: Names) -> DataFrame:
+    """What the text reader gives, in the columns blocks.TEXT."""
     f = F.col("_metadata.file_path")
     given = F.lit(names.only) if names.only else F.coalesce(F.create_map(*(F.lit(x) for pair in names.known.items() for x in pair))[F.regexp_replace(f, "^file:///", "file:/")], f)
-    return [given.alias("file"), *(c.alias(n) for c, n in zip(columns, made))]
+    return rows.select(given.alias("file"), "value", _missing("string").alias("issue"), _missing("long").alias("lost"))
+
+
+def _named(*columns: Column) -> list[Column]:
+    made = ("read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned")
+    return [F.col("file"), *(c.alias(n) for c, n in zip(columns, made))]
 
 
 def read_sam(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
-    """SAM text, split by bytes into tasks. Only the columns that profiles use are taken out of a line."""
-    lines = spark.read.text(paths).where(~F.col("value").startswith("@") & (F.length("value") > 0))
+    """SAM text, split by bytes into tasks."""
+    return _sam(_lines(spark.read.text(paths), names))
+
+
+def _sam(lines: DataFrame) -> DataFrame:
+    """Lines as records. Only the columns that profiles use are taken out of a line."""
+    lines = lines.where(F.col("issue").isNotNull() | ~F.col("value").startswith("@") & (F.length("value") > 0))
     x = F.split("value", "\t", 12)
     at = lambda i: F.try_element_at(x, F.lit(i))
-    whole = (F.size(x) >= 11) & at(2).rlike("^[0-9]+$") & at(5).rlike("^[0-9]+$")
+    whole = F.col("value").isNotNull() & (F.size(x) >= 11) & at(2).rlike("^[0-9]+$") & at(5).rlike("^[0-9]+$")
     own = lambda c: F.when(whole, c)
     md = F.regexp_extract(F.coalesce(at(12), F.lit("")), r"(?:^|\t)MD:Z:([^\t]*)", 1)
     nm = F.regexp_extract(F.coalesce(at(12), F.lit("")), r"(?:^|\t)NM:i:(-?[0-9]+)", 1).try_cast("int")
@@ -86,7 +101,8 @@ def read_sam(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
     mapped = flag.bitwiseAND(F.lit(4)) == 0
     present = lambda c: F.when(c != "*", c)
     columns = (at(1), flag, at(5).try_cast("int"), present(at(6)), F.when(at(10) == "*", "").otherwise(at(10)), present(at(11)), F.when(mapped & (md != ""), md), F.lit(True))
-    return lines.select(*_named(names, *map(own, columns)), F.when(~whole, "broken SAM record").alias("issue"), F.when(~whole, F.octet_length("value") + 1).cast("long").alias("lost"), own(F.when(mapped, nm)).alias("nm"))
+    issue, lost = F.when(~whole, "broken SAM record"), F.when(~whole, F.octet_length("value") + 1).cast("long")
+    return lines.select(*_named(*map(own, columns)), F.coalesce("issue", issue).alias("issue"), F.coalesce("lost", lost).alias("lost"), own(F.when(mapped, nm)).alias("nm"))
 
 
 def _missing(kind: str) -> Column:
@@ -95,13 +111,17 @@ def _missing(kind: str) -> Column:
 
 def read_fasta(spark: SparkSession, paths: list[str], names: Names) -> DataFrame:
     """FASTA text: each record is what stands up to a line end before the next >, so plain files are split by bytes."""
-    records = spark.read.option("lineSep", "\n>").text(paths)
+    return _fasta(_lines(spark.read.option("lineSep", "\n>").text(paths), names))
+
+
+def _fasta(records: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("value", r"^>", ""), r"\r", "")
     head = F.substring_index(text, "\n", 1)
     seq = F.regexp_replace(F.substring(text, F.length(head) + 2, F.length(text)), r"\s", "")
-    rows = records.where(F.length(F.trim("value")) > 0)
-    columns = (F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), F.lit(False))
-    return rows.select(*_named(names, *columns), _missing("string").alias("issue"), _missing("long").alias("lost"), _missing("int").alias("nm"))
+    rows = records.where(F.col("issue").isNotNull() | (F.length(F.trim("value")) > 0))
+    aligned = F.when(F.col("issue").isNull(), False)
+    columns = (F.regexp_extract(head, r"^\s*(\S*)", 1), _missing("int"), _missing("int"), _missing("string"), seq, _missing("string"), _missing("string"), aligned)
+    return rows.select(*_named(*columns), "issue", "lost", _missing("int").alias("nm"))
 
 
 def asked(n: int, mode: str = "exact", block: int = 10_000) -> int:

@@ -56,6 +56,8 @@ LONGEST, SOUGHT = 1 << 16, 1 << 18
 GIVEN_UP = b"\2"
 #: Marks among chunks of bytes: the end, and a place where a record must begin.
 _FINAL, _EDGE = "final", "edge"
+#: And one where it isn't known any more where a record begins.
+_LOST = "lost"
 
 _NAMES = ("file", "read_id", "flag", "mapq", "cigar", "seq", "qual", "md", "is_aligned", "issue", "lost", "nm")
 _TYPES = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32())
@@ -83,9 +85,9 @@ def plain(address: str) -> str:
     return "file:/" + address[8:] if address.startswith("file:///") else address
 
 
-def _pieces(spark: SparkSession, path: list[str], separator: bytes | None = None) -> DataFrame:
+def _pieces(spark: SparkSession, path: list[str], separator: bytes | None = None, options: dict | None = None) -> DataFrame:
     """f, start (of the split) and x (bytes) of every line."""
-    reader = spark.read
+    reader = spark.read.options(**options or {})
     if separator:
         reader = reader.option("lineSep", separator.decode("latin-1")).option("encoding", "ISO-8859-1")
     return reader.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("x"))
@@ -156,13 +158,13 @@ def _alone(found, whole, names: Names):
     return run
 
 
-def _read(spark: SparkSession, paths: list[str], separator: bytes | None, found, whole, names: Names, alone: bool) -> DataFrame:
-    pieces = _pieces(spark, paths, separator)
+def _read(spark: SparkSession, paths: list[str], separator: bytes | None, found, whole, names: Names, alone: bool, schema: str | None = None, options: dict | None = None) -> DataFrame:
+    pieces, schema = _pieces(spark, paths, separator, options), schema or ROWS
     if alone:
-        return pieces.mapInArrow(_alone(found, whole, names), ROWS)
+        return pieces.mapInArrow(_alone(found, whole, names), schema)
     n = max(1, min(200, spark.sparkContext.defaultParallelism))
     parts = pieces.mapInArrow(_reading(found, names, True), FRAGMENT).repartition(n, "f").sortWithinPartitions("f", "start", "place")
-    return pieces.mapInArrow(_reading(found, names, False), ROWS).unionByName(parts.mapInArrow(_stitching(whole, names), ROWS))
+    return pieces.mapInArrow(_reading(found, names, False), schema).unionByName(parts.mapInArrow(_stitching(whole, names), schema))
 
 
 # FASTQ
@@ -204,6 +206,7 @@ class _Broken(Exception):
 
 
 BROKEN = "broken FASTQ record"
+DAMAGED = "damaged block, or the file was cut"
 
 
 def _fastq_whole(lines: list, permissive: bool) -> tuple[list, int, int]:
@@ -437,7 +440,7 @@ def _walk(chunks: Iterator, path: str, permissive: bool, header: bool, lost: boo
     data, at, rows, headed, searched = bytearray(), 0, [], not lost, SEARCHED
     for chunk in itertools.chain(chunks, [_FINAL]):
         if isinstance(chunk, tuple):  # a gap: what is open is lost
-            yield _issue(path, "damaged block, or the file was cut", chunk[1] + len(data) - at)
+            yield _issue(path, DAMAGED, chunk[1] + len(data) - at)
             if not permissive:
                 return
             if not headed:
@@ -502,13 +505,23 @@ def _walk(chunks: Iterator, path: str, permissive: bool, header: bool, lost: boo
         yield TAIL, bytes(data[at:])
 
 
+def _bam_walk(permissive: bool):
+    return lambda chunks, path, first, light: _walk(chunks, path, permissive, first, not first, light)
+
+
 def _bam(permissive: bool):
+    return in_blocks(_bam_walk(permissive), _issue, permissive)
+
+
+def in_blocks(walk, issue, permissive: bool):
+    """What a split of a file in blocks holds. walk(chunks, path, first, light) gives batches, and fragments as (place, bytes)."""
+
     def found(pieces: Iterator[pa.Array], first: bool, path: str, light: bool) -> Iterator:
         stream = (p for x in pieces for p in x.to_pylist())
         early, rest, closed = [], b"", False
         if first:
             if next(stream, None):
-                yield _issue(path, "not a BAM file", 0)
+                yield issue(path, "not a BAM file", 0)
                 return
         else:
             while True:
@@ -537,7 +550,7 @@ def _bam(permissive: bool):
                     closed = not x
                     yield x
 
-        for x in _walk(chunks(), path, permissive, first, not first, light):
+        for x in walk(chunks(), path, first, light):
             yield x
             if not permissive and not isinstance(x, tuple) and x.column("issue")[0].is_valid:
                 yield END, GIVEN_UP
@@ -549,7 +562,7 @@ def _bam(permissive: bool):
     return found
 
 
-def _bam_stitched(permissive: bool):
+def blocks_stitched(walk, issue, permissive: bool):
     def whole(fragments: Iterator[tuple], path: str) -> Iterator[pa.RecordBatch]:
         """Between two splits: what was open, the block that was cut, what stands before the next one's first block and record."""
         closed, ended = False, False
@@ -574,7 +587,7 @@ def _bam_stitched(permissive: bool):
                         yield _EDGE
                 elif place == TAIL:
                     yield _EDGE
-                    yield data
+                    yield _LOST if data is None else data
                 elif data == GIVEN_UP:
                     return
                 else:
@@ -583,18 +596,18 @@ def _bam_stitched(permissive: bool):
             yield _EDGE
             ended = True
 
-        for x in _walk(chunks(), path, permissive, True, False, False):
+        for x in walk(chunks(), path, True, False):
             if not isinstance(x, tuple):
                 yield x
         if ended and not closed:
-            yield _issue(path, "the file was cut: it lacks the empty block that closes a BAM file", 0)
+            yield issue(path, "the file was cut: it lacks the empty block that closes it", 0)
 
     return whole
 
 
 def read_bam(spark: SparkSession, paths: list[str], names: Names, mode: str = "FAILFAST", alone: bool = False) -> DataFrame:
     permissive = mode != "FAILFAST"
-    return _read(spark, paths, MAGIC, _bam(permissive), _bam_stitched(permissive), names, alone)
+    return _read(spark, paths, MAGIC, _bam(permissive), blocks_stitched(_bam_walk(permissive), _issue, permissive), names, alone)
 
 
 def _bam_batch(rows: list, path: str) -> pa.RecordBatch:
