@@ -358,6 +358,24 @@ def test_density(spark):
     assert math.isclose(float(full[3:].sum() * (x[1] - x[0])), 1, rel_tol=1e-3)
 
 
+def test_density_of_many_lengths(spark):
+    """Against the plain form where that is quick; half a million lengths of one class are spread over groups of a tile's cells."""
+    r = np.random.default_rng(5)
+    lens = [np.unique(r.integers(1, 90, 300)), np.unique(r.lognormal(8, 1, 3_000).astype(int)), np.array([7, 7_000_000]), np.array([5, 6]), np.arange(100, 104), np.unique(np.concatenate((r.integers(1, 50, 40), r.integers(10**6, 10**6 + 5_000, 900))))]
+    rows = [(1 + (i > 2), i, int(x), int(n)) for i, some in enumerate(lens) for x, n in zip(some, r.integers(1, 10**6 if i % 2 else 4, len(some)))]
+    frame = spark.createDataFrame(rows, "read_no int, mapq_bin int, len int, n long").repartition(3)
+    got = {(x.mapq_bin, x.len): x.density for x in D.length_density(frame).collect()}
+    assert len(got) == len(rows)
+    for i, some in enumerate(lens):
+        n = np.array([float(x[3]) for x in rows if x[1] == i])
+        want, have = D.density(some.astype(float), n), np.array([got[i, int(x)] for x in some])
+        assert np.abs(want - have).max() < 1e-12 * max(want.max(), 1)
+    many = spark.range(500_000).select(F.lit(1).alias("read_no"), F.lit(0).alias("mapq_bin"), (F.col("id") * 3 + 20).cast("int").alias("len"), (F.col("id") % 7 + 1).alias("n"))
+    inner = D.length_density(many).where("len between 600000 and 900000")
+    x = inner.agg(F.min("density"), F.max("density"), F.count("*")).first()
+    assert x[2] == 100_000 and abs(x[0] * 1.5e6 - 1) < 1e-3 and abs(x[1] * 1.5e6 - 1) < 1e-3
+
+
 def test_totals_match(spark, sam):
     reads = derive(read(spark, sam)).cache()
     at = {(r.read_no, r.mapq_bin, r.pos): r.n for r in P.bases(reads).groupBy("read_no", "mapq_bin", "pos").agg(F.sum("n").alias("n")).collect()}
