@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.functions import reads as R
@@ -109,39 +109,32 @@ def density(points: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _quantiles(rows: DataFrame, stats: DataFrame, by: list) -> DataFrame:
-    """by, low, high: the quarters of each class, interpolated between lengths at their shares up to there. Sums of ranges of STEP
-    lengths say in which range a quarter lies; only that range is looked into."""
-    rows = rows.where("n > 0").withColumn("_r", F.floor(F.col("len") / STEP))
-    at = Window.partitionBy(*by).orderBy("_r")
-    ranges = rows.groupBy(*by, "_r").agg(F.sum("n").alias("own"), F.max("len").alias("last"))
-    ranges = ranges.withColumns({"before": F.sum("own").over(at) - F.col("own"), "last": F.lag("last").over(at)}).join(stats.select(*by, "total"), by)
-    asked = ranges.withColumn("p", F.explode(F.array(F.lit(0.25), F.lit(0.75)))).withColumn("_w", F.col("p") * F.col("total"))
-    asked = asked.where("before <= _w AND before + own > _w")
-    inside = asked.join(rows.select(*by, "_r", "len", "n"), [*by, "_r"])
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "p").orderBy("len"))  # STEP rows at most
-    inside = inside.withColumn("upto", upto).withColumn("over", F.col("upto") > F.col("_w"))
-    ends = inside.groupBy(*by, "p").agg(
-        F.min(F.when(F.col("over"), F.col("len"))).alias("len2"),
-        F.min(F.when(F.col("over"), F.col("upto"))).alias("upto2"),
-        F.coalesce(F.max(F.when(~F.col("over"), F.col("len"))), F.max("last")).alias("len1"),
-        F.coalesce(F.max(F.when(~F.col("over"), F.col("upto"))), F.max("before")).alias("upto1"),
-        F.max("_w").alias("_w"),
-    )
-    value = F.coalesce(F.col("len1") + (F.col("len2") - F.col("len1")) * (F.col("_w") - F.col("upto1")) / (F.col("upto2") - F.col("upto1")), F.col("len2").cast("double"))
-    return ends.groupBy(*by).agg(F.max(F.when(F.col("p") == 0.25, value)).alias("low"), F.max(F.when(F.col("p") == 0.75, value)).alias("high"))
-
-
 def bandwidths(counts: DataFrame, by: list) -> DataFrame:
-    """by, total, kinds (distinct lengths), width: Silverman's bandwidth of each class of lengths."""
-    x, n = F.col("len").cast("double"), F.col("n")
-    stats = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), (F.sum(x * n) / F.sum("n")).alias("mean"))
-    around = (F.col("len") - F.col("mean")) * (F.col("len") - F.col("mean"))
-    spread = counts.join(stats.select(*by, "mean"), by).groupBy(*by).agg(F.sqrt(F.sum(around * n) / F.sum("n")).alias("spread"))
-    found = stats.join(spread, by).join(_quantiles(counts, stats, by), by, "left")
-    range_ = (F.col("high") - F.col("low")) / 1.349
-    scale = F.when(range_ > 0, F.least("spread", range_)).otherwise(F.col("spread"))
-    return found.select(*by, "total", "kinds", (0.9 * scale * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("width"))
+    """by, total, kinds (distinct lengths), width: Silverman's bandwidth of each class of lengths. Sums of ranges of STEP lengths
+    give the deviation, and say in which range a quarter lies; only that range is looked into. Quarters are interpolated
+    between lengths at their shares up to there."""
+    rows = counts.withColumn("_r", F.floor(F.col("len") / STEP))
+    own, n, at = F.col("own"), F.col("n").cast("double"), F.col("len") - F.col("_r") * STEP
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_r")  # ranges of a class, not its lengths
+    ranges = rows.groupBy(*by, "_r").agg(F.sum("n").alias("own"), F.count("*").alias("k"), F.max("len").alias("last"), F.sum(at * n).alias("s1"), F.sum(at * at * n).alias("s2"))
+    ranges = ranges.withColumns({"total": F.sum(own).over(whole), "kinds": F.sum("k").over(whole), "before": F.sum(own).over(upto) - own, "last": F.lag("last").over(upto)})
+    ranges = ranges.withColumn("off", F.col("_r") * STEP - F.sum(F.col("_r") * STEP * own.cast("double") + F.col("s1")).over(whole) / F.col("total"))
+    ranges = ranges.withColumn("spread", F.sqrt(F.sum(F.col("s2") + 2 * F.col("s1") * F.col("off") + own * F.col("off") * F.col("off")).over(whole) / F.col("total")))
+    asked = ranges.withColumn("p", F.explode(F.array(F.lit(0.25), F.lit(0.75)))).withColumn("_w", F.col("p") * F.col("total")).where("before <= _w AND before + own > _w")
+    inside = asked.select(*by, "_r", "p", "_w", "before", "last", "total", "kinds", "spread").join(rows.select(*by, "_r", "len", "n"), [*by, "_r"])
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*by, "p").orderBy("len"))).withColumn("over", F.col("upto") > F.col("_w"))  # STEP rows at most
+
+    def end(p: float) -> Column:
+        """The quarter p: between the first length beyond it and the last one before, in this range or an earlier one."""
+        here = F.col("p") == p
+        next_, its = (F.min(F.when(here & F.col("over"), F.col(c))) for c in ("len", "upto"))
+        last, sum_ = (F.coalesce(F.max(F.when(here & ~F.col("over"), F.col(c))), F.max(F.when(here, F.col(d)))) for c, d in (("len", "last"), ("upto", "before")))
+        return F.coalesce(last + (next_ - last) * (F.max(F.when(here, F.col("_w"))) - sum_) / (its - sum_), next_.cast("double"))
+
+    range_ = (end(0.75) - end(0.25)) / 1.349
+    spread, total = F.max("spread"), F.max("total")
+    scale = F.when(range_ > 0, F.least(spread, range_)).otherwise(spread)
+    return inside.groupBy(*by).agg(total.alias("total"), F.max("kinds").alias("kinds"), (0.9 * scale * F.pow(total.cast("double"), F.lit(-0.2))).alias("width"))
 
 
 def _hermite(z: np.ndarray, n: int) -> np.ndarray:
@@ -186,7 +179,7 @@ def length_density(counts: DataFrame, by=KEY) -> DataFrame:
     cells and their neighbours make a polynomial for each cell, and each length takes its own cell's. No group is larger than
     a tile, whatever the number of lengths. A cell reaches a quarter of a bandwidth from its middle, so the terms left out are under
     0.25**TERMS / sqrt(TERMS!) and cells left out (over 9 bandwidths away) under 1e-17 of the kernel's height: together less
-    than the rounding of doubles. A class of one length has density 1; one without reads null."""
+    than the rounding of doubles. A class of one length has density 1; one without reads no rows."""
     by = list(by)
     kinds = dict(counts.dtypes)
     known = counts.join(bandwidths(counts, by), by)
