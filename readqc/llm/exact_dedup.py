@@ -1,12 +1,14 @@
 """Operator 3: exact dedup with a heavy-hitter split.
 
-1. Every row becomes (doc_id, SHA-256 of the text); only these 40 bytes go on, as a table in the shared folder.
+1. Every row becomes (doc_id, SHA-256 of the text, a number of its own); only these 48 bytes go on, as a table in
+   the shared folder.
 2. Each partition keeps a Misra-Gries summary of at most ``counters`` digests; the summaries are added up
    (a digest with more than rows/counters rows is in at least one of them) and the ``counters`` largest
    sums are the candidates: a bounded list, whatever the input.
-3. One pass with map-side aggregation counts the candidates exactly and finds their winners. Those that
-   are truly frequent are broadcast (at most ``counters`` rows), and their rows are settled without a shuffle.
-4. All other digests use an ordinary shuffle by digest, where no group is large.
+3. One pass with map-side aggregation counts the candidates exactly and finds their winners, a row each. Those
+   that are truly frequent are broadcast (at most ``counters`` rows), and their rows are settled without a shuffle.
+4. All other digests use an ordinary shuffle by digest: winners and counts by map-side aggregation, joined back. A
+   digest there has at most rows/counters rows, which the join reads as a stream; none are sorted or held as a group.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays, a null
 doc_id is smaller than any other; of rows that repeat the winner's doc_id and text exactly one stays, in ``dedup`` the first by
@@ -43,32 +45,29 @@ def _summary(counters: int):
     return run
 
 
+def _settled(digests: DataFrame) -> DataFrame:
+    """n, keep_id and keep_row (the number of the row that stays) of each digest; a null doc_id is the least."""
+    found = digests.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"))
+    return found.select("digest", "n", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
+
+
 def heavy_hitters(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Exact n and keep_id of the frequent digests: those with over rows/counters rows are all here."""
+    """Exact n, keep_id and keep_row of the frequent digests: those with over rows/counters rows are all here."""
     summed = digests.select("digest").mapInArrow(_summary(counters), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     candidates = summed.where("n > 1").orderBy(F.desc("n"), "digest").limit(counters).select("digest")
-    return digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+    return _settled(digests.join(F.broadcast(candidates), "digest"))
 
 
 def mark(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest")))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"))
+    digests = materialize(numbered)  # read several times, numbered once
     heavy = materialize(heavy_hitters(digests, counters))
-    frequent = digests.join(F.broadcast(heavy), "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
-    # rows that repeat the winner itself: number them
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    again = Window.partitionBy("digest").orderBy("doc_id")
-    winners = frequent.where(top).withColumn("kept", F.row_number().over(again) == 1)
-    losers = frequent.where(~top).withColumn("kept", F.lit(False))
-    group = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "doc_id",
-        "digest",
-        F.max("doc_id").over(group).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.desc_nulls_last("doc_id"))) == 1).alias("kept"),
-    )
-    return winners.unionByName(losers).unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    frequent = digests.join(F.broadcast(heavy), "digest")
+    rare = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    both = frequent.unionByName(rare.join(_settled(rare).hint("merge"), "digest"))
+    return both.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:

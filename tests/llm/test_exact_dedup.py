@@ -46,7 +46,7 @@ def test_clashing_columns_are_carried(spark):
 def test_summary_has_every_frequent_digest(spark):
     r = random.Random(1)
     values = [r.choice([b"a", b"b", *(str(r.random()).encode() for _ in range(4))]) for _ in range(3000)]
-    frame = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "doc_id long, digest binary").repartition(7)
+    frame = spark.createDataFrame([(i, bytearray(v), i) for i, v in enumerate(values)], "doc_id long, digest binary, row long").repartition(7)
     found = {bytes(x.digest): x.n for x in heavy_hitters(frame, 8).collect()}
     for v, n in Counter(values).items():
         if n > len(values) / 8:
@@ -63,3 +63,13 @@ def test_which_row_stays_does_not_depend_on_partitions(spark):
     found = [sorted(map(str, X.dedup(docs.repartition(n)).collect())) for n in (2, 3, 5, 7)]
     assert len(found[0]) == 4 and all(f == found[0] for f in found)
     assert "source='s0', n=0" in found[0][0]
+
+
+def test_no_group_of_rows_is_sorted(spark, capsys):
+    """A document that is repeated as a whole by most rows: one copy stays, and no window gathers the others."""
+    rows = [(5, "same")] * 3000 + [(4, "same"), (None, "same")] + [(i, f"t{i}") for i in range(10, 40)] + [(70, "few")] * 9
+    marked = mark(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert sorted(map(tuple, marked.collect()), key=str) == brute(rows)
+    marked.explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
