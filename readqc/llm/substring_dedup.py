@@ -21,8 +21,12 @@ A table with a row for every k-mer edge, compacted by joins, would be some five
 hold the same edges in runs, and runs of the same source are what its nonbranching paths would become.
 
 Equal pieces are resolved inside each slice of text before the shuffle, so a passage that a third of
-all documents share adds one row for each slice, not for each document. Rows reach the Python side
-sorted by Spark (which spills) and are read as a stream; no group is held in memory.
+all documents share adds one row for each slice, not for each document. An anchor with more than
+NEIGHBOURS different pieces inside one slice branches for certain: these pieces go to the comparison of
+windows at once, dealt by document, and only a sign (two rows without windows) meets the anchor's other
+pieces, which then branch, too. So a hot anchor sends at most NEIGHBOURS + 2 rows from each slice to
+one task. Rows reach the Python side sorted by Spark (which spills) and are read as a stream; no group
+is held in memory.
 
 Defined results: null text: no words; fewer than ``window`` words: nothing removed; coordinates are
 (doc_id, start), a null doc_id is the smallest; rows that repeat a doc_id are read each by itself, and
@@ -46,6 +50,8 @@ from readqc.llm.words import BASE_B, as_bytes, hashed, inside, mix, ngrams, sign
 ANCHOR = 8
 LOWEST = -(2**63)
 REPEATED, BRANCHING, CANDIDATE = 1, 2, 0
+#: Different pieces of one anchor in a slice of text (some 50,000 pieces) up to which they meet the others of the anchor.
+NEIGHBOURS = 64
 #: Seeds that are tried until all spans are verified.
 SEEDS = 4
 #: src: CRC and start of the source of what is repeated, in one number; of rows of kind REPEATED span is the source's doc_id.
@@ -80,8 +86,14 @@ def _place(tag: np.ndarray, start: np.ndarray) -> np.ndarray:
     return tag.astype(np.int64) << 32 | start.astype(np.int64)
 
 
-def _emit(key, span, doc, tag, start, n) -> Iterator[pa.RecordBatch]:
-    """Resolve equal (key, span) inside this slice, whose rows come in order of coordinates."""
+def _home(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A key of the document's own, for rows that meet no others."""
+    return signed(mix(doc.view(np.uint64) + tag.view(np.uint32).astype(np.uint64)))
+
+
+def _emit(key, span, doc, tag, start, n, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Resolve equal (key, span) inside this slice, whose rows come in order of coordinates. Of keys with over ``most`` spans
+    each piece branches; two spans without windows say so to the key."""
     order = np.lexsort((np.arange(len(key)), span, key))
     k, s = key[order], span[order]
     new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
@@ -89,6 +101,16 @@ def _emit(key, span, doc, tag, start, n) -> Iterator[pa.RecordBatch]:
     first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
     repeated = (doc != doc[first]) | (start != start[first])
     keep = ~repeated
+    if most is not None:
+        own = k[new]  # once for each of its spans
+        ends = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True])))
+        hot = own[ends][np.diff(np.concatenate(([-1], ends))) > most]
+        if len(hot):
+            away = keep & np.isin(key, hot)
+            keep &= ~away
+            m, none = int(away.sum()), np.zeros(2 * len(hot), np.int64)
+            yield _rows(_OF_PIECES, _home(doc[away], tag[away]), np.zeros(m, np.int64), doc[away], tag[away], start[away], n[away], np.full(m, BRANCHING), np.zeros(m, np.int64))
+            yield _rows(_OF_PIECES, signed(np.repeat(hot, 2)), np.tile([0, 1], len(hot)), none, none, none, none, np.full(len(none), CANDIDATE), none)
     yield _rows(_OF_PIECES, signed(key[keep]), signed(span[keep]), doc[keep], tag[keep], start[keep], n[keep], np.full(keep.sum(), CANDIDATE), np.zeros(keep.sum(), np.int64))
     at = np.flatnonzero(repeated)
     if not len(at):
@@ -99,8 +121,7 @@ def _emit(key, span, doc, tag, start, n) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(np.concatenate(([True], ~joins)))
     total = np.add.reduceat(m, heads)
     d, t, s, sd, st, ss = (x[heads] for x in (d, t, s, sd, st, ss))
-    home = signed(mix(d.view(np.uint64) + t.view(np.uint32).astype(np.uint64)))
-    yield _rows(_OF_PIECES, home, sd, d, t, s, total, np.full(len(d), REPEATED), _place(st, ss))
+    yield _rows(_OF_PIECES, _home(d, t), sd, d, t, s, total, np.full(len(d), REPEATED), _place(st, ss))
 
 
 def _pieces(window: int, seed: int):
@@ -120,7 +141,7 @@ def _pieces(window: int, seed: int):
             a, z = starts[heads], starts[heads + n - 1]
             span = mix(wide[a] * np.uint64(3) + mix(wide[z]) + n.astype(np.uint64))
             row = np.searchsorted(at, a, side="right") - 1
-            yield from _emit(small[anchor[heads]], span, ids[row], _tags(texts)[row], (a - at[row]).astype(np.int32), n.astype(np.int32))
+            yield from _emit(small[anchor[heads]], span, ids[row], _tags(texts)[row], (a - at[row]).astype(np.int32), n.astype(np.int32), NEIGHBOURS)
 
     return run
 
@@ -161,9 +182,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             continue
         k, s, d, t, b, n, kind, src = (batch.column(c).to_numpy(zero_copy_only=False) for c in _OF_PIECES)
-        through = kind == REPEATED
+        through = kind != CANDIDATE
         if through.any():
-            yield _rows(names, d[through], t[through], b[through], n[through], np.full(through.sum(), REPEATED), s[through], src[through])
+            yield _rows(names, d[through], t[through], b[through], n[through], kind[through], s[through], src[through])
             k, s, d, t, b, n = (x[~through] for x in (k, s, d, t, b, n))
         if not len(k):
             continue
@@ -201,7 +222,7 @@ def _resolved(pieces: DataFrame) -> DataFrame:
 
 
 def _by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("s")).select("doc_id", "tag", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"))
+    return spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("s")).select("doc_id", "tag", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"))
 
 
 def paths(spans: DataFrame) -> DataFrame:
@@ -288,7 +309,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
 
 
 def _found(keyed: DataFrame, window: int, seed: int) -> DataFrame:
-    found = materialize(_resolved(keyed.select("doc_id", "text").mapInArrow(_pieces(window, seed), PIECES)))
+    found = materialize(_resolved(keyed.select("doc_id", "text").mapInArrow(_pieces(window, seed), PIECES)).where("n > 0"))
     branching = _by_document(found.where(F.col("kind") == BRANCHING))
     texts = keyed.join(branching.hint("shuffle_hash"), ["doc_id", "tag"])
     single = _resolved(texts.mapInArrow(_windows(window, seed), PIECES))

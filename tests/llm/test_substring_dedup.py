@@ -93,3 +93,42 @@ def test_edges(spark):
     assert sorted(map(tuple, got.drop("kept_text").collect()), key=str) == brute(rows)
     empty = remove_repeats(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
+
+
+def hot_anchor(n):
+    """Documents around one rare passage of eight words, every one with neighbours of its own, some with a repeat."""
+    hot = next(p for p in (" ".join(f"h{k}x{i}" for i in range(8)) for k in range(2000)) if substring_dedup.ngrams(substring_dedup.word_hashes([p.encode()])[0], 8)[0] < 2**54)
+    rows = [(d, " ".join(f"a{d}w{i}" for i in range(14)) + f" {hot} " + " ".join(f"b{d}w{i}" for i in range(14))) for d in range(n)]
+    return rows + [(n + d, f"start{d} " + rows[d * 7][1]) for d in range(n // 50)]
+
+
+def test_a_hot_anchor_is_spread(spark, monkeypatch):
+    from collections import Counter
+
+    rows = hot_anchor(3000)
+    batch = substring_dedup.pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}).to_batches()
+    sent = Counter(k for out in substring_dedup._pieces(20, 0)(iter(batch)) for k in out.column("key").to_pylist())
+    assert max(sent.values()) <= substring_dedup.NEIGHBOURS + 2
+    monkeypatch.setattr(substring_dedup, "NEIGHBOURS", 10**9)
+    sent = Counter(k for out in substring_dedup._pieces(20, 0)(iter(batch)) for k in out.column("key").to_pylist())
+    assert max(sent.values()) >= 3000  # it would be one task's
+    monkeypatch.undo()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=False)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_few_neighbours_a_slice(spark, monkeypatch):
+    """With hot anchors in some slices and not in others, results are the same."""
+    for most in (1, 2):
+        monkeypatch.setattr(substring_dedup, "NEIGHBOURS", most)
+        rows = corpus(11 + most) + [(10_000 + d, t) for d, t in hot_anchor(40)]
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), with_text=False)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_a_document_that_is_repeated_as_a_whole_very_often(spark):
+    text = " ".join(f"v{i % 700}" for i in range(1000))
+    frame = spark.range(20_000).selectExpr("id * 0 + 3 AS doc_id", f"'{text}' AS text").repartition(4)
+    one = brute([(3, text)])[0]
+    got = remove_repeats(frame, with_text=False).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    assert [tuple(r) for r in got] == [(*one, 20_000)]
