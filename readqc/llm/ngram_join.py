@@ -11,7 +11,9 @@ its tokens have entries there. The matrix is kept sparse and used at two levels.
    tokens that others have too; where that is too little, it is done. Of the rest, the rarest tokens that any link
    must touch are kept (both sides of a link need s common tokens, so one is among the len - s + 1 rarest).
    A token that very many classes have (found by Misra-Gries summaries) never meets in one task: its entries
-   take their count from a broadcast list, and equal lengths of a token are drawn together before the shuffle.
+   take their count from a broadcast list of bounded size, and equal lengths of a token are drawn together before
+   the shuffle. Tokens beyond that list are counted in buckets, as streams: a bucket sends on the entries of a token
+   that has reached COMMON at once, with that as their count, and holds only what is still rare.
 3. Documents that share such a token (and have lengths that can link) are put in one group: no link crosses
    groups. A group too large for one task goes through steps 2 and 3 once more by itself, now with whole sets and
    counts inside the group, which dissolves groups that only a common passage held together. What is still too
@@ -37,6 +39,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,13 @@ from readqc.llm.words import as_bytes, mix, ngrams, slices, word_hashes
 
 SHINGLE, SURE, SHARED = 5, 128, 64
 LOWEST = -(2**63)
-#: Of t entries, the tokens that have over t / k of them are heavy, where k is t / HEAVY, or COUNTERS if that is more:
-#: fewer than k tokens, which are broadcast (16 bytes each), and no other has over 2 * HEAVY entries at any size.
-HEAVY, COUNTERS = 1_000_000, 1_024
+#: Of t entries, the tokens that have over t / k of them are heavy, where k is t / HEAVY, but COUNTERS at least and
+#: MAX_COUNTERS at most: fewer than k tokens are broadcast (12 bytes each, 786 KB at any size). Beyond 6.5e10 entries a
+#: token that isn't heavy can have over 2 * HEAVY, which its bucket reads as a stream.
+HEAVY, COUNTERS, MAX_COUNTERS = 1_000_000, 1_024, 65_536
+#: Counts from which all tokens are alike, entries that a bucket holds before it looks for such tokens, and partitions of
+#: a shuffle: where there are more buckets, a partition has several, sorted, and takes one at a time.
+COMMON, HELD, MAX_PARTS = 65_536, 2_000_000, 20_000
 #: Tokens of a packed batch, of a partition, and of a chunk; rows up to which a list of ids is broadcast.
 BATCH_TOKENS, PART_TOKENS, CHUNK_TOKENS, BROADCAST_IDS = 250_000, 400_000, 750_000, 1_000_000
 NODES = "doc_id long, n int, s1 long, s2 long, first long, tokens binary"
@@ -116,9 +123,10 @@ def _scatter(bucket: np.ndarray, parts: int, columns: list) -> Iterator[tuple]:
     order = np.argsort(bucket, kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=parts))
     columns = [c[order] for c in columns]
-    for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
-        if b > a:
-            yield i, b"".join(c[a:b].tobytes() for c in columns)
+    starts = np.concatenate(([0], ends[:-1]))
+    for i in np.flatnonzero(ends > starts).tolist():
+        a, b = starts[i], ends[i]
+        yield i, b"".join(c[a:b].tobytes() for c in columns)
 
 
 def _packed(found, kind: int = 0) -> Iterator[pa.RecordBatch]:
@@ -178,7 +186,7 @@ def _summary(counters: int):
 def heavy_tokens(classes: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The heavy tokens in order (fewer than k, see HEAVY) and what the summaries say of their counts: the same for all
     entries of a token, which is all that an order needs."""
-    k = max(COUNTERS, total // HEAVY + 1)
+    k = min(MAX_COUNTERS, max(COUNTERS, total // HEAVY + 1))
     summed = classes.select("doc_id", "n", "tokens").mapInArrow(_summary(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = summed.where(F.col("n") > max(total // k, 1)).toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
@@ -211,27 +219,64 @@ def _entries(parts: int, heavy):
     return run
 
 
-def _shared(parts: int):
-    """Counts the entries of each token and sends those that others have, too, to the buckets of their documents."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(bucket, its batches) of rows that come bucket by bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = []
+    def runs():
         for batch in batches:
-            through = batch.filter(pa.compute.equal(batch.column("kind"), 1))
-            if len(through):
-                yield through
-            plain.append(batch.filter(pa.compute.equal(batch.column("kind"), 0)))
-        token, doc, n = _gathered(iter(plain), ENTRY)
-        if not len(token):
-            return
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield bucket[a], batch.slice(a, b - a)
+
+    for bucket, own in groupby(runs(), key=lambda x: x[0]):
+        yield bucket, (batch for _, batch in own)
+
+
+def _shared(parts: int):
+    """Counts the entries of each token (up to COMMON) and sends those that others have, too, to the buckets of their documents."""
+
+    def sent(token, doc, n, df):
+        return _packed(_scatter(_by_document(doc, parts), parts, [token, doc, n, np.minimum(df, COMMON).astype(np.int32)]), 1)
+
+    def counted(held):
+        token, doc, n = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(token)
         token, doc, n = token[order], doc[order], n[order]
         heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         df = np.diff(np.concatenate((heads, [len(token)])))
-        df = np.repeat(df, df)
-        keep = df > 1
-        token, doc, n, df = token[keep], doc[keep], n[keep], df[keep]
-        yield from _packed(_scatter(_by_document(doc, parts), parts, [token, doc, n, df.astype(np.int32)]), 1)
+        return token, doc, n, np.repeat(df, df)
+
+    def bucket(batches):
+        held, size, limit, common = [], 0, HELD, np.empty(0, np.uint64)
+        for batch in batches:
+            through = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+            if len(through):
+                yield through
+            some = _gathered(iter([batch.filter(pa.compute.equal(batch.column("kind"), 0))]), ENTRY)
+            if len(common):
+                hot = np.isin(some[0], common)
+                yield from sent(*(c[hot] for c in some), np.full(hot.sum(), COMMON))
+                some = [c[~hot] for c in some]
+            held.append(some)
+            size += len(some[0])
+            if size >= limit:
+                *some, df = counted(held)
+                hot = df >= COMMON
+                yield from sent(*(c[hot] for c in some), df[hot])
+                common = np.union1d(common, some[0][hot])
+                held = [[c[~hot] for c in some]]
+                size = len(held[0][0])
+                limit = size + HELD
+        if size:
+            found = counted(held)
+            keep = found[3] > 1
+            yield from sent(*(c[keep] for c in found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _buckets(batches):
+            yield from bucket(own)
 
     return run
 
@@ -247,7 +292,7 @@ def _rare(whole: bool):
     """The rarest tokens of each document. Of the documents here that have one token and length, the least stands for
     all (up is null); the others are drawn to it (token is a hash of theirs)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bucket(batches):
         token, doc, n, df = _gathered(batches, COUNTED)
         if not len(token):
             return
@@ -268,6 +313,10 @@ def _rare(whole: bool):
         pairs = np.unique(np.stack((doc, up), axis=1)[doc != up], axis=0)
         yield from _rare_rows(mix(pairs[:, 0].view(np.uint64)).view(np.int64), pairs[:, 0], np.full(len(pairs), -1, np.int32), pairs[:, 1])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _buckets(batches):
+            yield from bucket(own)
+
     return run
 
 
@@ -299,6 +348,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(pairs[:, 0], pairs[:, 1])
 
 
+def _in_buckets(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by bucket: a partition each, or several in a partition, one after another."""
+    most = min(parts, MAX_PARTS)
+    dealt = rows.repartitionById(most, F.col("bucket") % most)
+    return dealt if most == parts else dealt.sortWithinPartitions("bucket")
+
+
 def _candidates(classes: DataFrame, whole: bool) -> DataFrame:
     """v, r: the groups of classes (doc_id, n, tokens) that candidates make."""
     spark = classes.sparkSession
@@ -306,8 +362,8 @@ def _candidates(classes: DataFrame, whole: bool) -> DataFrame:
     total = int(classes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0)
     parts = max(n, total // PART_TOKENS + 1)
     heavy = spark.sparkContext.broadcast(heavy_tokens(classes, total))
-    entries = classes.select("doc_id", "n", "tokens").mapInArrow(_entries(parts, heavy), PACKED).repartitionById(parts, F.col("bucket"))
-    shared = entries.mapInArrow(_shared(parts), PACKED).repartitionById(parts, F.col("bucket"))
+    entries = _in_buckets(classes.select("doc_id", "n", "tokens").mapInArrow(_entries(parts, heavy), PACKED), parts)
+    shared = _in_buckets(entries.mapInArrow(_shared(parts), PACKED), parts)
     rare = shared.mapInArrow(_rare(whole), "token long, doc_id long, n int, up long")
     near = rare.repartition(n, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours, "a long, b long")
     return components(near)

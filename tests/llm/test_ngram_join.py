@@ -205,3 +205,70 @@ def test_components(spark):
     frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     assert {(v, x) for v, x in map(tuple, components(frame.where("a != b")).collect())} == {(v, int(parent[v])) for v in nodes}
+
+
+def test_a_bucket_streams_what_is_common(monkeypatch):
+    """Counts (up to COMMON) do not depend on how a bucket's rows come, and only rare tokens are held."""
+    monkeypatch.setattr(ngram_join, "HELD", 300)
+    monkeypatch.setattr(ngram_join, "COMMON", 20)
+    r = random.Random(4)
+    docs = [[(5 << 24) if d % 2 else (9 << 24), *((100 + r.randrange(400)) << 24 for _ in range(2))] for d in range(900)]
+    docs = [sorted(set(t)) for t in docs]
+    df = {}
+    for t in docs:
+        for x in t:
+            df[x] = df.get(x, 0) + 1
+    want = sorted((x, d, len(t), min(df[x], 20)) for d, t in enumerate(docs) for x in t if df[x] > 1)
+    monkeypatch.setattr(ngram_join, "BATCH_TOKENS", 100)
+    none = np.empty(0, np.uint64), np.empty(0, np.int32)
+    rows = [x for batch in packed_entries_of_each(docs, none) for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        parts = {b: [x for x in rows if x[0] == b] for b in range(4)}
+        streamed, found = [], []
+        order = [x for b in parts for x in parts[b]]  # several buckets in one partition
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*order[i : i + 7]), (pa.int32(), pa.int8(), pa.binary()))], names=["bucket", "kind", "blob"]) for i in range(0, len(order), 7)]
+        for out in ngram_join._shared(4)(iter(batches)):
+            token, doc, n, count = ngram_join._gathered(iter([out]), ngram_join.COUNTED)
+            found += list(zip(token.tolist(), doc.tolist(), n.tolist(), count.tolist()))
+            streamed.append(int((count == 20).sum()))
+        assert sorted(found) == want
+        assert sum(x > 0 for x in streamed) >= 3 and max(streamed) < sum(streamed) and streamed[-1] == 0
+
+
+def packed_entries_of_each(docs, heavy):
+    value = type("B", (), {"value": heavy})
+    tokens = [np.array(t, np.uint64).tobytes() for t in docs]
+    for a in range(0, len(docs), 30):
+        part = slice(a, a + 30)
+        ids = list(range(len(docs)))[part]
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(t) for t in docs[part]], pa.int32()), "tokens": pa.array(tokens[part], pa.binary())})
+        yield from ngram_join._entries(4, value)(iter([batch]))
+
+
+def test_buckets_beyond_the_partitions(spark, monkeypatch):
+    """More buckets than partitions, hardly any counters and a low COMMON change no result."""
+    for name, value in {"PART_TOKENS": 100, "MAX_PARTS": 5, "COUNTERS": 8, "MAX_COUNTERS": 8, "HELD": 200, "COMMON": 6}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(5, 120)
+    got = link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 600)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_the_broadcast_does_not_follow_the_corpus(spark):
+    """However many entries there are, fewer than MAX_COUNTERS tokens are heavy."""
+    tokens = np.arange(1, 3001, dtype=np.uint64) << np.uint64(24)
+    frame = spark.createDataFrame([(d, 3000, bytearray(tokens.tobytes())) for d in range(4)], "doc_id long, n int, tokens binary").repartition(2)
+    asked, summary = [], ngram_join._summary
+
+    def watched(k):
+        asked.append(k)
+        return summary(k)
+
+    ngram_join._summary = watched
+    try:
+        for total in (12_000, 10**9, 10**12, 10**16):
+            ngram_join.heavy_tokens(frame, total)
+    finally:
+        ngram_join._summary = summary
+    assert asked == [1_024, 1_024, 65_536, 65_536]
