@@ -50,6 +50,18 @@ def test_clips(spark, cigar, both, literal):
     assert got.c4 == ("" if cigar in (None, "*") else cigar)
 
 
+def test_clips_of_text(spark):
+    """The same as from the array of operations, on any text."""
+    r = random.Random(3)
+    texts = [None, "", "*", "S", "5", "3S7M", "2H1H3S5M4S1H2H", "8S", "4H", "1H2S3H", "12S3", "xS5S", "7S\n", "5M2S*1H-", "3SS4H5S6"]
+    texts += ["".join(r.choice(["1", "12", "H", "S", "3S", "2H", "4M", "x", "\n"]) for _ in range(r.randrange(1, 9))) for _ in range(800)]
+    cigar, ops = F.col("cigar"), R.cigar_ops(F.col("cigar"))
+    pairs = [(f(cigar, x), g(ops, x)) for x in (False, True) for f, g in ((R.clip5_of, R.clip5), (R.clip3_of, R.clip3))]
+    got = spark.createDataFrame([(t,) for t in texts], "cigar string").select("cigar", *(c.alias(f"{name}{i}") for i, pair in enumerate(pairs) for name, c in zip("ab", pair))).collect()
+    assert not [x for x in got if any(x[f"a{i}"] != x[f"b{i}"] for i in range(4))]
+    assert sum(x.a0 > 0 for x in got) > 100 and sum(x.a1 > 0 for x in got) > 100
+
+
 @pytest.mark.parametrize("length", [1, 250, 251, 256, 300, 1000, 1001, 2000, 2003, 4951, 5000, 9951, 10_252, 33_048])
 def test_clusters_closed_form(spark, length):
     """Every position closes its cluster where its distance from 250 is a multiple of the width there."""

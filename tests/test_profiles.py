@@ -376,6 +376,19 @@ def test_density_of_many_lengths(spark):
     assert x[2] == 100_000 and abs(x[0] * 1.5e6 - 1) < 1e-3 and abs(x[1] * 1.5e6 - 1) < 1e-3
 
 
+def test_density_reads_once(spark):
+    """The lengths are counted once, whatever the density's plan takes of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    reads = spark.range(2_000).selectExpr("cast(1 + id % 2 AS int) AS read_no", "cast(id % 3 AS int) AS mapq_bin", "cast(30 + id * id % 97 AS int) AS n_clipped")
+    assert len(D.length_density(P.lengths(reads.mapInArrow(look, reads.schema))).collect()) > 100 and seen.value == 2_000
+
+
 def test_totals_match(spark, sam):
     reads = derive(read(spark, sam)).cache()
     at = {(r.read_no, r.mapq_bin, r.pos): r.n for r in P.bases(reads).groupBy("read_no", "mapq_bin", "pos").agg(F.sum("n").alias("n")).collect()}
