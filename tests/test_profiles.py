@@ -16,6 +16,7 @@ from readqc.operators import profiles as P
 from readqc.functions.errors import alignment_of
 from readqc.operators.reads import RAW, alignments, derive
 from readqc.plans.profile import profile, profile_reads, report
+from readqc.plans.queries import QUERIES
 from readqc.sources import records
 from readqc.sources.files import chosen, file_type, in_order, output_path, peek, read
 
@@ -389,6 +390,17 @@ def test_density_reads_once(spark):
     assert len(D.length_density(P.lengths(reads.mapInArrow(look, reads.schema))).collect()) > 100 and seen.value == 2_000
 
 
+@pytest.mark.parametrize("name", ["detected_quality_offsets", "dense_base_composition"])
+def test_queries_count_once(spark, tmp_path, name):
+    """Counts that a query takes twice are counted once: all characters pass through Python once."""
+    lines = "id AS l_orderkey, id % 97 AS l_partkey, id % 11 AS l_suppkey, cast(id % 7 + 1 AS int) AS l_linenumber, cast(id % 50 AS double) AS l_quantity, 0.1D AS l_discount, 'N' AS l_returnflag, 'O' AS l_linestatus"
+    spark.range(500).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert len(found.collect()) > 500
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow run(") == 1
+
+
 def test_totals_match(spark, sam):
     reads = derive(read(spark, sam)).cache()
     at = {(r.read_no, r.mapq_bin, r.pos): r.n for r in P.bases(reads).groupBy("read_no", "mapq_bin", "pos").agg(F.sum("n").alias("n")).collect()}
