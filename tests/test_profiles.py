@@ -390,6 +390,21 @@ def test_density_reads_once(spark):
     assert len(D.length_density(P.lengths(reads.mapInArrow(look, reads.schema))).collect()) > 100 and seen.value == 2_000
 
 
+def test_error_totals_take_no_text_they_need_not(spark, sam):
+    """Qualities, and bases of reads whose MD has no letter, are not worked out; classes without errors have zeros."""
+    reads = derive(read(spark, sam))
+    never = F.raise_error(F.lit("worked out")).cast("string")
+    lettered = F.col("md").rlike("(^|[0-9])[A-Za-z]")
+    bare = reads.withColumns({"qual_o": never, "seq_o": never, "seq": F.when(lettered, F.col("seq")).otherwise(never)})
+    got = {(x.read_no, x.mapq_bin): (x.n_mis, x.n_ins, x.n_del) for x in P.error_totals(bare).collect()}
+    want = {(x.read_no, x.mapq_bin): [0, 0, 0] for x in P.read_counts(reads).collect()}
+    for i, counts in enumerate((P.mismatches(reads), P.insertions(reads), P.deletions(reads))):
+        for x in counts.collect():
+            want[x.read_no, x.mapq_bin][i] += x.n
+    assert got == {k: tuple(v) for k, v in want.items()} and got[2, 3] == (0, 0, 0) and sum(map(sum, got.values())) == 3
+    assert P.error_totals(reads.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("name", ["detected_quality_offsets", "dense_base_composition"])
 def test_queries_count_once(spark, tmp_path, name):
     """Counts that a query takes twice are counted once: all characters pass through Python once."""
